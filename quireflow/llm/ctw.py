@@ -213,10 +213,43 @@ def upper_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *(pa.array(np.bincount(at, x)) for x in (level.zeros, level.ones, level.weighted))], names=["name", "zeros", "ones", "below"])
 
 
-def score_batch(docs: pa.Table, values: pa.Table, n_train: int, n_words: int, kind: pa.DataType) -> pa.Table:
-    keys = values.column("key").to_numpy().view(Z)
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batch, blob: the answers (batch, key, value) of this task per batch, keys as differences, compressed for the way."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def out() -> pa.RecordBatch:
+        batch, keys, values = (np.concatenate([h[k] for h in held]) for k in range(3))
+        order = np.lexsort((keys, batch))
+        batch, keys, values = batch[order], keys[order], values[order]
+        edges = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(batch)]
+        blobs = [pa.compress(np.diff(keys[a:b], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes() + values[a:b].view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True) for a, b in zip(edges, edges[1:])]
+        rows = np.diff(edges)
+        return pa.RecordBatch.from_arrays([pa.array(batch[edges[:-1]], pa.int32()), pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["batch", "rows", "blob"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(tuple(b.column(k).to_numpy() for k in range(3)))
+        if sum(len(h[0]) for h in held) >= 1 << 21:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def unpacked(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a batch in order, and their values."""
+    keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for n, blob in zip(answers.column("rows").to_pylist(), answers.column("blob").to_pylist()):
+        raw = np.frombuffer(pa.decompress(blob, 16 * n, "zstd", asbytes=True), np.uint8)
+        keys.append(np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64).ravel()))
+        values.append(np.ascontiguousarray(raw[8 * n :].reshape(8, n).T).view(np.float64).ravel())
+    keys, values = np.concatenate(keys).view(Z), np.concatenate(values)
     order = np.argsort(keys)
-    keys, value = keys[order], values.column("value").to_numpy()[order]
+    return keys[order], values[order]
+
+
+def score_batch(docs: pa.Table, answers: pa.Table, n_train: int, n_words: int) -> pa.Table:
+    keys, value = unpacked(answers)
     split = int(np.searchsorted(keys, Z(WORD_KEY)))
     out = []
     for rows, data, starts in blocks(docs.to_batches(), "text"):
@@ -258,10 +291,12 @@ def score_texts(docs: DataFrame, held_out: str, batch_bytes: int = BATCH_BYTES)
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = _whole(batches)
-        for part in np.array_split(np.argsort(keys), 1) if len(keys) else ():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(log_probabilities(keys[part].view(Z), n[part], *tops.value))], names=["key", "value"])
+        if len(keys):
+            # Single precision is plenty for a logarithm and halves what travels.
+            logs = log_probabilities(keys.view(Z), n, *tops.value).astype(np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(logs)], names=["key", "value"])
 
     values = trees.mapInArrow(valued, "key long, value double").unionByName(words.select("key", F.col("n").cast("double").alias("value")))
-    answers = found.select("batch", "key").join(values, "key")
+    answers = found.select("batch", "key").join(values, "key").select("batch", "key", "value").mapInArrow(packed, "batch int, rows int, blob binary")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda d, v: score_batch(d, v, n_train, n_words, None), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda d, v: score_batch(d, v, n_train, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

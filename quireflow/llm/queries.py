@@ -56,6 +56,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry_text=False)
 
 
+def oracle_sql() -> dict[str, str]:
+    return {}
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
