@@ -64,9 +64,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             first = last
 
 
+#: Stands for the byte 0 in words, since 0 marks separators; UTF-8 never has it.
+NUL_WORD = 0xFF
+
+
 def word_table(lower: bool, separators: bytes) -> np.ndarray:
-    """Per byte: 0 for a separator, else the byte, A-Z lower-cased if asked."""
+    """Per byte: 0 for a separator, else the byte, A-Z lower-cased if asked; a NUL inside a word is NUL_WORD."""
     out = np.arange(256, dtype=np.uint8)
+    out[0] = NUL_WORD
     if lower:
         out[ord("A") : ord("Z") + 1] += 32
     out[list(separators)] = 0

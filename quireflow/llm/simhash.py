@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireflow.llm.common import SPACES, append_columns, blocks, connected_components, cut, word_spans, word_table
+from quireflow.llm.common import NUL_WORD, SPACES, append_columns, blocks, connected_components, cut, word_spans, word_table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
@@ -57,6 +57,7 @@ def simhash(data: np.ndarray, starts: np.ndarray, shingle: int = SHINGLE) -> np.
     mask = np.ones(int(at[-1]), bool)
     mask[at[1:] - 1] = False
     joined[mask] = kept[kept != 0]
+    joined[joined == NUL_WORD] = 0
     text = joined.tobytes()
     words = np.diff(first)
     count = np.where(words > 0, np.maximum(1, words - shingle + 1), 0)

@@ -30,6 +30,7 @@ from quireflow.llm.common import blocks, cut, mixed, powers, prefix_sums, slice_
 from quireflow.llm.induced import repeated_positions
 
 LENGTH, GRAM, SHARD_BYTES, HOT_SNIPPETS = 200, 32, 4 << 20, 4096
+PLACE_BITS = 31  # of a block's length
 _END = 0xFF  # never a byte of UTF-8 text
 
 
@@ -53,7 +54,8 @@ def runs_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tup
     _, down = powers(len(sums))
     at = len(data) - gram + 1
     hashes = mixed((sums[gram:] - sums[:-gram]) * down[:at])
-    low = np.uint64((1 << int(at).bit_length()) - 1)
+    # The place breaks ties, so the choice depends on the string alone and not on the block around it.
+    low = np.uint64((1 << PLACE_BITS) - 1)
     winner = (rolling_min((hashes & ~low) | np.arange(at, dtype=np.uint64), length - gram + 1) & low).astype(np.int64)
     texts = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(winner)]
     whole = np.flatnonzero(np.arange(len(winner)) + length <= starts[1:][texts])
