@@ -102,6 +102,8 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """The whole documents as Parquet, one folder per shard."""
-    plan = shard_plan(docs, shards).select("doc_id", "text_crc32", "shard").distinct()
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    docs.drop("shard").withColumn("text_crc32", F.crc32(raw)).join(plan, F.expr("true") & docs["doc_id"].eqNullSafe(plan["doc_id"]) & (F.col("text_crc32") == plan["text_crc32"])).select(docs.drop("shard")["*"], "shard").write.partitionBy("shard").parquet(path)
+    kept = docs.drop("shard")
+    plan = shard_plan(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard").distinct()
+    crc = F.crc32(F.encode(F.coalesce(kept["text"], F.lit("")), "UTF-8"))
+    rows = kept.withColumn("__key", crc).join(plan, F.expr("doc_id <=> __id and __key = __crc"))
+    rows.select(*kept.columns, "shard").write.partitionBy("shard").parquet(path)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from quireflow.llm.common import NOT_ALNUM, append_columns, blocks, prefix_sums, slice_hash, word_spans, word_table
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
-SAMPLE, EPOCHS, BATCH_WORDS = 6000, 6, 20000
+SAMPLE, STEPS, BATCH_WORDS = 6000, 1000, 20000
 _WORDS = word_table(True, NOT_ALNUM)
 
 
@@ -116,9 +116,9 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str], seed: int = 7)
     bias_moment, rate, steps = 0.0, 0.02, 0
     weight = np.where(toxic > 0, len(toxic) / (2 * toxic.sum()), len(toxic) / (2 * (len(toxic) - toxic.sum())))
     model.tracing = True
-    for epoch in range(EPOCHS):
+    while steps < STEPS:
         order, at = rng.permutation(cut_at), 0
-        while at < len(order):
+        while at < len(order) and steps < STEPS:
             stop, words = at, 0
             while stop < len(order) and (stop == at or words + len(coded[order[stop]][0]) <= BATCH_WORDS) and stop - at < 32:
                 words += len(coded[order[stop]][0])
@@ -157,12 +157,13 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str], seed: int = 7)
                 squares[ids] += (total * total).mean(1)
                 model.embedding[ids] -= 0.1 * total / (np.sqrt(squares[ids]) + 1e-6)[:, None]
     model.tracing = False
-    # Rows of both classes weighed alike above; the calibration set moves the bias to where 0.5 balances both errors.
+    # Rows of both classes weighed alike above; the calibration set turns logits into probabilities (Platt scaling).
     held = np.arange(cut_at, len(texts))
     if len(held) and 0 < toxic[held].sum() < len(held):
-        logit = np.array([model.logits(model.responses(*coded[r])[0])[0] for r in held])
-        model.bias -= best_cut(logit, toxic[held])
-        logit = np.array([model.logits(model.responses(*coded[r])[0])[0] for r in held])
+        logit = np.array([model.logits(model.responses(*coded[r])[0])[0] for r in held], np.float64)
+        slope, shift = platt(logit, toxic[held])
+        model.output, model.bias = (model.output * slope).astype(np.float32), model.bias * slope + shift
+        logit = logit * slope + shift
         for lang in sorted({langs[r] for r in held if langs[r] is not None}):
             own = np.array([langs[r] == lang for r in held])
             y = toxic[held][own]
@@ -171,6 +172,26 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str], seed: int = 7)
     return model
 
 
+def platt(logit: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic fit of the labels on the logits, with smoothed targets; by damped Newton steps."""
+    hits = toxic.sum()
+    target = np.where(toxic > 0, (hits + 1) / (hits + 2), 1 / (len(toxic) - hits + 2))
+    rows = np.stack([logit / max(1e-6, np.abs(logit).max()), np.ones(len(logit))], 1)
+    at = np.zeros(2)
+    loss = lambda x: float(np.logaddexp(0, rows @ x).sum() - target @ (rows @ x))
+    for _ in range(100):
+        p = sigmoid(rows @ at)
+        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + 1e-6 * np.eye(2), rows.T @ (p - target))
+        rate = 1.0
+        while rate > 1e-6 and loss(at - rate * step) > loss(at):
+            rate /= 2
+        at = at - rate * step
+        if np.abs(rate * step).max() < 1e-9:
+            break
+    slope = at[0] / max(1e-6, np.abs(logit).max())
+    return (float(slope), float(at[1])) if slope > 0 else (1.0, 0.0)
+
+
 def best_cut(logit: np.ndarray, toxic: np.ndarray) -> float:
     """The midpoint of the widest gap among the cuts of highest F1."""
     order = np.argsort(-logit)
