@@ -30,7 +30,7 @@ def difference(tuples: np.ndarray) -> np.ndarray:
     n, k = tuples.shape
     order = np.argsort(tuples, axis=1, kind="stable")
     nodes: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    sums = [np.take_along_axis(tuples, order, 1)[i] for i in range(n)]
+    sums = list(np.take_along_axis(tuples, order, 1))
     heap = [(-int(s[-1] - s[0]), i) for i, s in enumerate(sums)]
     heapq.heapify(heap)
     while len(heap) > 1:
