@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import chat, ctw, decontaminate, embedding, mixing, sharding, simhash, suffix_dedup, toxicity, warc
+from quireflow.llm import chat, ctw, decontaminate, embedding, mixing, oracles, sharding, simhash, suffix_dedup, toxicity, warc
 from quireflow.llm.common import table
 
 
@@ -57,7 +57,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Fingerprints (XXH64), CRC32, trained models and the pipeline are beyond DuckDB's SQL."""
+    return {"op1_embedding_caps": oracles.OP1, "op2_suffix_dedup": oracles.OP2, "op5_warc_round_trip": oracles.OP5, "op7_chat_collapse": oracles.OP7, "op8_water_filling": oracles.OP8, "op10_winnowing": oracles.OP10}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
