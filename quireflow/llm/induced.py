@@ -16,7 +16,7 @@ from pathlib import Path
 
 import numpy as np
 
-MEMORY, CHUNK = 64 << 20, 1 << 18
+MEMORY, CHUNK, PAIRS = 64 << 20, 1 << 18, 1 << 13
 _FAR = 1 << 14  # above any common prefix
 
 
@@ -81,7 +81,8 @@ class InducedSorter:
         self.padded = _array(self.n + cap + 16, np.uint8, folder, "text", memory)
         self.padded[: self.n], self.padded[self.n :] = text, 0
         self.text = self.padded[: self.n]
-        self.words = np.ndarray((len(self.padded) - 7,), "<u8", buffer=self.padded, strides=(1,))
+        width = -(-cap // 8) * 8
+        self.windows = np.ndarray((self.n + 1,), np.dtype((np.void, width)), buffer=self.padded, strides=(1,))
         self.small = _array(self.n, bool, folder, "types", memory)  # S type: less than the next suffix
         step = np.sign(np.diff(self.text.astype(np.int16), append=-1))
         differs = np.where(step != 0, np.arange(self.n), self.n)
@@ -95,19 +96,16 @@ class InducedSorter:
         self.runs = 0
 
     def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Common prefixes of pairs of suffixes, up to cap."""
-        out = np.full(len(p), self.cap, np.int64)
-        live = np.arange(len(p))
-        for k in range(0, self.cap, 8):
-            if not len(live):
-                break
-            a, b = np.minimum(p[live] + k, len(self.words) - 1), np.minimum(q[live] + k, len(self.words) - 1)
-            x = self.words[a] ^ self.words[b]
-            done = x != 0
-            low = x[done]
+        """Common prefixes of pairs of suffixes, up to cap: both are copied out whole, a few thousand pairs at a time."""
+        out = np.empty(len(p), np.int64)
+        for k in range(0, len(p), PAIRS):
+            x, y = (self.windows[at[k : k + PAIRS]].view("<u8").reshape(-1, self.windows.itemsize // 8) for at in (p, q))
+            differs = x != y
+            word = differs.argmax(1)
+            rows = np.arange(len(word))
+            low = x[rows, word] ^ y[rows, word]
             same = sum(((low & np.uint64((1 << (8 * j)) - 1)) == 0).astype(np.int64) for j in range(1, 8))
-            out[live[done]] = np.minimum(k + same, self.cap)
-            live = live[~done]
+            out[k : k + PAIRS] = np.where(differs[rows, word], np.minimum(8 * word + same, self.cap), self.cap)
         return out
 
     def _send(self, queue: BucketQueue, chunk: np.ndarray, small: bool, since: np.ndarray | None) -> None:
@@ -193,17 +191,21 @@ class InducedSorter:
         length = np.minimum(stop[index] - order + 1, self.cap)
         new = np.ones(len(order), bool)
         new[1:] = (length[1:] != length[:-1]) | (self.common(order[1:], order[:-1]) < length[1:])
+        # A rank is the place of its group's first suffix, so that only groups of two or more are sorted again.
         rank = np.empty(len(order), np.int64)
-        rank[index] = np.cumsum(new) - 1
+        rank[index] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         reach = 1
-        while rank.max() + 1 < len(rank) and reach * 2 < self.cap + 2:
-            ahead = np.full(len(rank), -1, np.int64)
-            ahead[:-reach] = rank[reach:]
-            pair = rank * (len(rank) + 1) + ahead + 1
+        live = np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
+        while len(live) and reach * 2 < self.cap + 2:
+            ahead = np.where(live + reach < len(rank), rank[np.minimum(live + reach, len(rank) - 1)], -1)
+            pair = rank[live] * (len(rank) + 1) + ahead + 1
             by = np.argsort(pair, kind="stable")
-            fresh = np.concatenate([[0], np.cumsum(pair[by][1:] != pair[by][:-1])])
-            rank = np.empty_like(rank)
-            rank[by] = fresh
+            old, pair = rank[live[by]], pair[by]
+            place = np.arange(len(by))
+            group = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), place, 0))
+            part = np.maximum.accumulate(np.where(np.append(True, pair[1:] != pair[:-1]), place, 0))
+            rank[live[by]] = old + part - group
+            live = live[np.bincount(rank, minlength=len(rank))[rank[live]] > 1]
             reach *= 2
         return self.lms[np.argsort(rank, kind="stable")]
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quireflow.llm.common import blocks, cut, mixed, powers, prefix_sums, slice_hash
 from quireflow.llm.induced import repeated_positions
 
-LENGTH, GRAM, SHARD_BYTES, HOT_SNIPPETS = 200, 32, 4 << 20, 4096
+LENGTH, GRAM, SHARD_BYTES, HOT_SNIPPETS = 200, 96, 1 << 20, 4096
 PLACE_BITS = 31  # of a block's length
 _END = 0xFF  # never a byte of UTF-8 text
 
@@ -71,10 +71,23 @@ def runs_of(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tup
 
 
 def marked_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, tag, start, stop of the repeated strings of one shard's snippets (rows: doc_id, tag, first, times, lane bounds, bytes)."""
-    rows = pa.Table.from_batches(list(batches)) if batches else None
-    if rows is None or not rows.num_rows:
-        return
+    """doc_id, tag, start, last of the repeated strings of each shard (rows in order of shard: doc_id, tag, first, times, shard, snippet)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+        edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if held and held[-1].column(held[-1].schema.get_field_index("shard"))[0].as_py() != shard[a]:
+                yield from _marked_shard(pa.Table.from_batches(held), length)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from _marked_shard(pa.Table.from_batches(held), length)
+
+
+def _marked_shard(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     texts = rows.column("snippet").to_pylist()
     at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
     marks = repeated_positions(np.frombuffer(bytes([_END]).join(texts) + bytes([_END]), np.uint8), length)
@@ -133,7 +146,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     dealt = pieces.select("doc_id", "tag", "anchor", "times", "first", F.explode(lanes).alias("x")).select("doc_id", "tag", "anchor", "times", (F.col("first") + F.col("x.from")).cast("int").alias("first"), F.col("x.lane").alias("lane"), F.col("x.part").alias("snippet"))
     volume = snippets.agg(F.sum(F.col("one.count") + length)).first()[0] or 0
     shards = max(1, -(-volume // SHARD_BYTES))
-    edges = dealt.repartition(shards, "anchor", "lane").mapInArrow(lambda batches: marked_strings(batches, length), f"doc_id {kind}, tag long, start long, last long")
+    # As many partitions as the session sets; each holds whole shards one after the other.
+    dealt = dealt.withColumn("shard", F.expr(f"pmod(xxhash64(anchor, lane), {shards})")).select("doc_id", "tag", "first", "times", "shard", "snippet")
+    edges = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: marked_strings(batches, length), f"doc_id {kind}, tag long, start long, last long")
 
     spans = alike.unionByName(again).unionByName(edges).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "last")).alias("strings"))
     judged = tagged.join(spans, tagged["doc_id"].eqNullSafe(spans["doc_id"]) & (tagged["tag"] == spans["tag"]), "left").select(tagged["doc_id"], "text", "strings")
