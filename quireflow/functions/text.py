@@ -118,7 +118,7 @@ def is_junk(c: Column, conf: Column, source: Column, alone: Column) -> Column:
 def escape_start(c: Column) -> Column:
     """Keeps paragraph text from reading as a list, heading or quote."""
     return (
-        F.when(c.rlike(rf"(?U)^\d{{1,9}}[.)]({SPACE}|\z)"), F.regexp_replace(c, r"(?U)^(\d+)([.)])", r"$1\\\\$2"))
+        F.when(c.rlike(rf"(?U)^\d{{1,9}}[.)]({SPACE}|\z)"), F.regexp_replace(c, r"(?U)^(\d+)([.)])", r"$1\\$2"))
         .when(c.rlike(rf"(?U)^(#{{1,6}}|[>+*-])({SPACE}|\z)"), F.concat(F.lit("\\"), c))
         .otherwise(c)
     )

@@ -211,10 +211,18 @@ def heading_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.heading_levels(sizes.withColumn("level", F.lit(0))).groupBy("doc_id", "rel").agg(F.max("level").alias("level"), F.count("*").alias("n"))
 
 
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sized lines of one size, most with a list marker, some with a second item on the line."""
+    place = (F.col("line_idx") + F.col("page_no")) % 7
+    lead = F.element_at(F.array(*(F.lit(x) for x in ("1. ", "2. ", "", "• ", "- ", "3. ", ""))), place + 1)
+    tail = F.when(place == 1, " 3. Third").otherwise("")
+    return sized_lines(spark, sf_dir).withColumns({"text": F.concat(lead, "text", tail), "size": F.lit(10.0)})
+
+
 @query
 def list_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = wordlist.dictionary(None, spark)
-    groups = structure.grouped_lines(structure.size_groups(sized_lines(spark, sf_dir)), none)
+    groups = structure.grouped_lines(structure.size_groups(marked_lines(spark, sf_dir)), none)
     blocks = structure.to_blocks(groups, none)
     return blocks.where("kind in ('ol', 'ul')").select("doc_id", "page_no", "block_idx", "kind", F.posexplode("items").alias("pos", "item")).select("doc_id", "page_no", "block_idx", "kind", "pos", F.col("item.n").alias("n"), F.array_join("item.parts", " / ").alias("parts"))
 

@@ -10,11 +10,10 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-ITEMS = StructType.fromDDL("path string, pos int, kind string, style string, num_id string, ilvl int, fmt string, runs array<struct<text:string,bold:boolean,italic:boolean,url:string>>, rows array<array<string>>, error string")
+ITEMS = "path string, pos int, kind string, style string, num_id string, ilvl int, fmt string, runs array<struct<text:string,bold:boolean,italic:boolean,url:string>>, rows array<array<string>>, error string"
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
