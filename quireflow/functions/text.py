@@ -6,7 +6,7 @@ classes follow Python's str methods, which the expected results are stated in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import Broadcast
@@ -33,6 +33,11 @@ def rx(pattern: str) -> Column:
     return F.lit(pattern)
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c as one variable: however often body names it, the plan holds and computes it once."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 
@@ -91,36 +96,43 @@ def header_key(c: Column) -> Column:
 
 
 def is_page_number(c: Column, margin: Column) -> Column:
-    t = strip(c)
-    return t.rlike(PAGE_LABEL) | (margin & (t.rlike(PAGE_FRACTION) | t.rlike(BARE_PAGE)))
+    return let(strip(c), lambda t: t.rlike(PAGE_LABEL) | (margin & (t.rlike(PAGE_FRACTION) | t.rlike(BARE_PAGE))))
 
 
-def strip_page_label(c: Column, page_no: Column, margin: Column) -> Column:
+def strip_page_label(text: Column, page_no: Column, margin: Column) -> Column:
     """Takes out the first 'Page n' at an edge of the line, in a margin or if n is near the page's number."""
-    first, second = (F.regexp_extract(c, EDGE_LABEL, k) for k in (1, 2))
-    n = F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit(""))).cast("int")
-    # regexp_replace takes every match: only the found one may go.
-    head = F.regexp_replace(c, r"(?iU)^page\s+(\d{1,4})(?:\s+of\s+\d{1,4})?\s+", "")
-    tail = F.regexp_replace(c, r"(?iU)\s+page\s+(\d{1,4})(?:\s+of\s+\d{1,4})?\z", "")
-    return F.when(n.isNotNull() & (margin | (F.abs(n - page_no) <= LABEL_TOLERANCE)), strip(F.when(first != "", head).otherwise(tail))).otherwise(c)
 
+    def stripped(c: Column) -> Column:
+        first, second = (F.regexp_extract(c, EDGE_LABEL, k) for k in (1, 2))
+        n = F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit(""))).cast("int")
+        # regexp_replace takes every match: only the found one may go.
+        head = F.regexp_replace(c, r"(?iU)^page\s+(\d{1,4})(?:\s+of\s+\d{1,4})?\s+", "")
+        tail = F.regexp_replace(c, r"(?iU)\s+page\s+(\d{1,4})(?:\s+of\s+\d{1,4})?\z", "")
+        return F.when(n.isNotNull() & (margin | (F.abs(n - page_no) <= LABEL_TOLERANCE)), strip(F.when(first != "", head).otherwise(tail))).otherwise(c)
+
+    return let(text, stripped)
 
-def is_junk(c: Column, conf: Column, source: Column, alone: Column) -> Column:
+
+def is_junk(text: Column, conf: Column, source: Column, alone: Column) -> Column:
     """Figure labels, axis ticks and recognition noise."""
-    s = F.regexp_replace(c, rf"(?U){SPACE}+", "")
-    alnum, alpha, length = alnum_count(s), alpha_count(s), F.length(s)
-    words = tokens(c)
-    short = F.size(F.filter(words, lambda x: F.length(x) <= 2))
-    noisy = (conf < 30) | ((conf < 55) & (alpha / length < 0.6)) | (alone & (alnum <= 2)) | ((F.size(words) >= 3) & (conf < 75) & (short / F.greatest(F.size(words), F.lit(1)) > 0.7))
-    return F.when(length == 0, True).when(is_marker(s), False).when(alnum / length < 0.5, True).when(source != "ocr", False).otherwise(noisy)
+
+    def judged(x: Column) -> Column:
+        s, words = x["s"], x["words"]
+        alnum, alpha, length = alnum_count(s), alpha_count(s), F.length(s)
+        short = F.size(F.filter(words, lambda w: F.length(w) <= 2))
+        noisy = (conf < 30) | ((conf < 55) & (alpha / length < 0.6)) | (alone & (alnum <= 2)) | ((F.size(words) >= 3) & (conf < 75) & (short / F.greatest(F.size(words), F.lit(1)) > 0.7))
+        return F.when(length == 0, True).when(is_marker(s), False).when(alnum / length < 0.5, True).when(source != "ocr", False).otherwise(noisy)
+
+    return let(text, lambda c: let(F.struct(F.regexp_replace(c, rf"(?U){SPACE}+", "").alias("s"), tokens(c).alias("words")), judged))
 
 
-def escape_start(c: Column) -> Column:
+def escape_start(text: Column) -> Column:
     """Keeps paragraph text from reading as a list, heading or quote."""
-    return (
-        F.when(c.rlike(rf"(?U)^\d{{1,9}}[.)]({SPACE}|\z)"), F.regexp_replace(c, r"(?U)^(\d+)([.)])", r"$1\\$2"))
+    return let(
+        text,
+        lambda c: F.when(c.rlike(rf"(?U)^\d{{1,9}}[.)]({SPACE}|\z)"), F.regexp_replace(c, r"(?U)^(\d+)([.)])", r"$1\\$2"))
         .when(c.rlike(rf"(?U)^(#{{1,6}}|[>+*-])({SPACE}|\z)"), F.concat(F.lit("\\"), c))
-        .otherwise(c)
+        .otherwise(c),
     )
 
 
@@ -172,6 +184,7 @@ def join_lines(texts: Column, dictionary: Broadcast) -> Column:
         for lists in batches:
             yield lists.map(lambda x: None if x is None else _joined([t for t in x if t is not None], dictionary.value), na_action="ignore")
 
-    lines = F.filter(F.transform(texts, strip), lambda x: x != "")
-    broken = F.exists(lines, lambda x: x.rlike("[-­]\\z"))
-    return F.when(broken, repaired(F.when(broken, lines))).otherwise(F.array_join(lines, " "))
+    # The UDF stays outside the variable: lambdas cannot hold one.
+    ends = lambda xs: F.exists(xs, lambda x: strip(x).rlike("[-­]\\z"))
+    whole = F.array_join(F.filter(F.transform(texts, strip), lambda x: x != ""), " ")
+    return F.coalesce(repaired(F.when(ends(texts), texts)), whole)

@@ -79,14 +79,14 @@ def refine_paragraphs(lines: DataFrame, use_font_changes: bool, scope: list[str]
     grouped = lines.withColumn("same_group", F.coalesce(F.lag(group).over(order) == F.col(group), F.lit(False)) if group else F.lag("line_idx").over(order).isNotNull())
     lag = lambda c: F.lag(c).over(order)
     stepped = grouped.withColumn("step", F.when(F.col("same_group"), F.col("top") - lag("top")))
-    measures = stepped.groupBy(*scope).agg(F.median(F.when(F.col("step") > 0, F.col("step"))).alias("m_step"), F.median("size").alias("m_size"), F.median(F.col("right") - F.col("left")).alias("m_width"))
+    measured = stepped.withColumns({"m_step": F.median(F.when(F.col("step") > 0, F.col("step"))).over(whole), "m_size": F.median("size").over(whole), "m_width": F.median(F.col("right") - F.col("left")).over(whole)})
     typical = F.coalesce("m_step", F.col("m_size") * DEFAULT_STEP)
     size = F.greatest(lag("size"), F.col("size"))
     short = lag("text").rlike(r"[.!?:]\z") & ((lag("right") - lag("left")) < SHORT_LINE * F.col("m_width"))
     new = (F.col("step") <= 0) | (F.col("step") > F.greatest(GAP_STEP * typical, GAP_SIZE * size)) | short
     if use_font_changes:
         new = new | (F.abs(F.col("size") - lag("size")) > SIZE_CHANGE * size) | (F.col("bold") != lag("bold"))
-    marked = stepped.join(measures, scope).withColumn("new_para", F.when(~F.col("same_group") | new, 1).otherwise(0))
+    marked = measured.withColumn("new_para", F.when(~F.col("same_group") | new, 1).otherwise(0))
     return marked.withColumn("para_idx", F.sum("new_para").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("same_group", "step", "m_step", "m_size", "m_width", "new_para")
 
 
@@ -107,15 +107,23 @@ def find_gutters(words: DataFrame, pages: DataFrame) -> DataFrame:
     best = wide.withColumn("rank", F.row_number().over(page.orderBy((F.col("a") - F.col("b")).asc(), "a"))).where(F.col("rank") <= MAX_COLUMNS - 1)
     gutters = best.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct((F.col("xmin") + F.col("a")).alias("a"), (F.col("xmin") + F.col("b")).alias("b")))).alias("gutters"))
     # Columns with too few words lose a gutter; at most MAX_COLUMNS - 1 times.
+    centres = words.groupBy(*PAGE).agg(F.collect_list((F.col("x0") + F.col("x1")) / 2).alias("centres"))
+    gutters = gutters.join(centres, PAGE)
     for _ in range(MAX_COLUMNS - 1):
-        side = words.join(gutters, PAGE).select(*PAGE, "gutters", column_of("gutters", F.col("x0"), F.col("x1")).alias("col"))
-        counts = side.groupBy(*PAGE, "gutters").agg(F.count("*").alias("n"), *(F.count_if(F.col("col") == k).alias(f"c{k}") for k in range(MAX_COLUMNS)))
-        each = F.slice(F.array(*(f"c{k}" for k in range(MAX_COLUMNS))), 1, F.size("gutters") + 1)
+        gutters = gutters.select(*PAGE, without_thin_column(F.col("gutters"), F.col("centres")).alias("gutters"), "centres")
+    return gutters.where(F.size("gutters") > 0).select(*PAGE, "gutters")
+
+
+def without_thin_column(gutters: Column, centres: Column) -> Column:
+    """Drops the gutter beside the first thinnest column if that holds too few of the words."""
+    side = lambda g, c: F.size(F.filter(g, lambda x: (x["a"] + x["b"]) / 2 <= c))
+    counts = lambda g: F.transform(F.sequence(F.lit(0), F.size(g)), lambda k: F.size(F.filter(centres, lambda c: side(g, c) == k)))
+
+    def dropped(g: Column, each: Column) -> Column:
         thin = (F.array_position(each, F.array_min(each)) - 1).cast("int")
-        poor = F.array_min(each) < MIN_SIDE * F.col("n")
-        dropped = F.filter("gutters", lambda g, i: i != F.least(thin, F.size("gutters") - 1))
-        gutters = counts.select(*PAGE, F.when(poor, dropped).otherwise(F.col("gutters")).alias("gutters")).where(F.size("gutters") > 0)
-    return gutters
+        return F.when((F.size(g) > 0) & (F.array_min(each) < MIN_SIDE * F.size(centres)), F.filter(g, lambda x, i: i != F.least(thin, F.size(g) - 1))).otherwise(g)
+
+    return X.let(gutters, lambda g: X.let(counts(g), lambda each: dropped(g, each)))
 
 
 def column_of(gutters: str, x0: Column, x1: Column) -> Column:

@@ -49,11 +49,16 @@ def grouped_lines(lines: DataFrame, dictionary: Broadcast) -> DataFrame:
 
 def is_heading(ratio: float = 1.5) -> Column:
     """Of a row of grouped_lines."""
-    n, count, rel, t = X.n_words(F.col("text")), F.size("lines"), F.col("rel"), F.col("text")
-    large = (rel >= ratio) & (n <= MAX_WORDS) & (count <= MAX_LINES)
-    minor = (rel >= MINOR) & (count == 1) & (n <= MINOR_WORDS) & ~t.rlike(r"[.,;]\z")
-    bold = (F.col("source") == "text") & F.col("bold") & (count == 1) & (n <= BOLD_WORDS) & (rel >= BOLD_REL) & ~t.endswith(".")
-    return (X.alpha_count(t) >= 2) & (large | minor | bold)
+    count, rel = F.size("lines"), F.col("rel")
+
+    def judged(t: Column) -> Column:
+        n = X.n_words(t)
+        large = (rel >= ratio) & (n <= MAX_WORDS) & (count <= MAX_LINES)
+        minor = (rel >= MINOR) & (count == 1) & (n <= MINOR_WORDS) & ~t.rlike(r"[.,;]\z")
+        bold = (F.col("source") == "text") & F.col("bold") & (count == 1) & (n <= BOLD_WORDS) & (rel >= BOLD_REL) & ~t.endswith(".")
+        return (X.alpha_count(t) >= 2) & (large | minor | bold)
+
+    return X.let(F.col("text"), judged)
 
 
 def list_states(lines: str = "lines") -> Column:
@@ -94,21 +99,23 @@ def split_merged_items(n: int | None, text: str) -> list[tuple[int | None, str]]
 
 def to_blocks(groups: DataFrame, dictionary: Broadcast, ratio: float = 1.5) -> DataFrame:
     """Headings, paragraphs and lists of each size group, in order (block_idx)."""
-    flagged = groups.withColumn("heading", is_heading(ratio)).withColumn("states", list_states())
-    base = ["doc_id", "page_no", "rel", "top", "bottom", "size"]
-
-    heads = flagged.where("heading").select(*base, (F.col("first_line") * 1000).cast("long").alias("block_idx"), F.lit("h").alias("kind"), X.strip(F.regexp_replace("text", r"#+\z", "")).alias("text"), F.expr("cast(null as array<struct<n:int,parts:array<string>>>)").alias("items"))
-    plain = F.transform(F.filter("states", lambda x: x["kind"] == "p"), lambda x: x["text"])
-    paras = flagged.where(~F.col("heading")).withColumn("plain", plain).where(F.size("plain") > 0).select(*base, (F.col("first_line") * 1000).cast("long").alias("block_idx"), F.lit("p").alias("kind"), X.join_lines(F.col("plain"), dictionary).alias("text"), F.expr("cast(null as array<struct<n:int,parts:array<string>>>)").alias("items"))
+    flagged = groups.withColumn("heading", is_heading(ratio)).withColumn("states", F.when(~F.col("heading"), list_states()))
 
     @F.pandas_udf("array<struct<pos:int,kind:string,items:array<struct<n:int,parts:array<string>>>>>")
     def lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for states in batches:
             yield states.map(lambda rows: _lists(rows, dictionary.value))
 
-    listed = flagged.where(~F.col("heading") & F.exists("states", lambda x: x["at"] > 0)).select(*base, "first_line", F.explode(lists("states")).alias("l"))
-    lists_ = listed.select(*base, (F.col("first_line") * 1000 + F.col("l.pos")).cast("long").alias("block_idx"), F.col("l.kind").alias("kind"), F.lit("").alias("text"), F.col("l.items").alias("items"))
-    return heads.unionByName(paras).unionByName(lists_).withColumn("level", F.lit(0))
+    plain = F.transform(F.filter("states", lambda x: x["kind"] == "p"), lambda x: x["text"])
+    listed = lists(F.when(F.exists("states", lambda x: x["at"] > 0), F.col("states")))
+    parts = flagged.withColumns({"plain": X.join_lines(F.when(F.size(plain) > 0, plain), dictionary), "listed": listed})
+    block = lambda pos, kind, text, items: F.struct(pos.cast("long").alias("pos"), kind.alias("kind"), text.alias("text"), items.alias("items"))
+    none = F.expr("cast(null as array<struct<n:int,parts:array<string>>>)")
+    head = block(F.lit(0), F.lit("h"), X.strip(F.regexp_replace("text", r"#+\z", "")), none)
+    para = F.when(F.col("plain").isNotNull(), F.array(block(F.lit(0), F.lit("p"), F.col("plain"), none))).otherwise(F.array().cast("array<struct<pos:long,kind:string,text:string,items:array<struct<n:int,parts:array<string>>>>>"))
+    made = F.when(F.col("heading"), F.array(head)).otherwise(F.concat(para, F.transform("listed", lambda x: block(x["pos"], x["kind"], F.lit(""), x["items"]))))
+    rows = parts.select("doc_id", "page_no", "rel", "top", "bottom", "size", "first_line", F.explode(made).alias("b"))
+    return rows.select("doc_id", "page_no", "rel", "top", "bottom", "size", (F.col("first_line") * 1000 + F.col("b.pos")).cast("long").alias("block_idx"), F.col("b.kind").alias("kind"), F.col("b.text").alias("text"), F.col("b.items").alias("items"), F.lit(0).alias("level"))
 
 
 def _lists(rows: list | None, known: frozenset[str]) -> list[dict]:
@@ -127,26 +134,25 @@ def _lists(rows: list | None, known: frozenset[str]) -> list[dict]:
 
 @F.pandas_udf(DoubleType())
 def _round3(values: pd.Series) -> pd.Series:
-    """Rounds the exact binary value, ties to even, as no built-in does; only used on headings."""
-    return values.map(lambda x: round(float(x), 3))
+    """Rounds the exact binary value, ties to even, as no built-in does; null for all but headings."""
+    return values.map(lambda x: round(float(x), 3), na_action="ignore")
 
 
-def heading_tiers(blocks: DataFrame) -> DataFrame:
-    """doc_id, tiers: greedy descending tiers of the distinct heading sizes."""
-    sizes = blocks.where("kind = 'h'").select("doc_id", "rel").distinct().withColumn("r", _round3("rel"))
-    ordered = sizes.groupBy("doc_id").agg(F.sort_array(F.collect_set("r"), asc=False).alias("sizes"))
+def heading_tiers(sizes: Column) -> Column:
+    """Greedy descending tiers of an array of distinct heading sizes."""
     none = F.expr("cast(array() as array<double>)")
-    return ordered.select("doc_id", F.aggregate("sizes", none, lambda t, x: F.when((F.size(t) == 0) | (x < F.element_at(t, -1) * TIER), F.concat(t, F.array(x))).otherwise(t)).alias("tiers"))
+    return F.aggregate(F.sort_array(sizes, asc=False), none, lambda t, x: F.when((F.size(t) == 0) | (x < F.element_at(t, -1) * TIER), F.concat(t, F.array(x))).otherwise(t))
 
 
 def heading_levels(blocks: DataFrame) -> DataFrame:
     """Blocks with the level of each heading: its tier, 3 at most; body-size headings below all larger tiers."""
-    known = blocks.join(heading_tiers(blocks), "doc_id", "left")
+    rounded = blocks.withColumn("r", _round3(F.when(F.col("kind") == "h", F.col("rel"))))
+    known = rounded.withColumn("sizes", F.collect_set("r").over(Window.partitionBy("doc_id"))).withColumn("tiers", F.when(F.col("kind") == "h", heading_tiers(F.col("sizes"))))
     fits = F.array_position(F.transform("tiers", lambda t: F.col("rel") >= t * TIER - TIER_EPSILON), True)
     tier = F.least(F.when(fits > 0, fits).otherwise(F.size("tiers")), F.lit(MAX_LEVEL))
     larger = F.size(F.filter("tiers", lambda t: t >= MINOR))
     small = F.least(F.greatest(larger + 1, F.lit(2)), F.lit(MAX_LEVEL))
-    return known.withColumn("level", F.when(F.col("kind") == "h", F.when(F.col("rel") < MINOR, small).otherwise(tier)).otherwise(0).cast("int")).drop("tiers")
+    return known.withColumn("level", F.when(F.col("kind") == "h", F.when(F.col("rel") < MINOR, small).otherwise(tier)).otherwise(0).cast("int")).drop("r", "sizes", "tiers")
 
 
 _TERMINAL = re.compile(r"[.!?:;]['\"”’)\]]?$")
