@@ -110,8 +110,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, starts in blocks(batches, "text"):
             owner, anchor, snippet, first, count, _ = runs_of(data, starts, length, gram)
-            ids = rows.take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(2), *(pa.array(x) for x in (anchor, snippet)), *(pa.array(x.astype(np.int32)) for x in (first, count))], names=["doc_id", "tag", "anchor", "snippet", "first", "count"])
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(2).take(at), *(pa.array(x) for x in (anchor, snippet)), *(pa.array(x.astype(np.int32)) for x in (first, count))], names=["doc_id", "tag", "anchor", "snippet", "first", "count"])
 
     runs = cut(tagged.mapInArrow(scan, f"doc_id {kind}, tag long, anchor long, snippet long, first int, count int"))
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("snippet").alias("low"), F.max("snippet").alias("high")).where("n > 1")
@@ -134,8 +134,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                 anchor, times, first, count = (np.asarray(found.field(k)) for k in range(4))
                 pieces = [raw[a : a + n + length - 1] for a, n in zip(first.tolist(), count.tolist())]
                 n = len(pieces)
-                same = batch.slice(row, 1).take(pa.array(np.zeros(n, np.int64)))
-                yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), pa.array(anchor), pa.array(times), pa.array(first.astype(np.int32)), pa.array(pieces, pa.binary())], names=["doc_id", "tag", "anchor", "times", "first", "snippet"])
+                same = pa.array(np.full(n, row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(anchor), pa.array(times), pa.array(first.astype(np.int32)), pa.array(pieces, pa.binary())], names=["doc_id", "tag", "anchor", "times", "first", "snippet"])
 
     pieces = texts.dropDuplicates(["doc_id", "tag"]).mapInArrow(cut_out, f"doc_id {kind}, tag long, anchor long, times long, first int, snippet binary")
     pieces = pieces.join(hot, "anchor", "left")
