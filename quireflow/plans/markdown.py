@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark import Broadcast
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,7 @@ def blocks_of(lines: DataFrame, sizes: DataFrame, dictionary: Broadcast, ratio:
 
 def build_markdown(words: DataFrame, pages: DataFrame, dictionary: Broadcast, ratio: float = 1.5, source: str = "text", columns: bool = True) -> DataFrame:
     """doc_id, markdown."""
-    lines = clean.clean_pages(structured_lines(words, pages, source, columns))
+    # Lines are kept once: they part a long plan in two, so that neither half is planned again with every stage of the other.
+    lines = clean.clean_pages(structured_lines(words, pages, source, columns).persist(StorageLevel.MEMORY_AND_DISK))
     sizes = structure.body_sizes(words.withColumn("source", F.lit(source)))
     return render.render(render.block_markdown(blocks_of(lines, sizes, dictionary, ratio), dictionary))
