@@ -31,7 +31,7 @@ class Plain:
 def folder(tmp_path) -> str:
     path = tmp_path / "in"
     path.mkdir()
-    for name, content in {"a.docx": handbook(), "b.PDF": b"Calm body text with words.\f?\fMore calm text at the end.", "c.txt": b"x", "d.pdf": b"broken", "e.pdf": b"Text of one page here.\f!", "f.doc": b"old"}.items():
+    for name, content in {"a.docx": handbook(), "b.PDF": b"Calm body text with words.\f?\fMore calm text at the end.", "c.txt": b"x", "d.pdf": b"broken", "e.pdf": b"Text of one page here, long enough.\f!", "f.doc": b"old"}.items():
         (path / name).write_bytes(content)
     return str(path)
 
@@ -45,7 +45,7 @@ def test_convert(spark, tmp_path):
     assert [x for x in b.markdown.split("\n") if x] == ["Calm body text with words.", "Recognised words of a page.", "More calm text at the end."]
     assert (b.stats.pages, b.stats.ocr_pages, b.stats.mean_conf, b.stats.text_layer) == (3, 1, 90.0, "partial (1 pages without)")
     assert "Unsupported" in rows["c.txt"].warnings[0] and "damaged" in rows["d.pdf"].warnings[0] and "extractor" in rows["f.doc"].warnings[0]
-    assert rows["e.pdf"].markdown.strip() == "Text of one page here." and "Page 2 failed" in rows["e.pdf"].warnings[0]
+    assert rows["e.pdf"].markdown.strip() == "Text of one page here, long enough." and "Page 2 failed" in rows["e.pdf"].warnings[0]
 
 
 def test_equal_files_once(spark, tmp_path):
