@@ -110,9 +110,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents without all but one (the smallest id, one row of it) of each near-duplicate group."""
-    prints = cut(with_simhash(docs.select("doc_id", "text")).select("doc_id", "simhash"))
-    kept = simhash_groups(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "component_id").distinct()
-    rows = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth")
+    """The documents without all but one row of each near-duplicate group: the smallest id, then the least text hash.
+
+    The row is chosen per group and not per id, so groups without ids and different texts under one id keep a row each.
+    """
+    prints = cut(with_simhash(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("__tag"), F.col("simhash").alias("__node")))
+    nodes = cut(first_rows(prints, "__node"))
+    parts = connected_components(linked_fingerprints(nodes.select(F.col("__node").alias("simhash"))).distinct())
+    return one_of_each(docs, nodes, parts)
+
+
+def first_rows(prints: DataFrame, by: str, *more: str) -> DataFrame:
+    """The least (id, text hash) of every `by`, ids before none, as the column __row; `more`: columns that `by` determines."""
+    return prints.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tag")).alias("__row"), *(F.first(c).alias(c) for c in more))
+
+
+def one_of_each(docs: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row of `docs` for each component: __node, __row -> the least __row; nodes that `parts` lacks are alone."""
+    grouped = nodes.join(parts, F.col("__node") == F.col("node"), "left").select("__row", F.coalesce("component", "__node").alias("component"))
+    kept = grouped.groupBy("component").agg(F.min("__row").alias("row")).select(F.col("row.doc_id").alias("__kept"), F.col("row.__tag").alias("__kept_tag"))
+    rows = docs.withColumn("__tag", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__tag") == F.col("__kept_tag")), "left_semi")
+    # Rows alike in id and text are one group: all but one go before the shuffle already (WindowGroupLimit).
+    once = Window.partitionBy("doc_id", "__tag").orderBy(F.xxhash64(*(f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType))))
+    return rows.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth", "__tag")

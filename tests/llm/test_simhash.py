@@ -80,3 +80,11 @@ def test_majority_of_many_shingles():
     hashes = np.random.default_rng(1).integers(0, 1 << 64, 40_000, dtype=np.uint64)
     want = sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes))
     assert int(simhash._majority(hashes, np.array([0, len(hashes)]))[0]) == want
+
+
+def test_every_group_keeps_one_row_whatever_its_ids(spark):
+    """Groups without ids, different texts under one id, and a copy without id of a text that has one."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[2]), (8, texts[4]), (None, texts[4]), (9, texts[5]), (9, texts[5])]
+    kept = simhash.deduplicate(frame(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()
+    assert sorted(((r.doc_id, texts.index(r.text)) for r in kept), key=str) == sorted([(None, 0), (None, 1), (7, 2), (7, 3), (8, 4), (9, 5)], key=str)
