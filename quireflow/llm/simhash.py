@@ -9,6 +9,10 @@ two, at most 2 over all three. So each fingerprint is stored under its three (se
 under the exact pair and those with one bit of the second segment turned; the full Hamming check follows. Keys have 42
 or 43 bits, so chance partners stay few at any corpus size. Copies share a fingerprint and are joined once.
 
+The pipeline's stage asks for a Jaccard similarity of word runs instead (see similar_texts). Fingerprints cannot find such
+pairs: at similarity 0.8 about 10 of 64 bits differ, and a radius that wide leaves segments too short to select by. Its
+candidates come from bands of least shingle hashes.
+
 Null and empty texts have fingerprint 0 and link like any other. Null ids take no part in the choice of the smallest id
 unless the whole group has none. Input columns named like a result column are replaced.
 """
@@ -24,12 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireflow.llm.common import NUL_WORD, SPACES, append_columns, blocks, connected_components, cut, word_spans, word_table
+from quireflow.llm.common import NUL_WORD, SPACES, append_columns, blocks, connected_components, cut, mixed, prefix_sums, slice_hash, word_spans, word_table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 _WORDS = word_table(True, SPACES)
 _XXH = xxhash.xxh64_intdigest
+#: Bands and least hashes in each (a pair of Jaccard similarity s shares a band with chance 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8); the odd factors permute the hashes.
+BANDS, ROWS, SMALL = 24, 6, 16
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -46,8 +53,8 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def simhash(data: np.ndarray, starts: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of the texts of a block."""
+def shingles(data: np.ndarray, starts: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of a block end to end, begin and end of each shingle there, shingles before each text and in all, where each text's words begin)."""
     kept = _WORDS[data]
     begin, end, first = word_spans(kept, starts)
     # Words end to end, one space after each: a shingle is one slice.
@@ -58,14 +65,20 @@ def simhash(data: np.ndarray, starts: np.ndarray, shingle: int = SHINGLE) -> np.
     mask[at[1:] - 1] = False
     joined[mask] = kept[kept != 0]
     joined[joined == NUL_WORD] = 0
-    text = joined.tobytes()
     words = np.diff(first)
     count = np.where(words > 0, np.maximum(1, words - shingle + 1), 0)
     owner_first = np.concatenate([[0], np.cumsum(count)])
     heads = np.arange(owner_first[-1]) - np.repeat(owner_first[:-1], count) + np.repeat(first[:-1], count)
     tails = np.minimum(heads + shingle, np.repeat(first[1:], count))
-    hashes = np.fromiter((_XXH(text[a:b], SEED) for a, b in zip(at[heads].tolist(), (at[tails] - 1).tolist())), np.uint64, len(heads))
-    return _majority(hashes, owner_first)
+    return joined, at[heads], at[tails] - 1, owner_first, at[first]
+
+
+def simhash(data: np.ndarray, starts: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """Fingerprints of the texts of a block."""
+    joined, begin, end, first, _ = shingles(data, starts, shingle)
+    text = joined.tobytes()
+    hashes = np.fromiter((_XXH(text[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
+    return _majority(hashes, first)
 
 
 def with_simhash(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -109,15 +122,85 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return simhash_groups(prints).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def sketches(data: np.ndarray, starts: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: a hash of its words, and one key for each of BANDS bands of ROWS least shingle hashes (one row per text)."""
+    joined, begin, end, first, at = shingles(data, starts, shingle)
+    text = joined.tobytes()
+    node = np.fromiter((_XXH(text[a:b], SEED) for a, b in zip(at[:-1].tolist(), at[1:].tolist())), np.uint64, len(starts) - 1)
+    keys = np.zeros((len(node), BANDS), np.uint64)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        hashes = slice_hash(prefix_sums(joined), begin, end)
+        for band in range(BANDS):
+            key = np.full(len(full), band, np.uint64)
+            for a in _FACTORS[band]:
+                key = mixed(key ^ np.minimum.reduceat(hashes * a, first[full]))
+            keys[full, band] = key
+    return node, keys
+
+
+def similar_texts(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a < b of pairs of nodes whose sets of `shingle`-word runs have a Jaccard similarity of at least `similarity`.
+
+    Candidates agree in a band of least hashes. A band key of at most SMALL nodes asks for all its pairs; a larger one
+    compares its nodes with two of them, the one with the most neighbours in all bands (the text the others were made
+    from) and one by hash, so rows grow with the input and not with the square of a group. Every candidate is checked
+    exactly.
+    """
+    bands = nodes.select(F.col("__node").alias("x"), F.explode("__keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(bands.join(shared, "key"))
+    few = members.where(F.col("n") <= SMALL)
+    close = few.select("key", F.col("x").alias("a")).join(few.select("key", F.col("x").alias("b")), "key").where("a < b").select("a", "b")
+    many = members.where(F.col("n") > SMALL)
+    weights = members.groupBy("x").agg(F.sum("n").alias("weight"))
+    heads = many.join(weights, "x").groupBy("key").agg(F.max(F.struct("weight", "x")).alias("top"), F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("any"))
+    stars = many.join(heads.select("key", F.explode(F.array("top.x", "any.x")).alias("y")), "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = cut(close.unionByName(stars).distinct())
+
+    asked = pairs.select(F.col("a").alias("__node")).unionByName(pairs.select(F.col("b").alias("__node"))).distinct()
+    wanted = nodes.join(asked, "__node").select("__node", F.col("__row.__tag").alias("__want"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, starts in blocks(batches, "text"):
+            joined, begin, end, first, _ = shingles(data, starts, shingle)
+            hashes = slice_hash(prefix_sums(joined), begin, end).view(np.int64) if len(begin) else np.zeros(0, np.int64)
+            own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], names=["__node", "items"])
+
+    texts = docs.select("text", F.xxhash64("text").alias("__want")).join(wanted, "__want").select("__node", "text").dropDuplicates(["__node"])
+    items = cut(texts.mapInArrow(sets, "__node long, items array<long>"))
+    size = items.select("__node", F.size("items").alias("n"))
+    # Sizes alone rule out some pairs for certain.
+    sized = pairs.join(size.select(F.col("__node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("__node").alias("b"), F.col("n").alias("nb")), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity))
+    both = F.size(F.array_intersect("x", "y"))
+    checked = sized.join(items.select(F.col("__node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("__node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
+    return checked.where(F.col("both") / (F.col("sum") - F.col("both")) >= F.lit(similarity)).select("a", "b")
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The documents without all but one row of each near-duplicate group: the smallest id, then the least text hash.
 
+    Groups link fingerprints of at most RADIUS differing bits or, where `similarity` is given, texts whose sets of
+    `shingle`-word runs have at least that Jaccard similarity (texts alike up to spaces and A-Z case always link).
     The row is chosen per group and not per id, so groups without ids and different texts under one id keep a row each.
     """
-    prints = cut(with_simhash(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("__tag"), F.col("simhash").alias("__node")))
-    nodes = cut(first_rows(prints, "__node"))
-    parts = connected_components(linked_fingerprints(nodes.select(F.col("__node").alias("simhash"))).distinct())
-    return one_of_each(docs, nodes, parts)
+    if similarity is None:
+        prints = cut(with_simhash(docs.select("doc_id", "text"), shingle).select("doc_id", F.xxhash64("text").alias("__tag"), F.col("simhash").alias("__node")))
+        nodes = cut(first_rows(prints, "__node"))
+        return one_of_each(docs, nodes, connected_components(linked_fingerprints(nodes.select(F.col("__node").alias("simhash"))).distinct()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, starts in blocks(batches, "text"):
+            node, keys = sketches(data, starts, shingle)
+            at = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "__tag", "__node", "__keys"])
+
+    prints = docs.select("doc_id", "text", F.xxhash64("text").alias("__tag")).mapInArrow(sketch, f"doc_id {kind}, __tag long, __node long, __keys array<long>")
+    nodes = cut(first_rows(cut(prints), "__node", "__keys"))
+    return one_of_each(docs, nodes, connected_components(similar_texts(docs, nodes, shingle, similarity)))
 
 
 def first_rows(prints: DataFrame, by: str, *more: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
@@ -88,3 +89,37 @@ def test_every_group_keeps_one_row_whatever_its_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[2]), (8, texts[4]), (None, texts[4]), (9, texts[5]), (9, texts[5])]
     kept = simhash.deduplicate(frame(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()
     assert sorted(((r.doc_id, texts.index(r.text)) for r in kept), key=str) == sorted([(None, 0), (None, 1), (7, 2), (7, 3), (8, 4), (9, 5)], key=str)
+
+
+def runs_of_five(text: str) -> set[tuple]:
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = runs_of_five(a), runs_of_five(b)
+    return len(x & y) / len(x | y)
+
+
+def test_the_stage_links_texts_by_jaccard_similarity(spark, sf_dir):
+    """Pairs on both sides of 0.8, one large group made from one text, and copies; against all pairs."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for n, changes in [(100, 2), (300, 3), (300, 8), (1000, 17), (1000, 24), (1000, 30)] * 8:
+        base = [word() for _ in range(n)]
+        near = list(base)
+        for k in rng.sample(range(n), changes):
+            near[k] = word()
+        texts += [" ".join(base), " ".join(near)]
+    base = [word() for _ in range(200)]
+    for _ in range(60):
+        near = list(base)
+        near[rng.randrange(10, 190)] = word()
+        texts += [" ".join(near), " ".join(near).upper()]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    part = smallest_reachable(len(texts), links)
+    assert 60 < len(set(part)) < len(texts) - 60
+    kept = {r.doc_id for r in corpus_pipeline.without_copies(spark, frame(spark, rows), sf_dir).collect()}
+    assert kept == set(part)
