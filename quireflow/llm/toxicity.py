@@ -3,9 +3,11 @@
 Words (runs of ASCII letters and digits and of other non-ASCII bytes, lower-cased) become the sum of two hashed
 embeddings: one of the whole word and one of its first four bytes, which carries stems through inflection. Filters of
 widths 1, 2 and 3 slide over the words; each filter's greatest response over the WHOLE text feeds one logistic unit.
-Training takes a bounded, documented sample of the labelled rows (the `sample` rows with the least hash of their id);
-per-language thresholds are calibrated on a part of that sample which the gradient steps never see. Scores use the text
-alone: language only picks the threshold of the filtering decision, never the score.
+Training takes a bounded, documented sample of the labelled rows (of four fifths of the ids by hash, the `sample` ids with
+the least hash). All other labelled rows are scored by a Spark job and counted by language and bin of score; these counts
+give the calibration (Platt scaling) and every threshold, at any size in the same way. A language's threshold is the cut
+of best F1 on its own counts plus PRIOR toxic rows' worth of the counts of all languages, so few rows move it little from
+the shared one. Scores use the text alone: language only picks the threshold of the filtering decision, never the score.
 
 Null and empty texts have no words: every filter answers 0 and the score is that of the bias. Long texts are scored in
 overlapping pieces whose maxima combine, so memory is bounded. Without labelled rows of both classes every score is the
@@ -27,6 +29,7 @@ from quireflow.llm.common import NOT_ALNUM, append_columns, blocks, prefix_sums,
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
 SAMPLE, STEPS, BATCH_WORDS = 6000, 1000, 20000
+FOLDS, PRIOR, BINS = 5, 20, 256  # one fold of the ids never trains; pseudo rows of the shared counts; bins per unit of asinh(logit)
 _WORDS = word_table(True, NOT_ALNUM)
 
 
@@ -98,8 +101,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[str], toxic: np.ndarray, langs: list[str], seed: int = 7) -> ToxicityModel:
-    """Adam on the logistic loss; the last fifth of the rows only calibrates."""
+def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
+    """Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
     model = ToxicityModel(
         rng.normal(0, 0.1, (2 * BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) / w for w in WIDTHS], [np.full(FILTERS, 0.01, np.float32) for _ in WIDTHS],
@@ -108,7 +111,6 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str], seed: int = 7)
     if not 0 < toxic.sum() < len(toxic):
         model.output[:] = 0
         return model
-    cut_at = max(1, len(texts) * 4 // 5)
     coded = [word_ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in texts]
     dense = [*model.filters, *model.shift, model.output]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
@@ -117,7 +119,7 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str], seed: int = 7)
     weight = np.where(toxic > 0, len(toxic) / (2 * toxic.sum()), len(toxic) / (2 * (len(toxic) - toxic.sum())))
     model.tracing = True
     while steps < STEPS:
-        order, at = rng.permutation(cut_at), 0
+        order, at = rng.permutation(len(texts)), 0
         while at < len(order) and steps < STEPS:
             stop, words = at, 0
             while stop < len(order) and (stop == at or words + len(coded[order[stop]][0]) <= BATCH_WORDS) and stop - at < 32:
@@ -157,31 +159,41 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str], seed: int = 7)
                 squares[ids] += (total * total).mean(1)
                 model.embedding[ids] -= 0.1 * total / (np.sqrt(squares[ids]) + 1e-6)[:, None]
     model.tracing = False
-    # Rows of both classes weighed alike above; the calibration set turns logits into probabilities (Platt scaling).
-    held = np.arange(cut_at, len(texts))
-    if len(held) and 0 < toxic[held].sum() < len(held):
-        logit = np.array([model.logits(model.responses(*coded[r])[0])[0] for r in held], np.float64)
-        slope, shift = platt(logit, toxic[held])
-        model.output, model.bias = (model.output * slope).astype(np.float32), model.bias * slope + shift
-        logit = logit * slope + shift
-        for lang in sorted({langs[r] for r in held if langs[r] is not None}):
-            own = np.array([langs[r] == lang for r in held])
-            y = toxic[held][own]
-            if y.sum() >= 10 and len(y) - y.sum() >= 10:
-                model.thresholds[lang] = float(sigmoid(best_cut(logit[own], y)))
     return model
 
 
-def platt(logit: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def calibrate(model: ToxicityModel, counts: list[tuple[str | None, int, int, int]]) -> None:
+    """Platt scaling and thresholds from (language, bin, toxic rows, clean rows) of rows that did not train."""
+    bins = np.array(sorted({b for _, b, _, _ in counts}), np.int64)
+    langs = sorted({x for x, *_ in counts if x is not None})
+    place, row = {b: k for k, b in enumerate(bins.tolist())}, {x: k for k, x in enumerate(langs)}
+    own, shared = np.zeros((len(langs), 2, len(bins))), np.zeros((2, len(bins)))
+    for lang, b, hits, others in counts:
+        shared[:, place[b]] += hits, others
+        if lang is not None:
+            own[row[lang], :, place[b]] += hits, others
+    if not shared.sum(1).all():
+        return
+    # Rows of both classes weighed alike in training; the scaling turns logits into probabilities.
+    logit = np.sinh((bins + 0.5) / BINS)
+    slope, shift = platt(np.tile(logit, 2), np.repeat([1.0, 0.0], len(bins)), shared.ravel())
+    model.output, model.bias = (model.output * slope).astype(np.float32), model.bias * slope + shift
+    logit = logit * slope + shift
+    model.thresholds[""] = float(sigmoid(best_cut(logit, *shared)))
+    for lang in langs:
+        model.thresholds[lang] = float(sigmoid(best_cut(logit, *(own[row[lang]] + shared * (PRIOR / shared[0].sum())))))
+
+
+def platt(logit: np.ndarray, toxic: np.ndarray, times: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic fit of the labels on the logits, with smoothed targets; by damped Newton steps."""
-    hits = toxic.sum()
-    target = np.where(toxic > 0, (hits + 1) / (hits + 2), 1 / (len(toxic) - hits + 2))
+    hits, total = (toxic * times).sum(), times.sum()
+    target = np.where(toxic > 0, (hits + 1) / (hits + 2), 1 / (total - hits + 2))
     rows = np.stack([logit / max(1e-6, np.abs(logit).max()), np.ones(len(logit))], 1)
     at = np.zeros(2)
-    loss = lambda x: float(np.logaddexp(0, rows @ x).sum() - target @ (rows @ x))
+    loss = lambda x: float(times @ np.logaddexp(0, rows @ x) - (target * times) @ (rows @ x))
     for _ in range(100):
         p = sigmoid(rows @ at)
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + 1e-6 * np.eye(2), rows.T @ (p - target))
+        step = np.linalg.solve((rows * (times * p * (1 - p))[:, None]).T @ rows + 1e-6 * np.eye(2), rows.T @ (times * (p - target)))
         rate = 1.0
         while rate > 1e-6 and loss(at - rate * step) > loss(at):
             rate /= 2
@@ -192,13 +204,11 @@ def platt(logit: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return (float(slope), float(at[1])) if slope > 0 else (1.0, 0.0)
 
 
-def best_cut(logit: np.ndarray, toxic: np.ndarray) -> float:
-    """The midpoint of the widest gap among the cuts of highest F1."""
-    order = np.argsort(-logit)
-    x, y = logit[order], toxic[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][x[:-1] == x[1:]] = -1
+def best_cut(logit: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The midpoint of the widest gap among the cuts of highest F1; logit ascends, with so many rows of each class."""
+    used = np.flatnonzero(toxic + clean > 0)[::-1]
+    x, hits, seen = logit[used], np.cumsum(toxic[used]), np.cumsum((toxic + clean)[used])
+    f1 = 2 * hits / (seen + toxic.sum())
     after = np.append(x[1:], x[-1] - 1)
     gaps = np.where(f1 >= f1.max() - 1e-12, x - after, -1)
     k = int(gaps.argmax())
@@ -206,16 +216,36 @@ def best_cut(logit: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample: int = SAMPLE) -> ToxicityModel:
-    """Trains on at most `sample` whole labelled documents, those whose ids hash least; rows where `held_out` holds stay out."""
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
+    """Trains on at most `sample` whole labelled documents and calibrates on all others; rows where `held_out` holds stay out."""
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
     if held_out:
         rows = rows.where(~F.expr(held_out))
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out:
         known = known.where(~F.expr(held_out))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    training = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) > 0
+    chosen = known.where(training).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     got = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toPandas()
-    return train(got["text"].tolist(), got["toxic"].to_numpy(np.float64), got["lang"].tolist())
+    model = train(got["text"].tolist(), got["toxic"].to_numpy(np.float64))
+    if model.output.any():
+        ids = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(got["doc_id"].tolist()))], docs.select("doc_id").schema)
+        calibrate(model, score_counts(rows, known.join(F.broadcast(ids), "doc_id", "left_anti"), model))
+    return model
+
+
+def score_counts(rows: DataFrame, known: DataFrame, model: ToxicityModel) -> list[tuple[str | None, int, int, int]]:
+    """(language, bin, toxic rows, clean rows) of all rows with a label; texts are scored where they lie, only ids and bins meet the labels."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, starts in blocks(batches, "text"):
+            bins = np.floor(np.arcsinh(shared.value.score(data, starts).astype(np.float64)) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bins)], names=["doc_id", "lang", "bin"])
+
+    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, bin int")
+    hit = F.sum(F.col("toxic").cast("long"))
+    counts = scored.join(known, "doc_id").groupBy("lang", "bin").agg(hit.alias("hits"), (F.count("*") - hit).alias("others"))
+    return [tuple(r) for r in counts.collect()]
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

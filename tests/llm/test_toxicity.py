@@ -77,3 +77,27 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     held = "crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 = 0"
     turned = labels.withColumn("toxic", F.when(F.expr(held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert toxicity.fit(docs, labels, held).bias == toxicity.fit(docs, turned, held).bias
+
+
+def test_thresholds_come_from_all_labels_outside_training(spark):
+    """Beyond the training sample every labelled row counts, and a language with few toxic rows is calibrated as well."""
+    rows = [(k, t, "es" if k % 40 == 0 else l, s, n) for k, t, l, s, n in toy(1200)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 == 0)) for r in rows], "doc_id long, toxic int")
+    seen = []
+    own = toxicity.calibrate
+    toxicity.calibrate = lambda model, counts: (seen.extend(counts), own(model, counts))
+    try:
+        model = toxicity.fit(frame(spark, rows), labels, sample=300)
+    finally:
+        toxicity.calibrate = own
+    assert sum(a + b for _, _, a, b in seen) == 900 and sum(a for _, _, a, _ in seen) <= 400
+    assert set(model.thresholds) == {"", "de", "en", "es"} and all(x != 0.5 for x in model.thresholds.values())
+
+
+def test_few_rows_move_a_threshold_little_and_many_set_it():
+    zero = lambda: toxicity.ToxicityModel(np.zeros((1, 1)), [], [], np.ones(3, np.float32), 0.0)
+    shared = [("en", 100, 500, 0), ("en", -100, 0, 500)]
+    few, many = zero(), zero()
+    toxicity.calibrate(few, [*shared, ("es", -300, 1, 0), ("es", -400, 0, 1)])
+    toxicity.calibrate(many, [*shared, ("es", -300, 900, 0), ("es", -400, 0, 900)])
+    assert abs(few.thresholds["es"] - few.thresholds["en"]) < 0.05 and many.thresholds["es"] < many.thresholds["en"] - 0.05
