@@ -6,6 +6,7 @@ classes follow Python's str methods, which the expected results are stated in.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -159,21 +160,32 @@ def content_key(content: Column, dpi: int, force_ocr: bool, lang: str, heading_r
 
 
 def _joined(texts: list[str], known: frozenset[str]) -> str:
-    """Joins lines one by one: soft hyphens vanish, a hyphen after a word is dropped only if the dictionary wants that."""
-    import re
+    """Joins lines one by one: soft hyphens vanish, a hyphen after a word is dropped only if the dictionary wants that.
 
-    line = ""
+    Only the token that ends the text so far can matter, so a list costs what its lines are long.
+    """
+    done: list[str] = []
+    tail = ""  # the text so far from its last white space on, not yet in done
     for text in filter(None, map(str.strip, texts)):
-        words = line[:-1].split()
-        if line.endswith("­"):
-            line = line[:-1] + text
-        elif line.endswith("-") and words and not line[-2].isspace() and re.search(r"[^\W_]", words[-1]):
-            left, right = (re.sub(r"^\W+|\W+$", "", w).lower() for w in (words[-1], text.split()[0]))
-            wrapped = bool(left and right) and left + right in known and f"{left}-{right}" not in known
-            line = (line[:-1] if wrapped else line) + text
-        else:
-            line = f"{line} {text}" if line else text
-    return line
+        word = tail[:-1]
+        if tail.endswith("­"):
+            tail = word
+        elif tail.endswith("-") and _ALNUM.search(word):
+            left, right = (_EDGES.sub("", w).lower() for w in (word, text.split(None, 1)[0]))
+            if left and right and left + right in known and f"{left}-{right}" not in known:
+                tail = word
+        elif done or tail:
+            done.append(tail + " ")
+            tail = ""
+        *before, last = text.rsplit(None, 1)
+        if before:
+            done.append(tail + text[: len(text) - len(last)])
+            tail = ""
+        tail += last
+    return "".join(done) + tail
+
+
+_ALNUM, _EDGES = re.compile(r"[^\W_]"), re.compile(r"^\W+|\W+$")
 
 
 def join_lines(texts: Column, dictionary: Broadcast) -> Column:

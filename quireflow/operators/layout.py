@@ -91,39 +91,53 @@ def refine_paragraphs(lines: DataFrame, use_font_changes: bool, scope: list[str]
 
 
 def find_gutters(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, page_no, gutters: vertical strips [a, b] that separate the columns of a page, left to right."""
-    page = Window.partitionBy(*PAGE)
-    extent = words.groupBy(*PAGE).agg(F.count("*").alias("n"), F.min("x0").alias("xmin"), F.max("x1").alias("xmax"), F.min("top").alias("ymin"), F.greatest(F.median(F.col("bottom") - F.col("top")) / 2, F.lit(1.0)).alias("slice")).where(F.col("n") >= MIN_WORDS)
-    sized = extent.join(pages.select(*PAGE, "width"), PAGE).withColumn("bins", (F.ceil(F.col("xmax") - F.col("xmin")) + 1).cast("int"))
-    placed = words.select(*PAGE, "x0", "x1", "top", "bottom").join(sized, PAGE)
-    slices = placed.select(*PAGE, "xmin", "x0", "x1", F.explode(F.sequence(F.floor((F.col("top") - F.col("ymin")) / F.col("slice")), F.floor((F.col("bottom") - F.col("ymin")) / F.col("slice")))).alias("s"))
-    rows = slices.groupBy(*PAGE).agg(F.count_distinct("s").alias("rows"))
-    covered = slices.where(F.ceil(F.col("x1") - F.col("xmin")) > F.floor(F.col("x0") - F.col("xmin"))).select(*PAGE, "s", F.explode(F.sequence(F.floor(F.col("x0") - F.col("xmin")), F.ceil(F.col("x1") - F.col("xmin")) - 1)).alias("bin"))
-    blocked = covered.groupBy(*PAGE, "bin").agg(F.count_distinct("s").alias("blocked"))
-    every = sized.join(rows, PAGE).select(*PAGE, "xmin", "width", "bins", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins").cast("long") - 1)).alias("bin"))
-    free = every.join(blocked, [*PAGE, "bin"], "left").where(F.coalesce("blocked", F.lit(0)) <= (1 - FREE_HEIGHT) * F.col("rows"))
-    runs = free.withColumn("run", F.col("bin") - F.row_number().over(page.orderBy("bin"))).groupBy(*PAGE, "run", "xmin", "width", "bins").agg(F.min("bin").alias("a"), (F.max("bin") + 1).alias("b"))
-    wide = runs.where((F.col("a") > 0) & (F.col("b") < F.col("bins")) & (F.col("b") - F.col("a") >= MIN_GUTTER * F.col("width")))
+    """doc_id, page_no, gutters: vertical strips [a, b] that separate the columns of a page, left to right.
+
+    Words block 1-point bins in the height slices they touch. Per slice the words' bins merge to islands; the islands' ends, summed
+    per page from left to right, give the number of blocked slices between any two ends. Rows grow with words, not with their
+    width, and each step clusters by page, so that words dealt by doc_id are not dealt again.
+    """
+    page, measures = Window.partitionBy(*PAGE), [*PAGE, "xmin", "bins"]
+    up_to_here, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    extent = {"n": F.count("*").over(page), "xmin": F.min("x0").over(page), "xmax": F.max("x1").over(page), "ymin": F.min("top").over(page), "slice": F.greatest(F.median(F.col("bottom") - F.col("top")).over(page) / 2, F.lit(1.0))}
+    sized = words.select(*PAGE, "x0", "x1", "top", "bottom").withColumns(extent).where(F.col("n") >= MIN_WORDS)
+    slice_of = lambda c: F.floor((F.col(c) - F.col("ymin")) / F.col("slice"))
+    bins = (F.ceil(F.col("xmax") - F.col("xmin")) + 1).alias("bins")
+    slices = sized.select(*PAGE, "xmin", bins, F.floor(F.col("x0") - F.col("xmin")).alias("a"), F.ceil(F.col("x1") - F.col("xmin")).alias("b"), F.explode(F.sequence(slice_of("top"), slice_of("bottom"))).alias("s"))
+    left_to_right = Window.partitionBy(*PAGE, "s").orderBy("a", "b")
+    starts = F.when(F.coalesce(F.col("a") <= F.max("b").over(left_to_right.rowsBetween(*before)), F.lit(False)), 0).otherwise(1)
+    islands = slices.withColumn("starts", starts).withColumn("island", F.sum("starts").over(left_to_right.rowsBetween(*up_to_here))).groupBy(*measures, "s", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    covers = F.when(F.col("a") < F.col("b"), 1).otherwise(0)
+    end = lambda at, step, row: F.struct(at.alias("at"), step.alias("step"), row.alias("row"))
+    # One island per slice also counts the slice itself; the page's own ends bound the first and last stretch.
+    first = F.col("island") == 1
+    ends = F.array(end(F.col("a"), covers, F.when(first, 1).otherwise(0)), end(F.col("b"), -covers, F.lit(0)), end(F.lit(0).cast("long"), F.lit(0), F.lit(0)), end(F.col("bins"), F.lit(0), F.lit(0)))
+    steps = islands.select(*measures, F.explode(F.when(first, ends).otherwise(F.slice(ends, 1, 2))).alias("e")).groupBy(*measures, "e.at").agg(F.sum("e.step").alias("step"), F.sum("e.row").alias("row"))
+    along = page.orderBy("at")
+    stretches = steps.select(*measures, F.col("at").alias("a"), F.lead("at").over(along).alias("b"), F.sum("step").over(along.rowsBetween(*up_to_here)).alias("blocked"), F.sum("row").over(page).alias("rows")).where("b is not null")
+    taken = F.when(F.col("blocked") <= (1 - FREE_HEIGHT) * F.col("rows"), 0).otherwise(1)
+    free = stretches.withColumn("taken", taken).withColumn("run", F.sum("taken").over(page.orderBy("a").rowsBetween(*up_to_here))).where("taken = 0").groupBy(*measures, "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    wide = free.where((F.col("a") > 0) & (F.col("b") < F.col("bins"))).join(pages.select(*PAGE, "width"), PAGE).where(F.col("b") - F.col("a") >= MIN_GUTTER * F.col("width"))
     best = wide.withColumn("rank", F.row_number().over(page.orderBy((F.col("a") - F.col("b")).asc(), "a"))).where(F.col("rank") <= MAX_COLUMNS - 1)
     gutters = best.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct((F.col("xmin") + F.col("a")).alias("a"), (F.col("xmin") + F.col("b")).alias("b")))).alias("gutters"))
-    # Columns with too few words lose a gutter; at most MAX_COLUMNS - 1 times.
-    centres = words.groupBy(*PAGE).agg(F.collect_list((F.col("x0") + F.col("x1")) / 2).alias("centres"))
-    gutters = gutters.join(centres, PAGE)
-    for _ in range(MAX_COLUMNS - 1):
-        gutters = gutters.select(*PAGE, without_thin_column(F.col("gutters"), F.col("centres")).alias("gutters"), "centres")
-    return gutters.where(F.size("gutters") > 0).select(*PAGE, "gutters")
+    column = column_of("gutters", F.col("x0"), F.col("x1"))
+    counted = words.select(*PAGE, "x0", "x1").join(gutters, PAGE).select(*PAGE, "gutters", column.alias("column")).groupBy(*PAGE).agg(F.first("gutters").alias("gutters"), *(F.count_if(F.col("column") == k).alias(f"c{k}") for k in range(MAX_COLUMNS)))
+    kept = counted.select(*PAGE, without_thin_columns(F.col("gutters"), F.slice(F.array(*(F.col(f"c{k}") for k in range(MAX_COLUMNS))), F.lit(1), F.size("gutters") + 1)).alias("gutters"))
+    return kept.where(F.size("gutters") > 0)
 
 
-def without_thin_column(gutters: Column, centres: Column) -> Column:
-    """Drops the gutter beside the first thinnest column if that holds too few of the words."""
-    side = lambda g, c: F.size(F.filter(g, lambda x: (x["a"] + x["b"]) / 2 <= c))
-    counts = lambda g: F.transform(F.sequence(F.lit(0), F.size(g)), lambda k: F.size(F.filter(centres, lambda c: side(g, c) == k)))
+def without_thin_columns(gutters: Column, counts: Column) -> Column:
+    """Drops the gutter beside the first thinnest column while that holds too few of the words; counts: words per column."""
+    part = lambda g, c: F.struct(g.alias("g"), c.alias("c"))
 
-    def dropped(g: Column, each: Column) -> Column:
-        thin = (F.array_position(each, F.array_min(each)) - 1).cast("int")
-        return F.when((F.size(g) > 0) & (F.array_min(each) < MIN_SIDE * F.size(centres)), F.filter(g, lambda x, i: i != F.least(thin, F.size(g) - 1))).otherwise(g)
+    def step(s: Column, _: Column) -> Column:
+        least = F.array_min(s["c"])
+        at = F.least(F.array_position(s["c"], least) - 1, (F.size(s["g"]) - 1).cast("long"))
+        merged = F.filter(F.transform(s["c"], lambda c, i: F.when(i == at, c + F.element_at(s["c"], i + 2)).otherwise(c)), lambda _, i: i != at + 1)
+        thin = (F.size(s["g"]) > 0) & (least < MIN_SIDE * F.aggregate(s["c"], F.lit(0).cast("long"), lambda a, c: a + c))
+        return F.when(thin, part(F.filter(s["g"], lambda _, i: i != at), merged)).otherwise(s)
 
-    return X.let(gutters, lambda g: X.let(counts(g), lambda each: dropped(g, each)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COLUMNS - 1)), part(gutters, counts), step, lambda s: s["g"])
 
 
 def column_of(gutters: str, x0: Column, x1: Column) -> Column:

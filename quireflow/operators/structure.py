@@ -20,6 +20,7 @@ from quireflow.operators.layout import PAGE
 JUMP, MINOR, BOLD_REL = 1.2, 1.2, 0.95
 MAX_WORDS, MAX_LINES, MINOR_WORDS, BOLD_WORDS = 25, 4, 10, 12
 TIER, TIER_EPSILON, MAX_LEVEL, MERGE_GAP = 0.88, 1e-9, 3, 1.2
+BLOCKS = 1 << 31  # above the number of lists in any one group
 
 BLOCK = "doc_id long, page_no int, block_idx long, kind string, text string, level int, items array<struct<n:int,parts:array<string>>>, rel double, top double, bottom double, size double"
 
@@ -61,31 +62,37 @@ def is_heading(ratio: float = 1.5) -> Column:
     return X.let(F.col("text"), judged)
 
 
-def list_states(lines: str = "lines") -> Column:
-    """Array of (kind, n, text, at) per line: what the list state machine makes of each.
+def read_lines(lines: str = "lines") -> Column:
+    """Array of (t, n, bullet) per line: its text, its number if it begins with one, and what follows its bullet. Each pattern is tried once."""
+    return F.transform(lines, lambda x: X.let(X.strip(x), lambda t: F.struct(t.alias("t"), F.nullif(F.regexp_extract(t, X.ORDERED, 1), F.lit("")).cast("int").alias("n"), F.nullif(F.regexp_extract(t, X.BULLET, 1), F.lit("")).alias("bullet"))))
+
+
+def list_states(read: str | Column = "read") -> Column:
+    """Array of (kind, n, text, at) per line of read_lines: what the list state machine makes of each.
 
     kind: 'p' plain before any list, 'ol'/'ul' a new item, '+' a continuation of the item before; at: number of the list in
-    the paragraph (0 before any).
+    the paragraph (0 before any). The machine itself compares numbers only.
     """
-    state = "struct<kind:string,last:int,plain:boolean,list:int,out:array<struct<kind:string,n:int,text:string,at:int>>>"
+    state = "struct<kind:string,last:int,plain:boolean,list:int,out:array<struct<label:string,at:int>>>"
     zero = F.from_json(F.lit('{"kind":"","last":0,"plain":false,"list":0,"out":[]}'), state)
 
-    def step(s: Column, raw: Column) -> Column:
-        t = X.strip(raw)
-        number = F.nullif(F.regexp_extract(t, X.ORDERED, 1), F.lit("")).cast("int")
-        bullet = F.nullif(F.regexp_extract(t, X.BULLET, 1), F.lit(""))
-        goes_on = number.isNotNull() & (s["kind"] == "ol") & (number == s["last"] + 1)
-        begins = number.isNotNull() & (((s["kind"] == "") & (~s["plain"] | (number == 1))) | ((s["kind"] == "ul") & (number == 1)))
+    def step(s: Column, line: Column) -> Column:
+        n, bullet = line["n"], line["bullet"]
+        goes_on = n.isNotNull() & (s["kind"] == "ol") & (n == s["last"] + 1)
+        begins = n.isNotNull() & (((s["kind"] == "") & (~s["plain"] | (n == 1))) | ((s["kind"] == "ul") & (n == 1)))
         item = bullet.isNotNull() & s["kind"].isin("", "ul")
-        ordered = goes_on | begins
-        kind = F.when(ordered, "ol").when(item, "ul").otherwise(s["kind"])
-        where = F.when(begins | (~ordered & item & (s["kind"] == "")), s["list"] + 1).otherwise(s["list"])
-        label = F.when(ordered, "ol").when(item, "ul").when(s["kind"] == "", "p").otherwise("+")
-        text = F.when(ordered, F.regexp_extract(t, X.ORDERED, 2)).when(item, bullet).otherwise(t)
-        made = F.struct(label.alias("kind"), F.when(ordered, number).alias("n"), text.alias("text"), where.alias("at"))
-        return F.struct(kind.alias("kind"), F.when(ordered, number).otherwise(s["last"]).alias("last"), (s["plain"] | (label == "p")).alias("plain"), where.alias("list"), F.concat(s["out"], F.array(made)).alias("out"))
+        label = F.when(goes_on | begins, "ol").when(item, "ul").when(s["kind"] == "", "p").otherwise("+")
+        where = F.when(begins | (item & (s["kind"] == "")), s["list"] + 1).otherwise(s["list"])
+        made = F.struct(label.alias("label"), where.alias("at"))
+        # One variable holds label and list, so that each is computed once per line.
+        return X.let(made, lambda m: F.struct(
+            F.when(m["label"].isin("ol", "ul"), m["label"]).otherwise(s["kind"]).alias("kind"), F.when(m["label"] == "ol", n).otherwise(s["last"]).alias("last"), (s["plain"] | (m["label"] == "p")).alias("plain"),
+            m["at"].alias("list"), F.concat(s["out"], F.array(m)).alias("out"),
+        ))
 
-    return F.aggregate(lines, zero, step, lambda s: s["out"])
+    outs = F.aggregate(read, zero, step, lambda s: s["out"])
+    text = lambda x, m: F.when(m["label"] == "ol", F.regexp_extract(x["t"], X.ORDERED, 2)).when(m["label"] == "ul", x["bullet"]).otherwise(x["t"])
+    return F.zip_with(read, outs, lambda x, m: F.struct(m["label"].alias("kind"), F.when(m["label"] == "ol", x["n"]).alias("n"), text(x, m).alias("text"), m["at"].alias("at")))
 
 
 def split_merged_items(n: int | None, text: str) -> list[tuple[int | None, str]]:
@@ -97,39 +104,41 @@ def split_merged_items(n: int | None, text: str) -> list[tuple[int | None, str]]
     return [*out, (n, text)]
 
 
+_ITEMS = "array<struct<n:int,parts:array<string>>>"
+_MADE = f"array<struct<pos:long,kind:string,text:string,items:{_ITEMS}>>"
+
+
 def to_blocks(groups: DataFrame, dictionary: Broadcast, ratio: float = 1.5) -> DataFrame:
     """Headings, paragraphs and lists of each size group, in order (block_idx)."""
-    flagged = groups.withColumn("heading", is_heading(ratio)).withColumn("states", F.when(~F.col("heading"), list_states()))
 
-    @F.pandas_udf("array<struct<pos:int,kind:string,items:array<struct<n:int,parts:array<string>>>>>")
+    @F.pandas_udf(_MADE)
     def lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for states in batches:
-            yield states.map(lambda rows: _lists(rows, dictionary.value))
-
-    plain = F.transform(F.filter("states", lambda x: x["kind"] == "p"), lambda x: x["text"])
-    listed = lists(F.when(F.exists("states", lambda x: x["at"] > 0), F.col("states")))
-    parts = flagged.withColumns({"plain": X.join_lines(F.when(F.size(plain) > 0, plain), dictionary), "listed": listed})
-    block = lambda pos, kind, text, items: F.struct(pos.cast("long").alias("pos"), kind.alias("kind"), text.alias("text"), items.alias("items"))
-    none = F.expr("cast(null as array<struct<n:int,parts:array<string>>>)")
-    head = block(F.lit(0), F.lit("h"), X.strip(F.regexp_replace("text", r"#+\z", "")), none)
-    para = F.when(F.col("plain").isNotNull(), F.array(block(F.lit(0), F.lit("p"), F.col("plain"), none))).otherwise(F.array().cast("array<struct<pos:long,kind:string,text:string,items:array<struct<n:int,parts:array<string>>>>>"))
-    made = F.when(F.col("heading"), F.array(head)).otherwise(F.concat(para, F.transform("listed", lambda x: block(x["pos"], x["kind"], F.lit(""), x["items"]))))
-    rows = parts.select("doc_id", "page_no", "rel", "top", "bottom", "size", "first_line", F.explode(made).alias("b"))
-    return rows.select("doc_id", "page_no", "rel", "top", "bottom", "size", (F.col("first_line") * 1000 + F.col("b.pos")).cast("long").alias("block_idx"), F.col("b.kind").alias("kind"), F.col("b.text").alias("text"), F.col("b.items").alias("items"), F.lit(0).alias("level"))
-
-
-def _lists(rows: list | None, known: frozenset[str]) -> list[dict]:
-    found: dict[int, dict] = {}
-    for row in rows if rows is not None else []:
+            yield states.map(lambda rows: _lists(rows, dictionary.value), na_action="ignore")
+
+    # Groups without a marker, most of them, are their joined text; only those with a list leave the JVM.
+    marked = groups.withColumn("read", read_lines()).withColumn("states", F.when(F.exists("read", lambda x: x["n"].isNotNull() | x["bullet"].isNotNull()), list_states()))
+    listed = marked.withColumn("listed", lists(F.when(F.exists("states", lambda x: x["at"] > 0), F.col("states"))))
+    block = lambda kind, text: F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit(kind).alias("kind"), text.alias("text"), F.expr(f"cast(null as {_ITEMS})").alias("items")))
+    made = F.when(is_heading(ratio), block("h", X.strip(F.regexp_replace("text", r"#+\z", "")))).when(F.col("listed").isNotNull(), F.col("listed")).otherwise(block("p", F.col("text")))
+    rows = listed.select("doc_id", "page_no", "rel", "top", "bottom", "size", "first_line", F.explode(made).alias("b"))
+    return rows.select("doc_id", "page_no", "rel", "top", "bottom", "size", (F.col("first_line").cast("long") * BLOCKS + F.col("b.pos")).alias("block_idx"), F.col("b.kind").alias("kind"), F.col("b.text").alias("text"), F.col("b.items").alias("items"), F.lit(0).alias("level"))
+
+
+def _lists(rows: list, known: frozenset[str]) -> list[dict]:
+    """The blocks of one group's line states: the text before any list, then each list."""
+    plain, found = [row["text"] for row in rows if row["kind"] == "p"], {}
+    for row in rows:
         if row["kind"] in ("ol", "ul"):
-            made = found.setdefault(row["at"], {"pos": row["at"], "kind": row["kind"], "items": []})
+            made = found.setdefault(row["at"], {"pos": row["at"], "kind": row["kind"], "text": "", "items": []})
             made["items"].append({"n": None if row["kind"] == "ul" else int(row["n"]), "parts": [row["text"]]})
         elif row["kind"] == "+":
             found[row["at"]]["items"][-1]["parts"].append(row["text"])
     for made in found.values():
         if made["kind"] == "ol":
             made["items"] = [{"n": n, "parts": [t]} for x in made["items"] for n, t in split_merged_items(x["n"], _joined(x["parts"], known))]
-    return list(found.values())
+    before = [{"pos": 0, "kind": "p", "text": _joined(plain, known), "items": None}] if plain else []
+    return before + list(found.values())
 
 
 @F.pandas_udf(DoubleType())

@@ -15,7 +15,7 @@ pieces AS (SELECT doc_id, ln, row0, unnest(string_split(line, ' ')) AS text, gen
 offsets AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, ln ORDER BY wn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM pieces),
 placed AS (SELECT *, (row0 + off // 90)::BIGINT AS r, CASE WHEN ln = 0 THEN 24.0 ELSE 10.0 END::DOUBLE AS size FROM offsets WHERE text <> ''),
 words AS (
-  SELECT doc_id, (r // 50 + 1)::INT AS page_no, (ln * 100000 + wn)::BIGINT AS word_idx, text, (72 + 5 * (off % 90))::DOUBLE AS x0, (72 + 5 * (off % 90) + 5 * length(text))::DOUBLE AS x1, (60 + 13 * (r % 50))::DOUBLE AS top, (60 + 13 * (r % 50) + size)::DOUBLE AS bottom,
+  SELECT doc_id, (r // 50 + 1)::INT AS page_no, (ln::BIGINT * 2147483648 + wn)::BIGINT AS word_idx, text, (72 + 5 * (off % 90))::DOUBLE AS x0, (72 + 5 * (off % 90) + 5 * length(text))::DOUBLE AS x1, (60 + 13 * (r % 50))::DOUBLE AS top, (60 + 13 * (r % 50) + size)::DOUBLE AS bottom,
          size, ln % 11 = 5 AS bold, ((7 * wn + ln) % 100)::DOUBLE AS conf, ln + 1 AS par_num, r::INT AS line_num FROM placed
 )"""
 
@@ -229,7 +229,7 @@ def sql() -> dict[str, str]:
             "tiered AS (SELECT doc_id, list_reduce(list_transform(sizes, lambda x: [x]), lambda a, b: CASE WHEN b[1] < a[-1] * 0.88::DOUBLE THEN list_concat(a, b) ELSE a END) AS tiers FROM listed)",
             select="SELECT s.doc_id, rel, (CASE WHEN rel < 1.2::DOUBLE THEN least(greatest(len(list_filter(tiers, lambda t: t >= 1.2::DOUBLE)) + 1, 2), 3) ELSE least(coalesce(list_position(list_transform(tiers, lambda t: rel >= t * 0.88::DOUBLE - 1e-9), true), len(tiers)), 3) END)::INT AS level, n FROM sized s JOIN tiered USING (doc_id)",
         ),
-        "list_blocks": _with(FEATURES, MARKED, GROUPS.replace("FROM features", "FROM marked"), LISTS, select="SELECT t.doc_id, t.page_no, (h.first_line * 1000 + t.lst)::BIGINT AS block_idx, t.kind, (row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.para_idx, t.grp, t.lst ORDER BY t.item, t.piece) - 1)::INT AS pos, CASE WHEN t.kind = 'ol' THEN t.n END AS n, t.part AS parts FROM texts t JOIN headed h ON h.doc_id = t.doc_id AND h.page_no = t.page_no AND h.para_idx = t.para_idx AND h.grp = t.grp", recursive=True),
+        "list_blocks": _with(FEATURES, MARKED, GROUPS.replace("FROM features", "FROM marked"), LISTS, select="SELECT t.doc_id, t.page_no, (h.first_line::BIGINT * 2147483648 + t.lst)::BIGINT AS block_idx, t.kind, (row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.para_idx, t.grp, t.lst ORDER BY t.item, t.piece) - 1)::INT AS pos, CASE WHEN t.kind = 'ol' THEN t.n END AS n, t.part AS parts FROM texts t JOIN headed h ON h.doc_id = t.doc_id AND h.page_no = t.page_no AND h.para_idx = t.para_idx AND h.grp = t.grp", recursive=True),
         "render_blocks": _with(
             RAW, f"kinds AS (SELECT doc_id, ln, CASE WHEN ln % 8 = 0 THEN 'h' WHEN ln % 8 < 3 THEN 'ol' WHEN ln % 8 < 5 THEN 'ul' ELSE 'p' END AS kind, CASE WHEN ln % 8 = 6 THEN '7. ' || line WHEN ln % 8 = 7 THEN '# ' || line ELSE line END AS text, {_STRIP.format('line')} AS item FROM raw)",
             f"mds AS (SELECT *, CASE kind WHEN 'h' THEN repeat('#', (ln % 3 + 1)::INT) || ' ' || text WHEN 'p' THEN {escaped('text')} WHEN 'ol' THEN (ln % 8) || '. ' || item ELSE '- ' || item END AS md, CASE WHEN lag(kind) OVER w = kind AND kind IN ('ol', 'ul') THEN 0 ELSE 1 END AS opens FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY ln))",

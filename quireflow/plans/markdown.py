@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.operators import clean, layout, render, structure
+from quireflow.scratch import cut
 
 
 def structured_lines(words: DataFrame, pages: DataFrame, source: str, columns: bool = True) -> DataFrame:
@@ -28,8 +29,10 @@ def blocks_of(lines: DataFrame, sizes: DataFrame, dictionary: Broadcast, ratio:
 
 
 def build_markdown(words: DataFrame, pages: DataFrame, dictionary: Broadcast, ratio: float = 1.5, source: str = "text", columns: bool = True) -> DataFrame:
-    """doc_id, markdown."""
-    # Lines are kept once: they part a long plan in two, so that neither half is planned again with every stage of the other.
-    lines = clean.clean_pages(structured_lines(words, pages, source, columns).persist(StorageLevel.MEMORY_AND_DISK))
-    sizes = structure.body_sizes(words.withColumn("source", F.lit(source)))
-    return render.render(render.block_markdown(blocks_of(lines, sizes, dictionary, ratio), dictionary))
+    """doc_id, markdown. Lines and body sizes are written to the shared folder once, then merged blocks: each part is a short plan."""
+    words = words.persist(StorageLevel.DISK_ONLY)  # lines read them four times; extraction or typesetting is dearer than a local copy
+    lines = cut(structured_lines(words, pages, source, columns))
+    sizes = cut(structure.body_sizes(words.withColumn("source", F.lit(source))))
+    words.unpersist()
+    blocks = cut(blocks_of(clean.clean_pages(lines), sizes, dictionary, ratio))
+    return render.render(render.block_markdown(blocks, dictionary))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHARS, ROWS, PITCH, WIDTH, HEIGHT = 90, 50, 13, 612.0, 792.0
+LINE = 1 << 31  # above the number of words in any one line
 
 
 def typeset(docs: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def typeset(docs: DataFrame) -> DataFrame:
     size = F.when(F.col("ln") == 0, 24.0).otherwise(10.0)
     placed = placed.withColumn("row", row).withColumn("x0", (72 + 5 * (F.col("off") % CHARS)).cast("double")).withColumn("top", (60 + PITCH * (F.col("row") % ROWS)).cast("double"))
     return placed.select(
-        "doc_id", (F.floor(F.col("row") / ROWS) + 1).cast("int").alias("page_no"), (F.col("ln") * 100000 + F.col("wn")).cast("long").alias("word_idx"), "text", "x0", (F.col("x0") + 5 * F.length("text")).alias("x1"), "top",
+        "doc_id", (F.floor(F.col("row") / ROWS) + 1).cast("int").alias("page_no"), (F.col("ln").cast("long") * LINE + F.col("wn")).alias("word_idx"), "text", "x0", (F.col("x0") + 5 * F.length("text")).alias("x1"), "top",
         (F.col("top") + size).alias("bottom"), size.alias("size"), F.when(F.col("ln") % 11 == 5, "Helvetica-Bold").otherwise("Helvetica").alias("fontname"), ((7 * F.col("wn") + F.col("ln")) % 100).cast("double").alias("conf"),
         F.lit(1).alias("block_num"), (F.col("ln") + 1).alias("par_num"), F.col("row").cast("int").alias("line_num"),
     )
