@@ -58,6 +58,15 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
         _remove([path for path in made if path not in stay])
 
 
+def release(df: DataFrame) -> None:
+    """Removes the scratch folders that a frame reads from; it is of no use afterwards."""
+    names = df.inputFiles()
+    for made in _scopes:
+        gone = [path for path in made if any(path.rsplit("/", 1)[1] in name for name in names)]
+        made[:] = [path for path in made if path not in gone]
+        _remove(gone)
+
+
 def _remove(paths: list[str]) -> None:
     for path in paths:
         with contextlib.suppress(OSError, ValueError):  # a folder that was never written, or a file system only Spark opens
