@@ -1,9 +1,7 @@
-"""Helpers that the training-data operators share: scratch tables, byte-level text blocks, graph components."""
+"""Helpers that the training-data operators share: byte-level text blocks, rolling hashes, graph components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,37 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireflow.scratch import cut, release, scope, scratch_dir
+
+__all__ = ["cut", "release", "scope", "scratch_dir"]
+
 #: Bytes of text that one numpy block holds (a longer text gets a block of its own).
 BLOCK_BYTES = 1 << 18
+#: Texts in one block at most, so that a text's number in its block fits 16 bits.
+BLOCK_TEXTS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared folder of spark.checkpoint.dir, removed when the session's JVM ends.
-
-    Where the setting is absent (single-machine tests) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quireflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quireflow-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read again: lineage ends here and survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def append_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
@@ -59,7 +40,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         first = 0
         while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+            last = min(max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1), first + BLOCK_TEXTS)
             yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
 

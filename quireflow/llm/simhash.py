@@ -11,7 +11,7 @@ or 43 bits, so chance partners stay few at any corpus size. Copies share a finge
 
 The pipeline's stage asks for a Jaccard similarity of word runs instead (see similar_texts). Fingerprints cannot find such
 pairs: at similarity 0.8 about 10 of 64 bits differ, and a radius that wide leaves segments too short to select by. Its
-candidates come from bands of least shingle hashes.
+candidates come from bands of least shingle hashes, all of which are compared (see similar_texts).
 
 Null and empty texts have fingerprint 0 and link like any other. Null ids take no part in the choice of the smallest id
 unless the whole group has none. Input columns named like a result column are replaced.
@@ -35,7 +35,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 _WORDS = word_table(True, SPACES)
 _XXH = xxhash.xxh64_intdigest
 #: Bands and least hashes in each (a pair of Jaccard similarity s shares a band with chance 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8); the odd factors permute the hashes.
-BANDS, ROWS, SMALL = 24, 6, 16
+BANDS, ROWS = 24, 6
+STAR, TILE = 512, 128  # nodes that one task compares with a group's head, and in one block of a tile
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -140,26 +141,42 @@ def sketches(data: np.ndarray, starts: np.ndarray, shingle: int) -> tuple[np.nda
 
 
 def similar_texts(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a < b of pairs of nodes whose sets of `shingle`-word runs have a Jaccard similarity of at least `similarity`.
+    """a, b of links that connect nodes whose sets of `shingle`-word runs have a Jaccard similarity of at least `similarity`.
 
-    Candidates agree in a band of least hashes. A band key of at most SMALL nodes asks for all its pairs; a larger one
-    compares its nodes with two of them, the one with the most neighbours in all bands (the text the others were made
-    from) and one by hash, so rows grow with the input and not with the square of a group. Every candidate is checked
-    exactly.
+    Candidates agree in a band of least hashes; none is left out, however large a band's group is:
+
+    1. Each group compares its nodes with one of them, the one with the most neighbours in all bands (mostly the text that the
+       others were made from). That makes most groups one component already.
+    2. In groups that still hold several components, all pairs of nodes of different components are compared, inside tasks, in
+       tiles of two blocks. Pairs inside a component cannot change the groups and are passed over.
+
+    Rows grow with the group, never with its square; every link is checked exactly.
     """
     bands = nodes.select(F.col("__node").alias("x"), F.explode("__keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(bands.join(shared, "key"))
-    few = members.where(F.col("n") <= SMALL)
-    close = few.select("key", F.col("x").alias("a")).join(few.select("key", F.col("x").alias("b")), "key").where("a < b").select("a", "b")
-    many = members.where(F.col("n") > SMALL)
-    weights = members.groupBy("x").agg(F.sum("n").alias("weight"))
-    heads = many.join(weights, "x").groupBy("key").agg(F.max(F.struct("weight", "x")).alias("top"), F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("any"))
-    stars = many.join(heads.select("key", F.explode(F.array("top.x", "any.x")).alias("y")), "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = cut(close.unionByName(stars).distinct())
+    items = cut(text_sets(docs, nodes.join(members.select(F.col("x").alias("__node")).distinct(), "__node", "left_semi"), shingle))
 
-    asked = pairs.select(F.col("a").alias("__node")).unionByName(pairs.select(F.col("b").alias("__node"))).distinct()
-    wanted = nodes.join(asked, "__node").select("__node", F.col("__row.__tag").alias("__want"))
+    weights = members.groupBy("x").agg(F.sum("n").alias("weight"))
+    heads = members.join(weights, "x").groupBy("key").agg(F.max(F.struct("weight", "x")).alias("top")).select("key", F.col("top.x").alias("head"))
+    stars = cut(members.join(heads, "key").where("x != head").select("head", "x").distinct())
+    dealt = stars.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    asked = stars.join(dealt, "head").select("head", F.expr("pmod(xxhash64(x), parts)").alias("part"), "x", F.lit(0).alias("side"))
+    own = dealt.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("head").alias("x"), F.lit(1).alias("side"))
+    first = cut(near_links(asked.unionByName(own).select(F.col("head").alias("g"), F.col("part").alias("tile"), "x", F.col("x").alias("c"), "side", F.lit(True).alias("cross")), items, similarity))
+
+    parts = cut(connected_components(first))
+    placed = members.join(parts, F.col("x") == F.col("node"), "left").select("key", "x", "n", F.coalesce("component", "x").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    rest = placed.join(several, "key").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(x), blocks) as int)"))
+    tiles = F.expr("transform(sequence(0, blocks - 1), k -> struct(cast(least(mine, k) as long) * blocks + greatest(mine, k) as tile, if(mine <= k, 0, 1) as side, mine != k as cross))")
+    spread = rest.select(F.col("key").alias("g"), "x", "c", F.explode(tiles).alias("t")).select("g", "t.tile", "x", "c", "t.side", F.col("t.cross").alias("cross"))
+    second = near_links(spread, items, similarity)
+    return parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
+
+
+def text_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """x, items: the sorted different shingle hashes of each node's text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, starts in blocks(batches, "text"):
@@ -167,16 +184,82 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
             hashes = slice_hash(prefix_sums(joined), begin, end).view(np.int64) if len(begin) else np.zeros(0, np.int64)
             own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], names=["__node", "items"])
-
-    texts = docs.select("text", F.xxhash64("text").alias("__want")).join(wanted, "__want").select("__node", "text").dropDuplicates(["__node"])
-    items = cut(texts.mapInArrow(sets, "__node long, items array<long>"))
-    size = items.select("__node", F.size("items").alias("n"))
-    # Sizes alone rule out some pairs for certain.
-    sized = pairs.join(size.select(F.col("__node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("__node").alias("b"), F.col("n").alias("nb")), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity))
-    both = F.size(F.array_intersect("x", "y"))
-    checked = sized.join(items.select(F.col("__node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("__node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("sum"))
-    return checked.where(F.col("both") / (F.col("sum") - F.col("both")) >= F.lit(similarity)).select("a", "b")
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], names=["x", "items"])
+
+    wanted = nodes.select(F.col("__node").alias("x"), F.col("__row.__tag").alias("__want"))
+    texts = docs.select("text", F.xxhash64("text").alias("__want")).join(wanted, "__want").select("x", "text").dropDuplicates(["x"])
+    return texts.mapInArrow(sets, "x long, items array<long>")
+
+
+def near_links(groups: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that span what the checked pairs of each group (g, tile) connect; groups(g, tile, x, c, side, cross).
+
+    Compared are nodes of different c, only across sides where `cross` holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ("g", "tile")):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked_rows(rows, similarity)], names=["a", "b"])
+
+    full = groups.join(items, "x").select("g", "tile", "x", "c", "side", "cross", "items")
+    return full.repartition("g", "tile").sortWithinPartitions("g", "tile").mapInArrow(run, "a long, b long")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each group, which stand together, as one table."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys], axis=1)
+        edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(values)]
+        for a, b in zip(edges, edges[1:]):
+            if held and tuple(values[a]) != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = tuple(values[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def linked_rows(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of a group, the least node that similar pairs connect it with, where that is another."""
+    rows = rows.combine_chunks()
+    x, c, side = (rows.column(k).to_numpy() for k in ("x", "c", "side"))
+    lists = rows.column("items").chunk(0)
+    n = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+    tokens, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(x)), n)
+    cross = bool(rows.column("cross")[0].as_py())
+    if cross and (side == 1).sum() == 1:
+        head = int(np.flatnonzero(side == 1)[0])
+        both = np.bincount(owner[np.isin(tokens, tokens[owner == head])], minlength=len(x))
+        i = np.flatnonzero((side == 0) & (both >= similarity * (n + n[head] - both)) & (c != c[head]))
+        j = np.full(len(i), head)
+    else:
+        different, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(times > 1)
+        both = np.zeros((len(x), len(x)), np.float32)
+        for k in range(0, len(common), 4096):  # bounded by the tile and this width, however long the texts are
+            place = np.full(len(different), -1, np.int64)
+            place[common[k : k + 4096]] = np.arange(len(common[k : k + 4096]))
+            some = place[at] >= 0
+            grid = np.zeros((len(x), len(common[k : k + 4096])), np.float32)
+            grid[owner[some], place[at][some]] = 1
+            both += grid @ grid.T
+        total = n[:, None] + n[None, :] - both
+        near = (both >= similarity * total) & (c[:, None] != c[None, :]) & (total > 0)
+        i, j = np.nonzero(near & (side[:, None] != side[None, :]) if cross else np.triu(near, 1))
+    hub = x.copy()
+    while len(i):
+        before = hub.copy()
+        np.minimum.at(hub, i, hub[j])
+        np.minimum.at(hub, j, hub[i])
+        if (before == hub).all():
+            break
+    moved = hub != x
+    return x[moved], hub[moved]
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:

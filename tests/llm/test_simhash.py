@@ -123,3 +123,39 @@ def test_the_stage_links_texts_by_jaccard_similarity(spark, sf_dir):
     assert 60 < len(set(part)) < len(texts) - 60
     kept = {r.doc_id for r in corpus_pipeline.without_copies(spark, frame(spark, rows), sf_dir).collect()}
     assert kept == set(part)
+
+
+def test_a_group_without_a_centre_is_linked_whole(spark, sf_dir):
+    """Texts that share most words, in several clusters far from each other's centre: no cap, head or tile may lose a link."""
+    rng = random.Random(6)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for cluster in range(5):
+        own = list(base)
+        for k in rng.sample(range(400), 26):
+            own[k] = f"c{cluster}x{k}"
+        for _ in range(70):
+            near = list(own)
+            for k in rng.sample(range(400), rng.randrange(1, 4)):
+                near[k] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(near))
+    rng.shuffle(texts)
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    sets = [runs_of_five(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = smallest_reachable(len(texts), links)
+    kept = {r.doc_id for r in corpus_pipeline.without_copies(spark, frame(spark, rows), sf_dir).collect()}
+    assert kept == set(want)
+
+
+def test_tiles_find_every_link(spark):
+    """near_links on one large group, dealt in tiles, against all pairs."""
+    rng = random.Random(8)
+    sets = [sorted({rng.randrange(40) for _ in range(9)}) for _ in range(300)]
+    items = spark.createDataFrame(list(enumerate(sets)), "x long, items array<long>")
+    blocks = 3
+    rows = [(1, min(k % blocks, b) * blocks + max(k % blocks, b), k, k, 0 if k % blocks <= b else 1, k % blocks != b) for k in range(300) for b in range(blocks)]
+    got = simhash.near_links(spark.createDataFrame(rows, "g long, tile long, x long, c long, side int, cross boolean"), items, 0.4).collect()
+    links = [(i, j) for i in range(300) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.4 * len(set(sets[i]) | set(sets[j]))]
+    want = smallest_reachable(300, links)
+    assert smallest_reachable(300, [(r.a, r.b) for r in got]) == want and 1 < len(set(want)) < 300
