@@ -16,7 +16,7 @@ columns named like a result column are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,10 +44,14 @@ def targets(sized: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return levels.select("source", "source_size", target.alias("target"))
 
 
+def _key(seed: str) -> Column:
+    """Place of a row in its source's seeded order."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
 def repetitions(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, reps and copies: one row for equal (doc_id, source, size), of which there are `copies`."""
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    units = sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")).withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3)).withColumn("words", F.col("size") * F.col("copies"))
+    units = sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")).withColumn("key", _key(seed)).withColumn("bucket", F.substring("key", 1, 3)).withColumn("words", F.col("size") * F.col("copies"))
     goals = targets(units.select("source", F.col("words").alias("size")), epochs)
     buckets = units.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,9 +71,18 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"), F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("_")).drop("_")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the mix takes it; documents without words, which no target counts, stay once."""
-    plan = repetitions(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.when(F.col("size") == 0, 1).otherwise(F.col("reps")).cast("int").alias("__reps")).where("__reps > 0")
-    sized = docs.withColumn("__words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = sized.join(plan, F.expr("doc_id <=> __id and source <=> __source and __words = __size"))
-    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(*docs.columns)
+def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The documents, each as often as the mix takes it; documents without words, which no target counts, stay once.
+
+    Midpoints ascend along a source's order, so the documents that still fit are those up to one (key, size): the plan shrinks to a row
+    per source, and texts are read where they lie, without a shuffle of their own.
+    """
+    plan = repetitions(docs, epochs, seed).where("size > 0").withColumn("key", _key(seed))
+    whole = F.coalesce(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(0))
+    limits = plan.groupBy("source").agg(F.max(whole).alias("__whole"), F.max(F.when(F.col("reps") > whole, F.struct("key", "size"))).alias("__last")).select(F.col("source").alias("__source"), "__whole", "__last")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("__size", size).withColumn("__place", F.struct(_key(seed).alias("key"), F.col("__size").alias("size")))
+    once_more = F.coalesce(F.col("__place") <= F.col("__last"), F.lit(False)).cast("long")
+    reps = F.when(F.col("__size") == 0, 1).otherwise(F.col("__whole") + once_more).cast("int")
+    taken = rows.join(limits, F.expr("source <=> __source"), "left").withColumn("__reps", reps).where("__reps > 0")
+    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(*docs.columns)
