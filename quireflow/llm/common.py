@@ -116,6 +116,20 @@ def slice_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed((sums[end] - sums[begin]) * down[begin])
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, parts: int = 16, share: int = 200) -> DataFrame:
+    """left inner join right on `key`, which is unique in right; `weight` counts the key's rows in left.
+
+    Keys with more than 1/share of all rows, of which there are fewer than `share` (so their list may go to every task), are dealt
+    to `parts` tasks by a hash of the whole left row; right rows of these keys go to each.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) * share > total).select(F.col(key), F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(parts))).otherwise(0).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__hot")
+    copies = F.when(F.col(weight) * share > total, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("__salt", F.explode(copies)), [key, "__salt"]).drop("__salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest reachable node) for every node of the undirected edges.
 

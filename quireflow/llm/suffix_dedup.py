@@ -7,13 +7,14 @@
    edges of repeated passages.
 3. The remaining different snippets are dealt by anchor into shards; each shard is sorted by external induced sorting
    (see induced.py: disk-backed queues, common prefixes carried along), and neighbours that share `length` bytes are marked.
-   An anchor with very many different snippets is dealt further by the strings' own content: each string has exactly one
-   shard among its anchor's, so no task gathers a whole hot group.
+   Of an anchor with very many different snippets, which no one task may gather, the strings themselves are counted by two
+   64-bit hashes, combined before the shuffle: as many rows as different strings, however often each occurs.
 4. The marked strings become byte spans per document, which are cut from the text.
 
 Matches never cross documents. Null texts are empty. Texts shorter than `length` never change. Repeated rows are copies of each
 other: they lose all their bytes if long enough. Texts are judged as given, not as left after a removal. Rows are told apart by
-doc_id and text hash. Input columns named like a result column are replaced.
+doc_id and text hash. Ties between anchors go to the leftmost. Very long texts are scanned whole. Empty tables give none. Input columns
+named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import blocks, cut, mixed, powers, prefix_sums, slice_hash
+from quireflow.llm.common import blocks, cut, mixed, powers, prefix_sums, slice_hash, spread_join
 from quireflow.llm.induced import repeated_positions
 
 LENGTH, GRAM, SHARD_BYTES, HOT_SNIPPETS = 200, 96, 1 << 20, 4096
@@ -115,12 +116,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     runs = cut(tagged.mapInArrow(scan, f"doc_id {kind}, tag long, anchor long, snippet long, first int, count int"))
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("snippet").alias("low"), F.max("snippet").alias("high")).where("n > 1")
-    shared = cut(runs.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"))
+    anchors = cut(anchors.select("anchor", "n", (F.col("low") == F.col("high")).alias("alike")))
+    shared = cut(spread_join(runs, anchors, "anchor", "n").drop("n"))
     alike = shared.where("alike").select("doc_id", "tag", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") - 1).cast("long").alias("last"))
 
     mixed_ = shared.where("not alike")
     snippets = cut(mixed_.groupBy("anchor", "snippet").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tag", "first", "count")).alias("one")))
-    again = mixed_.join(snippets.where("times > 1").select("anchor", "snippet"), ["anchor", "snippet"], "left_semi").select("doc_id", "tag", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") - 1).cast("long").alias("last"))
+    copied = snippets.where("times > 1").select(F.xxhash64("anchor", "snippet").alias("pair"), F.col("anchor").alias("__anchor"), F.col("snippet").alias("__snippet"), "times")
+    again = spread_join(mixed_.withColumn("pair", F.xxhash64("anchor", "snippet")), copied, "pair", "times").where("anchor = __anchor and snippet = __snippet").select("doc_id", "tag", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") - 1).cast("long").alias("last"))
 
     asked = snippets.select("one.doc_id", "one.tag", F.struct("anchor", "times", "one.first", "one.count").alias("run")).groupBy("doc_id", "tag").agg(F.collect_list("run").alias("runs"))
     hot = cut(snippets.groupBy("anchor").agg(F.count("*").alias("different")).where(F.col("different") > HOT_SNIPPETS))
@@ -138,19 +141,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(anchor), pa.array(times), pa.array(first.astype(np.int32)), pa.array(pieces, pa.binary())], names=["doc_id", "tag", "anchor", "times", "first", "snippet"])
 
     pieces = texts.dropDuplicates(["doc_id", "tag"]).mapInArrow(cut_out, f"doc_id {kind}, tag long, anchor long, times long, first int, snippet binary")
-    pieces = pieces.join(hot, "anchor", "left")
-    # Hot anchors: one row per string, dealt by the string itself.
-    lanes = F.when(F.col("different").isNull(), F.array(F.struct(F.lit(0).alias("from"), F.col("snippet").alias("part"), F.lit(0).cast("long").alias("lane")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.octet_length("snippet") - length), lambda k: F.struct(k.alias("from"), F.substring(F.col("snippet"), k + 1, F.lit(length)).alias("part"), F.xxhash64(F.substring(F.col("snippet"), k + 1, F.lit(length))).alias("lane")))
-    )
-    dealt = pieces.select("doc_id", "tag", "anchor", "times", "first", F.explode(lanes).alias("x")).select("doc_id", "tag", "anchor", "times", (F.col("first") + F.col("x.from")).cast("int").alias("first"), F.col("x.lane").alias("lane"), F.col("x.part").alias("snippet"))
+    pieces = pieces.join(hot.select("anchor", F.lit(True).alias("hot")), "anchor", "left")
+    pieces = cut(pieces)
     volume = snippets.agg(F.sum(F.col("one.count") + length)).first()[0] or 0
     shards = max(1, -(-volume // SHARD_BYTES))
     # As many partitions as the session sets; each holds whole shards one after the other.
-    dealt = dealt.withColumn("shard", F.expr(f"pmod(xxhash64(anchor, lane), {shards})")).select("doc_id", "tag", "first", "times", "shard", "snippet")
+    dealt = pieces.where("hot is null").withColumn("shard", F.expr(f"pmod(xxhash64(anchor), {shards})")).select("doc_id", "tag", "first", "times", "shard", "snippet")
     edges = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: marked_strings(batches, length), f"doc_id {kind}, tag long, start long, last long")
 
-    spans = alike.unionByName(again).unionByName(edges).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "last")).alias("strings"))
+    # Hot anchors: their strings of `length` bytes are counted, combined before the shuffle, so one very common string is one row.
+    string = lambda k: F.substring(F.col("snippet"), k + 1, F.lit(length))
+    strings = F.transform(F.sequence(F.lit(0), F.octet_length("snippet") - length), lambda k: F.struct((F.col("first") + k).cast("long").alias("start"), F.xxhash64(string(k)).alias("h"), F.xxhash64(F.lit(1), string(k)).alias("h2")))
+    each = cut(pieces.where("hot").select("doc_id", "tag", "times", F.explode(strings).alias("s")).select("doc_id", "tag", "times", "s.*"))
+    common = cut(each.groupBy("h", "h2").agg(F.sum("times").alias("all_times"), F.count("*").alias("n")).where("all_times > 1").select("h", F.col("h2").alias("__h2"), "n"))
+    hot_edges = spread_join(each.where("times = 1"), common, "h", "n").where("h2 = __h2").select("doc_id", "tag", "start", F.col("start").alias("last"))
+
+    spans = alike.unionByName(again).unionByName(edges).unionByName(hot_edges).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "last")).alias("strings"))
     judged = tagged.join(spans, tagged["doc_id"].eqNullSafe(spans["doc_id"]) & (tagged["tag"] == spans["tag"]), "left").select(tagged["doc_id"], "text", "strings")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
