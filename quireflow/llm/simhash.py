@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireflow.llm.common import NUL_WORD, SPACES, append_columns, blocks, connected_components, cut, mixed, prefix_sums, slice_hash, word_spans, word_table
+from quireflow.llm.common import NUL_WORD, SPACES, append_columns, blocks, connected_components, cut, mixed, prefix_sums, slice_hash, spread_join, word_spans, word_table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
@@ -153,8 +153,8 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
     Rows grow with the group, never with its square; every link is checked exactly.
     """
     bands = nodes.select(F.col("__node").alias("x"), F.explode("__keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(bands.join(shared, "key"))
+    shared = cut(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = cut(spread_join(bands, shared, "key", "n"))
     items = cut(text_sets(docs, nodes.join(members.select(F.col("x").alias("__node")).distinct(), "__node", "left_semi"), shingle))
 
     weights = members.groupBy("x").agg(F.sum("n").alias("weight"))
