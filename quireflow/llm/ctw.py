@@ -6,14 +6,16 @@ DEPTH: P_w = (P_kt + product of the children's P_w) / 2. The score of a text is
 (A-Z lower-cased) and one end byte under the mixture learnt from the training texts. A word model with add-one smoothing
 is reported beside it as the base.
 
-Plan: texts are dealt into batches of about BATCH_BYTES by a hash. Every batch sends its different (context, byte) grams and
+Plan: texts are dealt by a hash into batches of about BATCH_BYTES and at most about BATCH_ROWS texts. Every batch sends its different (context, byte) grams and
 words with their training counts; sums per gram and per word are the model, which grows with the corpus and stays
 distributed. Trees are evaluated in tasks that each hold whole subtrees (all grams whose two nearest context bytes agree meet in one
 task); only the two top levels, at most 65,536 nodes, pass through the driver. Each batch then receives the values of its own grams and
 words and scores its texts. No task holds more than one batch or one part of the model.
 
 Null texts are empty (only the end is scored). Null ids count as training texts. Each repeated row is counted and scored.
-With no training text every estimate is one half per bit and the base is log10(1) per token.
+With no training text every estimate is one half per bit and the base is log10(1) per token. Empty tables give none. Very long texts
+are a batch of their own. Values of grams travel in single precision (relative error 6e-8). Columns other than doc_id and text take no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from quireflow.llm.common import SPACES, blocks, cut, prefix_sums, slice_hash, word_spans, word_table
 
 DEPTH = 5  # context bytes; gram keys are 48 bits: nearest byte first, the coded byte last
-BATCH_BYTES = 16 << 20
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 1 << 13
 WORD_KEY = 1 << 62
 END_KEY = WORD_KEY  # the end token's
 _LOWER = word_table(True, b"")
@@ -267,20 +269,22 @@ def score_batch(docs: pa.Table, answers: pa.Table, n_train: int, n_words: int) -
         base = np.bincount(whose, logs[:-1], texts) + logs[-1]
         known = np.bincount(whose, count[:-1] > 0, texts).astype(np.int64) + int(count[-1] > 0)
         get = lambda c: rows.column(rows.schema.get_field_index(c))
-        out.append(pa.RecordBatch.from_arrays([get("doc_id"), get("held_out"), pa.array(np.diff(ends) + 1), pa.array(known), pa.array(np.full(texts, n_train)), pa.array(base), pa.array(score)], names=NAMES))
+        per_byte = -score / np.log10(2) / np.bincount(owner, minlength=texts)
+        out.append(pa.RecordBatch.from_arrays([get("doc_id"), get("held_out"), pa.array(np.diff(ends) + 1), pa.array(known), pa.array(np.full(texts, n_train)), pa.array(base), pa.array(score), pa.array(per_byte)], names=NAMES))
     return pa.Table.from_batches(out)
 
 
-NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
 
 def score_texts(docs: DataFrame, held_out: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; held_out: SQL condition of the rows not learnt from."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length, the end counted as a byte); held_out: SQL condition of the rows not learnt from."""
     rows = docs.select("doc_id", "text", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // batch_bytes))
-    dealt = rows.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id, octet_length(text)), {n}) as int)"))
-    found = cut(dealt.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(gathered, "batch int, key long, n long"))
+    size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n = max(1, -(-size // batch_bytes), -(-count // BATCH_ROWS))
+    dealt = rows.withColumn("batch", F.expr(f"cast(pmod(xxhash64(doc_id, text), {n}) as int)"))
+    # As many partitions as the session sets; each holds whole batches one after the other.
+    found = cut(dealt.repartition("batch").sortWithinPartitions("batch").mapInArrow(gathered, "batch int, key long, n long"))
     counts = cut(found.groupBy("key").agg(F.sum("n").alias("n")))
     words, grams = counts.where(F.col("key") >= WORD_KEY), counts.where(F.col("key") < WORD_KEY)
     n_train, n_words = (int(x or 0) for x in words.where("n > 0").agg(F.sum("n"), F.count("*")).first())
@@ -299,4 +303,4 @@ def score_texts(docs: DataFrame, held_out: str, batch_bytes: int = BATCH_BYTES)
     values = trees.mapInArrow(valued, "key long, value double").unionByName(words.select("key", F.col("n").cast("double").alias("value")))
     answers = found.select("batch", "key").join(values, "key").select("batch", "key", "value").mapInArrow(packed, "batch int, rows int, blob binary")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda d, v: score_batch(d, v, n_train, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda d, v: score_batch(d, v, n_train, n_words), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
