@@ -11,7 +11,9 @@ blocks), so no task compares more than block**2 pairs at a time. A pair met in s
 only; tasks return sums and spanning links, never the pairs. Components come from joins (see common).
 
 Vectors that are null, zero or hold null or non-finite components, and rows without label or id, link with nothing (their
-component is their own id). Vectors of different lengths never link. Each repeated row counts as another vector.
+component is their own id, null and not kept for those without). Vectors of different lengths never link. Each repeated row counts as
+another vector. Labels may be of any type. Ties between filters go to the lower number. Empty tables give none. Columns other than vec_id,
+label and embedding take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,28 +59,47 @@ def list_decode(unit: np.ndarray, code: int = CODE, caps: int = CAPS, seed: int
     return np.sort(np.take_along_axis(filters, top, 1), axis=1)
 
 
-def _matrix(column: pa.Array, kind: type) -> list[np.ndarray]:
-    return [np.asarray(x.values, kind) for x in column]
-
-
 def with_filters(vectors: DataFrame, code: int, caps: int) -> DataFrame:
+    """id, label, copies, dim, vector (its components' bytes, doubles or floats as given), filters, packed (the filters' bytes)."""
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    kind = np.float32 if single else np.float64
+    small = np.uint16 if code * code <= 1 << 16 else np.int32
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _matrix(batch.column(batch.schema.get_field_index("embedding")), np.float64)
-            out: list = [None] * len(rows)
-            for dim in {len(x) for x in rows}:
-                at = [k for k, x in enumerate(rows) if len(x) == dim]
-                for k in range(0, len(at), 1024):
-                    part = np.stack([rows[j] for j in at[k : k + 1024]])
-                    for j, filters in zip(at[k : k + 1024], list_decode(part / np.linalg.norm(part, axis=1, keepdims=True), code, caps)):
-                        out[j] = filters
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "filters"])
+            lists = batch.column(batch.schema.get_field_index("embedding"))
+            dims, flat = np.diff(np.asarray(lists.offsets)), np.asarray(lists.flatten().cast(pa.float32() if single else pa.float64()))
+            at = np.concatenate([[0], np.cumsum(dims)])
+            filters = np.zeros((batch.num_rows, caps), np.int32)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                for part in np.array_split(rows, -(-len(rows) // 1024)):
+                    raw = flat[at[part][:, None] + np.arange(dim)].astype(np.float64)
+                    filters[part] = list_decode(raw / np.linalg.norm(raw, axis=1, keepdims=True), code, caps)
+            raw = flat.tobytes()
+            size = flat.itemsize
+            bytes_ = [raw[a * size : b * size] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            packed = [x.tobytes() for x in filters.astype(small)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, filters.size + 1, caps), pa.int32()), pa.array(filters.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "label", "copies")), pa.array(dims, pa.int32()), pa.array(bytes_, pa.binary()), lists, pa.array(packed, pa.binary())], names=["id", "label", "copies", "dim", "vector", "filters", "packed"])
+
+    out = vectors.select("id", "label", "copies", "embedding").mapInArrow(run, "id long, label long, copies long, dim int, vector binary, filters array<int>, packed binary")
+    return out.withColumn("single", F.lit(kind is np.float32))
 
-    return vectors.mapInArrow(run, f"id long, label int, copies long, embedding array<{dict(vectors.dtypes)['embedding'][6:-1]}>, filters array<int>")
+
+SLACK = 1e-9  # far above the rounding of a product of unit vectors
+
+
+def _dots(unit: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", unit[x], unit[y])
 
 
 def _near_pairs(unit: np.ndarray, side: np.ndarray, bounds: np.ndarray, tiled: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of the pairs inside each group (between sides, in tiles of two blocks) with cosine >= least."""
+    """Rows (a, b) of the pairs inside each group (between sides, in tiles of two blocks) with cosine >= least.
+
+    Products of whole groups select; whatever lies within SLACK of the limit is decided by the pair's own sum, so that a pair's
+    verdict does not depend on its group's size.
+    """
     found = []
     sizes = np.diff(bounds)
     small = np.flatnonzero((sizes >= 2) & (sizes <= 64) & ~tiled)
@@ -89,17 +110,19 @@ def _near_pairs(unit: np.ndarray, side: np.ndarray, bounds: np.ndarray, tiled: n
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
         for k in range(0, len(a), 1 << 15):
             x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-            near = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
+            near = _dots(unit, x, y) >= least
             found.append((x[near], y[near]))
     for g in np.flatnonzero((sizes > 64) | ((sizes >= 2) & tiled)):
         rows = np.arange(bounds[g], bounds[g + 1])
         x, y = rows[side[rows] == 0], rows[side[rows] == 1]
-        if tiled[g] and len(y):
-            i, j = np.nonzero(unit[x] @ unit[y].T >= least)
-        else:
-            y = x
-            i, j = np.nonzero(np.triu(unit[x] @ unit[x].T >= least, 1))
-        found.append((x[i], y[j]))
+        across = tiled[g] and len(y)
+        y = y if across else x
+        product = unit[x] @ unit[y].T
+        i, j = np.nonzero(product >= least - SLACK if across else np.triu(product >= least - SLACK, 1))
+        close = np.flatnonzero(product[i, j] < least + SLACK)
+        keep = np.ones(len(i), bool)
+        keep[close] = _dots(unit, x[i[close]], y[j[close]]) >= least
+        found.append((x[i[keep]], y[j[keep]]))
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
 
@@ -113,7 +136,7 @@ def _first_shared(a: np.ndarray, b: np.ndarray, filters: np.ndarray) -> np.ndarr
     return out
 
 
-def verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def verify(batches: Iterator[pa.RecordBatch], least: float, code: int) -> Iterator[pa.RecordBatch]:
     """id, links (copies of the verified partners first met here), hub (an id of the same component) from rows in order of group."""
 
     def judged(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -121,12 +144,14 @@ def verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         keys = np.stack([get(c).to_numpy(zero_copy_only=False) for c in ("filter", "label", "dim", "tile")], axis=1)
         bounds = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
         ids, copies, side = (get(c).to_numpy() for c in ("id", "copies", "side"))
-        filters = np.asarray(get("filters").flatten()).reshape(len(keys), -1)
+        kind, small = (np.float32 if get("single")[0].as_py() else np.float64), (np.uint16 if code * code <= 1 << 16 else np.int32)
+        filters = np.frombuffer(b"".join(get("packed").to_pylist()), small).reshape(len(keys), -1)
+        vectors = get("vector")
         links, hub = np.zeros(len(keys), np.int64), ids.copy()
         for dim in np.unique(keys[:, 2]):
             rows = np.flatnonzero(keys[:, 2] == dim)
             own = np.flatnonzero(keys[bounds[:-1], 2] == dim)
-            raw = np.stack(_matrix(get("embedding").take(pa.array(rows)), np.float64))
+            raw = np.frombuffer(b"".join(vectors.take(pa.array(rows)).to_pylist()), kind).reshape(len(rows), dim).astype(np.float64)
             unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
             local = np.concatenate([[0], np.cumsum(np.diff(bounds)[own])])
             a, b = _near_pairs(unit, side[rows], local, keys[bounds[:-1], 3][own] >= 0, least)
@@ -167,21 +192,22 @@ def verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 def near_duplicates(vectors: DataFrame, least: float = COSINE, code: int = CODE, caps: int = CAPS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     sound = F.expr("vec_id is not null and label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)")
-    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), "embedding").withColumn("sound", F.coalesce(sound, F.lit(False)))
+    rows = vectors.select("vec_id", "label", "embedding").withColumn("sound", F.coalesce(sound, F.lit(False)))
     keyed = rows.withColumn("key", F.when(F.col("sound"), F.md5(F.array_join(F.col("embedding").cast("array<string>"), ","))))
     different = keyed.where("sound").groupBy("label", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    base = cut(with_filters(different.select("id", "label", "copies", "embedding"), code, caps))
+    # Labels of any type: a 64-bit hash stands for them while vectors meet.
+    base = cut(with_filters(different.select("id", F.xxhash64(F.col("label").cast("string")).alias("label"), "copies", "embedding"), code, caps))
 
-    members = base.select("id", "label", F.size("embedding").alias("dim"), F.explode("filters").alias("filter"))
+    members = base.select("id", "label", "dim", F.explode("filters").alias("filter"))
     sizes = members.groupBy("filter", "label", "dim").agg(F.count("*").alias("n")).where("n > 1")
     # Blocks b of a hot group meet in tiles (b, c), b <= c: each vector goes once to every tile of its block.
     blocks_ = F.ceil(F.col("n") / block).cast("int")
     placed = members.join(sizes, ["filter", "label", "dim"]).withColumn("blocks", blocks_).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     tiles = F.expr("if(blocks = 1, array(struct(-1 as tile, 0 as side)), transform(sequence(0, blocks - 1), c -> struct(least(own, c) * blocks + greatest(own, c) as tile, if(own <= c, 0, 1) as side)))")
     light = placed.select("id", "label", "dim", "filter", F.explode(tiles).alias("t")).select("id", "label", "dim", "filter", "t.tile", "t.side")
-    full = light.join(base.select("id", "copies", "embedding", "filters"), "id")
+    full = light.join(base.select("id", "copies", "vector", "packed", "single"), "id")
     grouped = full.repartition("filter", "label", "dim", "tile").sortWithinPartitions("filter", "label", "dim", "tile")
-    found = cut(grouped.mapInArrow(lambda batches: verify(batches, least), "id long, links long, hub long"))
+    found = cut(grouped.mapInArrow(lambda batches: verify(batches, least, code), "id long, links long, hub long"))
 
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("hub").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -189,4 +215,5 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, code: int = CODE,
     judged = judged.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = keyed.join(judged, ["label", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == component, F.lit(False))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
