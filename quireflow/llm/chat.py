@@ -8,7 +8,8 @@ common first turn is one row.
 
 Turns are in order of (turn, role, text), nulls first. Null roles render as "unknown" and null texts as empty; a null text and an
 empty one hash apart. Rows without conv_id count as one conversation. A repeated row is one more turn. Markers inside
-texts are broken with a space, so that no text can open or close a turn.
+texts are broken with a space, so that no text can open or close a turn. Empty tables give none. Very long conversations are one
+row each, as a chat has to be. Columns other than conv_id, turn, role and text take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireflow.llm.common import cut
+
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, role, text with pos (from 1), n (turns of the conversation) and the prefix hashes h1 and h2."""
@@ -29,7 +32,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id of each conversation that no other one continues, one for equal ones."""
-    hashed = prefix_hashes(turns)
+    hashed = cut(prefix_hashes(turns).select("conv_id", "pos", "n", "h1", "h2"))  # texts end here: the two branches share a small table
     inner = hashed.where("pos < n").select("pos", "h1", "h2").distinct()
     ends = hashed.where("pos = n").groupBy(F.col("pos"), "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
     return ends.join(inner, ["pos", "h1", "h2"], "left_anti").select("conv_id")
@@ -42,8 +45,7 @@ def rendered_turn(role: Column, text: Column) -> Column:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, rendered: one row per maximal conversation."""
-    hashed = prefix_hashes(turns).select("conv_id", "pos", rendered_turn(F.col("role"), F.col("text")).alias("part"))
     kept = maximal_conversations(turns).select(F.col("conv_id").alias("kept_id"))
-    rows = hashed.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    parts = F.sort_array(F.collect_list(F.struct("pos", "part")))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("rendered"))
+    rows = turns.select("conv_id", "turn", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: rendered_turn(x["role"], x["text"]))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(parts, "").alias("rendered"))
