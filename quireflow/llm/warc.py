@@ -1,21 +1,25 @@
 """WARC archives as a PySpark Python data source ("quirewarc"), writer and reader.
 
-Writer: each task writes gzip-member-per-record files of at most `maxFileBytes` under names of its own; the driver's commit lists the
-files of the successful attempts in a manifest, so retried and lost tasks leave nothing that a reader would see. Each
-member's gzip header carries the compressed lengths of its two parts in an extra field.
-
-Reader: plans partitions of whole files; takes equality, IN and null filters on record_type and on header columns from
-Spark. A record is two gzip members: one holds the WARC header, the next the block. The header member is inflated first;
-where the pushed predicates reject it, or no payload is wanted (option payload=false), the block is skipped by its
-length and never inflated.
-
-Null payloads are empty. Paths are any that pyarrow's file systems open (file://, hdfs://, s3://, ...).
+Writer: standard WARC/1.1, one gzip member per record, in files of about `maxFileBytes`, each under a name of its own. Every commit
+adds a manifest of the files of its successful attempts, so appends add up and retried or lost tasks leave nothing that a reader
+would see. A member's gzip header says in an extra field how long the member is.
+
+Reader: a folder with manifests, a folder of .warc and .warc.gz files without any, or one such file, of any origin. Partitions are
+whole files. Equality, IN and null filters on record_type and on header columns come from Spark. Of each record the headers are
+read first: from a plain file up to the blank line, from a gzip member by inflating no more than that. Where the pushed
+predicates reject the record, or no payload is wanted (option payload=false), the rest is left alone: by Content-Length in a
+plain file, by the extra field in a member that has one, and by inflating without keeping in any other.
+
+Null payloads are empty, records without an HTTP header have their block as payload, records whose header cannot be read end the
+file with an error. Null page ids are written without a number and read as null. Repeated page ids are records of their own; of
+equal payloads the least page id is the response (ties: each row of that id). Empty tables make an archive without files. Very
+long payloads pass as one value. Columns other than page_id, url and html take no part.
+
+Paths are any that pyarrow's file systems open (file://, hdfs://, s3://, ...).
 """
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import json
 import struct
 import uuid
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -33,39 +37,41 @@ from pyspark.sql.types import StructType
 from quireflow.llm.common import scratch_dir
 
 WRITE_SCHEMA = "record_id long, record_type string, target_uri string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-READ_SCHEMA = WRITE_SCHEMA
-PUSHED = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest")
-MANIFEST = "_manifest.json"
-_FLAG = b"QL"  # the extra field's two-byte name: lengths of this member and of the block's member
+READ_SCHEMA = f"{WRITE_SCHEMA}, record_uri string, date string"
+PUSHED = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "record_uri", "date")
+MANIFEST = "_manifest-"
+_PAGE = "<urn:page:"
+_FLAG, _EXTRA = b"QL", 12  # the extra field's two-byte name and the bytes that it adds: the member's length
+_PIECE = 1 << 16
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def digest32(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+def digest32(payload: Column) -> Column:
+    """Upper-case base32 SHA-1: 20 bits, five hex digits, are four letters."""
+    bits = lambda i: F.conv(F.substring(F.sha1(payload), (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
+    letter = lambda i: F.substring(F.lit(BASE32), (F.floor(bits(i) / F.pow(F.lit(2), 15 - 5 * (i % 4))) % 32 + 1).cast("int"), F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
 
 
-def _member(data: bytes, lengths: tuple[int, int] | None = None) -> bytes:
-    """One gzip member; with lengths it carries them in an extra field."""
-    body = zlib.compressobj(6 if lengths else 1, zlib.DEFLATED, -15)
+def _member(data: bytes) -> bytes:
+    """One gzip member that carries its own length."""
+    body = zlib.compressobj(1, zlib.DEFLATED, -15)
     packed = body.compress(data) + body.flush()
-    extra = struct.pack("<H2sHII", 12, _FLAG, 8, *lengths) if lengths else b""
-    return b"\x1f\x8b\x08" + (b"\x04" if lengths else b"\x00") + b"\0\0\0\0\x00\xff" + extra + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    length = 10 + _EXTRA - 2 + len(packed) + 8
+    return b"\x1f\x8b\x08\x04\0\0\0\0\x00\xff" + struct.pack("<H2sHI", 8, _FLAG, 4, length) + packed + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 def record_bytes(row: dict) -> bytes:
     """A response (with its payload) or a revisit (with the response's HTTP header only)."""
     payload = row["payload"] or b""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
-    block = http + (payload if row["record_type"] != "revisit" else b"") + b"\r\n\r\n"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode() + (payload if row["record_type"] != "revisit" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:page:{'' if row['record_id'] is None else row['record_id']}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_PAGE}{'' if row['record_id'] is None else row['record_id']}>", "WARC-Date: 1970-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {row['target_uri'].encode('unicode_escape').decode()}"] if row["target_uri"] is not None else []), f"WARC-Payload-Digest: sha1:{row['payload_digest']}",
-        *([f"WARC-Refers-To: <urn:page:{row['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if row["refers_to"] is not None else []),
-        "Content-Type: application/http; msgtype=response", f"X-Payload-Length: {row['payload_bytes']}", f"Content-Length: {len(block) - 4}",
+        *([f"WARC-Refers-To: {_PAGE}{row['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if row["refers_to"] is not None else []),
+        "Content-Type: application/http; msgtype=response", f"X-Payload-Length: {row['payload_bytes']}", f"Content-Length: {len(block)}",
     ]
-    second = _member(block)
-    text = ("\r\n".join(head) + "\r\n\r\n").encode()
-    first = len(_member(text, (0, 0)))
-    return _member(text, (first, len(second))) + second
+    return _member(("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
 
 
 @dataclass
@@ -74,8 +80,8 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, max_file_bytes: int):
-        self.path, self.most = path.rstrip("/"), max_file_bytes
+    def __init__(self, path: str, max_file_bytes: int, overwrite: bool):
+        self.path, self.most, self.overwrite = path.rstrip("/"), max_file_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, base = pafs.FileSystem.from_uri(self.path)
@@ -86,7 +92,9 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None:
                     name, size = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                size += out.write(record := record_bytes(row)) or len(record)
+                record = record_bytes(row)
+                out.write(record)
+                size += len(record)
                 if size >= self.most:
                     out.close()
                     files.append([name, size])
@@ -99,8 +107,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, base = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        before = [x.path for x in fs.get_file_info(pafs.FileSelector(base))] if self.overwrite else []
+        files = sorted(f for m in messages if m for f in m.files)
+        with fs.open_output_stream(f"{base}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
+            out.write(json.dumps(files).encode())
+        names = {name for name, _ in files}
+        for path in before:
+            name = path.rsplit("/", 1)[-1]
+            if name.startswith(MANIFEST) or (name.endswith(".warc.gz") and name not in names):
+                fs.delete_file(path)
 
     def abort(self, messages: list) -> None:
         fs, base = pafs.FileSystem.from_uri(self.path)
@@ -112,18 +127,131 @@ class WarcWriter(DataSourceArrowWriter):
 @dataclass
 class _File(InputPartition):
     name: str
-    size: int
 
 
-def _header(text: bytes) -> dict:
-    lines = text.decode().split("\r\n")
-    found = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-    number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
-    uri = found.get("WARC-Target-URI")
-    return {
-        "record_id": number(found["WARC-Record-ID"]), "record_type": found["WARC-Type"], "target_uri": None if uri is None else uri.encode().decode("unicode_escape"), "refers_to": number(found.get("WARC-Refers-To")),
-        "payload_digest": found["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(found["X-Payload-Length"]),
+class _Plain:
+    """Records of an uncompressed file."""
+
+    def __init__(self, src: pa.NativeFile):
+        self.src, self.held = src, b""
+
+    def head(self) -> bytes | None:
+        """The bytes up to the blank line of the next record; None at the file's end."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            stop = self.held.find(b"\r\n\r\n")
+            if stop >= 0:
+                head, self.held = self.held[:stop], self.held[stop + 4 :]
+                return head
+            piece = self.src.read(_PIECE)
+            if not piece:
+                if self.held:
+                    raise ValueError("a WARC file ends inside a header")
+                return None
+            self.held += piece
+
+    def block(self, length: int) -> bytes:
+        if length > len(self.held):
+            self.held += self.src.read(length - len(self.held))
+        block, self.held = self.held[:length], self.held[length:]
+        return block
+
+    def skip(self, length: int) -> None:
+        if length <= len(self.held):
+            self.held = self.held[length:]
+        else:
+            self.src.seek(self.src.tell() + length - len(self.held))
+            self.held = b""
+
+
+class _Gzip:
+    """Records of a file of gzip members, one record each."""
+
+    def __init__(self, src: pa.NativeFile):
+        self.src, self.held, self.start = src, b"", 0
+        self.member, self.text, self.length = None, b"", None
+
+    def _more(self) -> bool:
+        piece = self.src.read(_PIECE)
+        self.held += piece
+        return bool(piece)
+
+    def _inflate(self, most: int) -> bytes:
+        """Up to `most` further bytes of the member; empty at its end."""
+        while not self.member.eof:
+            if not self.held and not self._more():
+                raise ValueError("a WARC file ends inside a member")
+            out = self.member.decompress(self.held, most)
+            self.held = self.member.unconsumed_tail if not self.member.eof else self.member.unused_data
+            if out:
+                return out
+        return b""
+
+    def head(self) -> bytes | None:
+        while len(self.held) < 10 + _EXTRA:
+            if not self._more():
+                break
+        self.held = self.held.lstrip(b"\0")  # padding after the last member
+        if not self.held:
+            return None
+        self.length = None
+        if self.held[3] & 4 and self.held[12:14] == _FLAG:
+            self.length = struct.unpack("<I", self.held[16:20])[0]
+        self.start = self.src.tell() - len(self.held)
+        self.member, self.text = zlib.decompressobj(31), b""
+        while (stop := self.text.find(b"\r\n\r\n")) < 0:
+            more = self._inflate(2048)
+            if not more:
+                raise ValueError("a WARC record has no header")
+            self.text += more
+        head, self.text = self.text[:stop], self.text[stop + 4 :]
+        return head
+
+    def block(self, length: int) -> bytes:
+        parts, held = [self.text], len(self.text)
+        while more := self._inflate(1 << 20):
+            parts.append(more)
+            held += len(more)
+        return b"".join(parts)[:length]
+
+    def skip(self, length: int) -> None:
+        if self.length is None:
+            while self._inflate(1 << 20):
+                pass
+            return
+        self.src.seek(self.start + self.length)
+        self.held = b""
+
+
+def _number(x: str | None) -> int | None:
+    digits = x[len(_PAGE) : -1] if x and x.startswith(_PAGE) else ""
+    return int(digits) if digits.lstrip("-").isdigit() else None
+
+
+def parsed(head: bytes) -> tuple[dict, dict]:
+    """A record's columns and its raw headers, names in lower case."""
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    raw: dict[str, str] = {}
+    last = None
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and last:  # a folded header goes on
+            raw[last] = f"{raw[last]} {line.strip()}".strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            last = name.strip().lower()
+            raw[last] = value.strip()
+    uri, own = raw.get("warc-target-uri"), raw.get("warc-record-id")
+    if uri is not None and own and own.startswith(_PAGE):
+        uri = uri.encode().decode("unicode_escape")
+    length = raw.get("x-payload-length")
+    digest = raw.get("warc-payload-digest")
+    row = {
+        "record_id": _number(own), "record_type": raw.get("warc-type"), "target_uri": uri, "refers_to": _number(raw.get("warc-refers-to")), "payload_digest": digest.partition(":")[2] or digest if digest else None,
+        "payload_bytes": int(length) if length else None, "record_uri": own.strip("<>") if own else None, "date": raw.get("warc-date"),
     }
+    return row, raw
 
 
 class WarcReader(DataSourceReader):
@@ -144,15 +272,22 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, base = pafs.FileSystem.from_uri(self.path)
-        with fs.open_input_stream(f"{base}/{MANIFEST}") as src:
-            files = json.loads(src.read())
-        return [_File(name, size) for name, size in files] or [_File("", 0)]
+        if fs.get_file_info(base).type == pafs.FileType.File:
+            return [_File(base)]
+        found = [x.path for x in fs.get_file_info(pafs.FileSelector(base)) if x.type == pafs.FileType.File]
+        manifests = [x for x in found if x.rsplit("/", 1)[-1].startswith(MANIFEST)]
+        if manifests:
+            found = []
+            for manifest in sorted(manifests):
+                with fs.open_input_stream(manifest) as src:
+                    found += [f"{base}/{name}" for name, _ in json.loads(src.read())]
+        return [_File(x) for x in sorted(found) if x.endswith((".warc", ".warc.gz"))] or [_File("")]
 
     def wanted(self, head: dict) -> bool:
         return all((head[c] in value) if how == "in" else ((head[c] is None) == value) for c, how, value in self.tests)
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        kinds = [("record_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+        kinds = [("record_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("record_uri", pa.string()), ("date", pa.string())]
         rows: list[dict] = []
         held = 0
 
@@ -161,25 +296,28 @@ class WarcReader(DataSourceReader):
 
         if not partition.name:
             return
-        fs, base = pafs.FileSystem.from_uri(self.path)
-        with fs.open_input_file(f"{base}/{partition.name}") as src:
-            at = 0
-            while at < partition.size:
-                fixed = src.read_at(24, at)
-                first, second = struct.unpack("<II", fixed[16:24])
-                head = _header(zlib.decompress(src.read_at(first, at), 31))
-                if self.wanted(head):
-                    head["payload"] = None
-                    if self.payload and head["record_type"] == "response":
-                        block = zlib.decompress(src.read_at(second, at + first), 31)
-                        begin = block.index(b"\r\n\r\n") + 4
-                        head["payload"] = block[begin:-4]
-                        held += len(block)
-                    rows.append(head)
-                    if len(rows) >= 2000 or held > 8 << 20:
-                        yield batch()
-                        rows, held = [], 0
-                at += first + second
+        fs, _ = pafs.FileSystem.from_uri(self.path)
+        with fs.open_input_file(partition.name) as src:
+            records = (_Gzip if partition.name.endswith(".gz") else _Plain)(src)
+            while (head := records.head()) is not None:
+                row, raw = parsed(head)
+                length = int(raw.get("content-length", 0))
+                if not self.wanted(row):
+                    records.skip(length)
+                    continue
+                row["payload"] = None
+                if self.payload and row["record_type"] != "revisit":
+                    block = records.block(length)
+                    begin = block.find(b"\r\n\r\n") + 4 if raw.get("content-type", "").startswith("application/http") else 0
+                    row["payload"] = block[begin:] if begin != 3 else block
+                    row["payload_bytes"] = len(row["payload"])
+                    held += len(block)
+                else:
+                    records.skip(length)
+                rows.append(row)
+                if len(rows) >= 2000 or held > 8 << 20:
+                    yield batch()
+                    rows, held = [], 0
         if rows:
             yield batch()
 
@@ -196,7 +334,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("maxFileBytes", 64 << 20)))
+        return WarcWriter(self.options["path"], int(self.options.get("maxFileBytes", 64 << 20)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -205,20 +343,22 @@ def register(spark: SparkSession) -> None:
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """A record per page: of equal payloads of at least min_bytes the one with the smallest page_id is the response, the others revisit it."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("target_uri"), payload.alias("payload"))
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [x.as_py() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest32(x) for x in own], pa.string()), pa.array([len(x) for x in own], pa.int64())], names=[*batch.schema.names, "payload_digest", "payload_bytes"])
-
-    rows = rows.mapInArrow(digests, "record_id long, target_uri string, payload binary, payload_digest string, payload_bytes long")
-    first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("record_id").alias("first_id"))
-    joined = rows.join(first, "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("record_id"))
-    return joined.select("record_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(revisit, F.col("first_id")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))
+    """A record per page: of equal payloads of at least min_bytes the one with the smallest page_id is the response, the others revisit it.
+
+    Which page a digest belongs to is settled among ids and digests alone; payloads then meet their verdict by page id, so one payload that
+    very many pages share (the empty one, say) is no hot key.
+    """
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.encode(html, "UTF-8").alias("payload"))
+    rows = rows.select("*", digest32(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    light = rows.where(F.col("payload_bytes") >= min_bytes).select("record_id", "payload_digest")
+    first = light.groupBy("payload_digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
+    again = light.where("record_id is not null").join(first, "payload_digest").where("record_id != first_id").distinct().select(F.col("record_id").alias("__id"), F.col("payload_digest").alias("__digest"), "first_id")
+    # A null id has no number to be told apart by; it revisits whatever page has its payload.
+    lost = light.where("record_id is null").join(first, "payload_digest").distinct().select(F.lit(None).cast("long").alias("__id"), F.col("payload_digest").alias("__digest"), "first_id")
+    joined = rows.join(again.unionByName(lost), F.expr("record_id <=> __id and payload_digest = __digest"), "left")
+    revisit = F.col("first_id").isNotNull()
+    return joined.select("record_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.col("first_id").alias("refers_to"), "payload_digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -233,20 +373,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the archives, reads them back and reports each record; a response's figures are those of the payload as read."""
-    spark = pages.sparkSession
-    path = scratch_dir(spark)
+    path = scratch_dir(pages.sparkSession)
     write_warc(pages, path, min_bytes)
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for page, kind, refers, digest, size, payload in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if kind == "response":
-                    if digest32(payload) != digest:
-                        raise ValueError(f"record {page}: the payload does not match its digest")
-                    size = len(payload)
-                out.append((page, size, digest, kind, refers))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    back = read_warc(spark, path).select("record_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload")
-    return back.mapInArrow(measured, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    back = read_warc(pages.sparkSession, path)
+    read = F.col("payload").isNotNull()
+    true = F.when(read, digest32(F.col("payload"))).otherwise(F.col("payload_digest"))
+    checked = F.when(true == F.col("payload_digest"), true).otherwise(F.raise_error(F.concat(F.lit("the payload does not match its digest in record "), F.coalesce(F.col("record_id").cast("string"), F.lit("without id")))))
+    return back.select(F.col("record_id").alias("page_id"), F.when(read, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
