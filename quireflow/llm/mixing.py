@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quireflow.llm.common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 EPOCHS, SEED = 3, "mix-1"
 
@@ -79,7 +81,8 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """
     plan = repetitions(docs, epochs, seed).where("size > 0").withColumn("key", _key(seed))
     whole = F.coalesce(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(0))
-    limits = plan.groupBy("source").agg(F.max(whole).alias("__whole"), F.max(F.when(F.col("reps") > whole, F.struct("key", "size"))).alias("__last")).select(F.col("source").alias("__source"), "__whole", "__last")
+    # Written, so that the join knows its size beforehand: small, as sources mostly are, it goes to the texts and not they to it.
+    limits = cut(plan.groupBy("source").agg(F.max(whole).alias("__whole"), F.max(F.when(F.col("reps") > whole, F.struct("key", "size"))).alias("__last")).select(F.col("source").alias("__source"), "__whole", "__last"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("__size", size).withColumn("__place", F.struct(_key(seed).alias("key"), F.col("__size").alias("size")))
     once_more = F.coalesce(F.col("__place") <= F.col("__last"), F.lit(False)).cast("long")
