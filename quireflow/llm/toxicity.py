@@ -4,14 +4,15 @@ Words (runs of ASCII letters and digits and of other non-ASCII bytes, lower-case
 embeddings: one of the whole word and one of its first four bytes, which carries stems through inflection. Filters of
 widths 1, 2 and 3 slide over the words; each filter's greatest response over the WHOLE text feeds one logistic unit.
 Training takes a bounded, documented sample of the labelled rows (of four fifths of the ids by hash, the `sample` ids with
-the least hash). All other labelled rows are scored by a Spark job and counted by language and bin of score; these counts
+the least hash, up to `sample_bytes` of text; equal rows of one id once). All other labelled rows are scored by a Spark job and counted by language and bin of score; these counts
 give the calibration (Platt scaling) and every threshold, at any size in the same way. A language's threshold is the cut
 of best F1 on its own counts plus PRIOR toxic rows' worth of the counts of all languages, so few rows move it little from
 the shared one. Scores use the text alone: language only picks the threshold of the filtering decision, never the score.
 
 Null and empty texts have no words: every filter answers 0 and the score is that of the bias. Long texts are scored in
 overlapping pieces whose maxima combine, so memory is bounded. Without labelled rows of both classes every score is the
-(smoothed) share of toxic labels. Input columns named like a result column are replaced.
+(smoothed) share of toxic labels. An id with several labels is toxic if one says so. Repeated rows are scored alike, ties in the order of
+ids go by text hash, empty tables give none. Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quireflow.llm.common import NOT_ALNUM, append_columns, blocks, prefix_sums, slice_hash, word_spans, word_table
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
-SAMPLE, STEPS, BATCH_WORDS = 6000, 1000, 20000
+SAMPLE, SAMPLE_BYTES, STEPS, BATCH_WORDS = 6000, 48 << 20, 1000, 20000
 FOLDS, PRIOR, BINS = 5, 20, 256  # one fold of the ids never trains; pseudo rows of the shared counts; bins per unit of asinh(logit)
 _WORDS = word_table(True, NOT_ALNUM)
 
@@ -215,8 +216,8 @@ def best_cut(logit: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
     return float((x[k] + after[k]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample: int = SAMPLE) -> ToxicityModel:
-    """Trains on at most `sample` whole labelled documents and calibrates on all others; rows where `held_out` holds stay out."""
+def fit(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Trains on at most `sample` whole labelled documents of `sample_bytes` in all and calibrates on all others; rows where `held_out` holds stay out."""
     rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
     if held_out:
         rows = rows.where(~F.expr(held_out))
@@ -225,7 +226,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample:
         known = known.where(~F.expr(held_out))
     training = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) > 0
     chosen = known.where(training).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toPandas()
+    # The order's running bytes bound what reaches the driver; the sizes of `sample` rows are one small task.
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
+    marked = rows.join(F.broadcast(chosen), "doc_id").withColumns({"mark": F.xxhash64("text"), "bytes": F.octet_length("text").cast("long")}).where(F.col("bytes") <= sample_bytes)
+    first = marked.select("doc_id", "mark", "bytes").orderBy(*order).limit(sample)
+    fits = first.withColumn("so_far", F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("so_far") <= sample_bytes).select("doc_id", "mark").distinct()
+    got = marked.join(F.broadcast(fits), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).orderBy(*order).toPandas()
     model = train(got["text"].tolist(), got["toxic"].to_numpy(np.float64))
     if model.output.any():
         ids = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(got["doc_id"].tolist()))], docs.select("doc_id").schema)

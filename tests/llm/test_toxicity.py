@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -101,3 +102,60 @@ def test_few_rows_move_a_threshold_little_and_many_set_it():
     toxicity.calibrate(few, [*shared, ("es", -300, 1, 0), ("es", -400, 0, 1)])
     toxicity.calibrate(many, [*shared, ("es", -300, 900, 0), ("es", -400, 0, 900)])
     assert abs(few.thresholds["es"] - few.thresholds["en"]) < 0.05 and many.thresholds["es"] < many.thresholds["en"] - 0.05
+
+
+def plain_logit(model: toxicity.ToxicityModel, text: str) -> float:
+    """The classifier by plain loops over words, filters and places."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()))
+    rows = []
+    for word in words:
+        data = np.frombuffer(word, np.uint8)
+        whole, stem, _ = toxicity.word_ids(data, np.array([0, len(data)]))
+        rows.append([float(model.embedding[whole[0]][d]) + float(model.embedding[stem[0]][d]) for d in range(toxicity.DIM)])
+    total = model.bias
+    for j, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for at in range(len(rows) - width + 1):
+                z = float(model.shift[j][f])
+                for k in range(width):
+                    for d in range(toxicity.DIM):
+                        z += rows[at + k][d] * float(model.filters[j][k][d][f])
+                best = max(best, z)
+            total += best * float(model.output[j * toxicity.FILTERS + f])
+    return total
+
+
+def test_forward_pass_against_plain_loops(spark):
+    rows = toy(60)
+    model = toxicity.train([r[1] for r in rows], np.array([float(r[0] % 3 == 0) for r in rows]))
+    texts = ["", "vile", "Vile bird", "lake, tree; SCUM!", "a b", "日本語 filth ÄÖ", *(r[1] for r in rows[:10])]
+    raw = [t.encode() for t in texts]
+    got = model.score(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert np.allclose(got, [plain_logit(model, t) for t in texts], atol=1e-4)
+
+
+def test_registered_query_against_plain_loops(spark, sf_dir):
+    """Each score of op6 is the plain classifier's, under the model that the query's own steps give."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 = 0")
+    got = {r.doc_id: r for r in op6_toxicity_cnn(spark, sf_dir).collect()}
+    assert len(got) == docs.count()
+    for r in docs.where(F.length("text") < 1500).limit(15).collect():
+        want = 1 / (1 + np.exp(-plain_logit(model, r.text)))
+        assert abs(got[r.doc_id].score - want) < 1e-4 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_the_training_sample_is_bounded_in_bytes(spark):
+    """Longer texts than the bound never reach the driver; the rest still trains."""
+    rows = [*toy(120), (900, "vile " * 60_000, "en", "s", 1), (901, "lake " * 60_000, "en", "s", 1)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 == 0)) for r in rows], "doc_id long, toxic int")
+    seen = []
+    own = toxicity.train
+    toxicity.train = lambda texts, toxic: (seen.extend(texts), own(texts, toxic))[1]
+    try:
+        toxicity.fit(frame(spark, rows), labels, sample_bytes=20_000)
+    finally:
+        toxicity.train = own
+    assert 0 < sum(len(t.encode()) for t in seen) <= 20_000
