@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from quireflow.llm.common import scratch_dir
+from quireflow.llm.common import cut, scratch_dir, spread_join
 
 WRITE_SCHEMA = "record_id long, record_type string, target_uri string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 READ_SCHEMA = f"{WRITE_SCHEMA}, record_uri string, date string"
@@ -46,11 +46,15 @@ _PIECE = 1 << 16
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def digest32(payload: Column) -> Column:
-    """Upper-case base32 SHA-1: 20 bits, five hex digits, are four letters."""
-    bits = lambda i: F.conv(F.substring(F.sha1(payload), (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-    letter = lambda i: F.substring(F.lit(BASE32), (F.floor(bits(i) / F.pow(F.lit(2), 15 - 5 * (i % 4))) % 32 + 1).cast("int"), F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+def digest32(sha1: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: 20 bits, five hex digits, are four letters."""
+
+    def letters(hexes: Column) -> Column:
+        bits = lambda k: F.conv(F.substring(hexes, 5 * k + 1, 5), 16, 10).cast("int")
+        return F.concat(*(F.substring(F.lit(BASE32), F.shiftright(bits(k), 15 - 5 * j).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for k in range(8) for j in range(4)))
+
+    # The lambda's variable keeps the optimiser from repeating the hash for each letter.
+    return F.element_at(F.transform(F.array(sha1), letters), 1)
 
 
 def _member(data: bytes) -> bytes:
@@ -350,15 +354,14 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.encode(html, "UTF-8").alias("payload"))
-    rows = rows.select("*", digest32(F.col("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    light = rows.where(F.col("payload_bytes") >= min_bytes).select("record_id", "payload_digest")
-    first = light.groupBy("payload_digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
-    again = light.where("record_id is not null").join(first, "payload_digest").where("record_id != first_id").distinct().select(F.col("record_id").alias("__id"), F.col("payload_digest").alias("__digest"), "first_id")
+    rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    light = cut(rows.where(F.col("payload_bytes") >= min_bytes).select("record_id", "sha1"))
+    first = cut(light.groupBy("sha1").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null"))
     # A null id has no number to be told apart by; it revisits whatever page has its payload.
-    lost = light.where("record_id is null").join(first, "payload_digest").distinct().select(F.lit(None).cast("long").alias("__id"), F.col("payload_digest").alias("__digest"), "first_id")
-    joined = rows.join(again.unionByName(lost), F.expr("record_id <=> __id and payload_digest = __digest"), "left")
+    again = spread_join(light, first, "sha1", "n").where("record_id is null or record_id != first_id").select(F.col("record_id").alias("__id"), F.col("sha1").alias("__sha1"), "first_id").distinct()
+    joined = rows.join(again, F.expr("record_id <=> __id and sha1 = __sha1"), "left")
     revisit = F.col("first_id").isNotNull()
-    return joined.select("record_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.col("first_id").alias("refers_to"), "payload_digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))
+    return joined.select("record_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.col("first_id").alias("refers_to"), digest32(F.col("sha1")).alias("payload_digest"), "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"))
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -377,6 +380,6 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     write_warc(pages, path, min_bytes)
     back = read_warc(pages.sparkSession, path)
     read = F.col("payload").isNotNull()
-    true = F.when(read, digest32(F.col("payload"))).otherwise(F.col("payload_digest"))
-    checked = F.when(true == F.col("payload_digest"), true).otherwise(F.raise_error(F.concat(F.lit("the payload does not match its digest in record "), F.coalesce(F.col("record_id").cast("string"), F.lit("without id")))))
-    return back.select(F.col("record_id").alias("page_id"), F.when(read, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
+    true = F.when(read, digest32(F.sha1("payload"))).otherwise(F.col("payload_digest"))
+    checked = F.when(F.col("true") == F.col("payload_digest"), F.col("true")).otherwise(F.raise_error(F.concat(F.lit("the payload does not match its digest in record "), F.coalesce(F.col("record_id").cast("string"), F.lit("without id")))))
+    return back.withColumn("true", true).select(F.col("record_id").alias("page_id"), F.when(read, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
