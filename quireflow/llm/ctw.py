@@ -31,6 +31,7 @@ from quireflow.llm.common import SPACES, blocks, cut, prefix_sums, slice_hash, w
 
 DEPTH = 5  # context bytes; gram keys are 48 bits: nearest byte first, the coded byte last
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 1 << 13
+PIECE = 1 << 17  # grams whose subtrees are evaluated together
 WORD_KEY = 1 << 62
 END_KEY = WORD_KEY  # the end token's
 _LOWER = word_table(True, b"")
@@ -107,7 +108,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append(_counted(learnt))
                     unseen = _counted(unseen)[0]
                     parts.append((unseen, np.zeros(len(unseen), np.int64)))
-                if sum(len(p[0]) for p in parts) > 4_000_000:
+                if sum(len(p[0]) for p in parts) > 2_500_000:
                     merged()
     yield from out()
 
@@ -201,6 +202,19 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, one: np.ndarray, zer
     return np.log10(p).reshape(-1, 8).sum(1)
 
 
+def _pieces(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The grams in order, a number of whole subtrees at a time: memory is that of PIECE grams or of one subtree."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    tree = keys >> Z(8 * (DEPTH - 1))
+    edges = np.append(np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if len(keys) else np.zeros(0, np.int64), len(keys))
+    begin = 0
+    for stop, after in zip(edges[1:].tolist(), [*edges[2:].tolist(), None]):
+        if after is None or after - begin > PIECE:
+            yield keys[begin:stop], counts[begin:stop]
+            begin = stop
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     table = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     return tuple(np.concatenate([t[k] for t in table]) if table else np.zeros(0, np.int64) for k in (0, 1))
@@ -209,8 +223,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 def upper_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """name (nearest byte, prefix), counts and the sum of log P_w of the depth-2 nodes below, as far as this task's subtrees go."""
     keys, counts = _whole(batches)
-    if len(keys):
-        level = subtrees(keys.view(Z), counts)[0][-1]
+    for keys, counts in _pieces(keys.view(Z), counts):  # noqa: B020
+        level = subtrees(keys, counts)[0][-1]
         names, at = np.unique(level.parents(), return_inverse=True)
         yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), *(pa.array(np.bincount(at, x)) for x in (level.zeros, level.ones, level.weighted))], names=["name", "zeros", "ones", "below"])
 
@@ -295,10 +309,10 @@ def score_texts(docs: DataFrame, held_out: str, batch_bytes: int = BATCH_BYTES)
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = _whole(batches)
-        if len(keys):
+        for keys, n in _pieces(keys.view(Z), n):  # noqa: B020
             # Single precision is plenty for a logarithm and halves what travels.
-            logs = log_probabilities(keys.view(Z), n, *tops.value).astype(np.float32).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(logs)], names=["key", "value"])
+            logs = log_probabilities(keys, n, *tops.value).astype(np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(logs)], names=["key", "value"])
 
     values = trees.mapInArrow(valued, "key long, value double").unionByName(words.select("key", F.col("n").cast("double").alias("value")))
     answers = found.select("batch", "key").join(values, "key").select("batch", "key", "value").mapInArrow(packed, "batch int, rows int, blob binary")
