@@ -63,19 +63,21 @@ def docx_markdown(items: DataFrame) -> DataFrame:
     order = doc.orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     errors = items.where("kind = 'error'").select("path", "error")
-    shift = F.max((F.col("style") == "Title").cast("int")).over(doc)
+    # Files store built-in style names in lower case ("heading 1"), programs show them capitalised: case does not count.
+    items = items.withColumn("style", F.lower("style"))
+    shift = F.max((F.col("style") == "title").cast("int")).over(doc)
     rows = items.where("kind <> 'error'").withColumn("shift", F.coalesce(shift, F.lit(0))).withColumn("plain", F.when(F.col("kind") == "para", plain_text(F.col("runs"))))
     rows = rows.where("kind = 'table' or plain <> ''")
-    level = F.nullif(F.regexp_extract("style", r"^Heading (\d)", 1), F.lit("")).cast("int")
-    listed = (F.col("kind") == "para") & (F.col("style") != "Title") & level.isNull() & (F.col("num_id").isNotNull() | F.col("style").startswith("List"))
+    level = F.nullif(F.regexp_extract("style", r"^heading (\d)", 1), F.lit("")).cast("int")
+    listed = (F.col("kind") == "para") & (F.col("style") != "title") & level.isNull() & (F.col("num_id").isNotNull() | F.col("style").startswith("list"))
     rows = rows.withColumn("level", level).withColumn("listed", F.coalesce(listed, F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.when(F.col("listed") & F.coalesce(F.lag("listed").over(order), F.lit(False)), 0).otherwise(1)).over(so_far))
-    fallback = F.when(F.contains(F.col("style"), F.lit("Number")), "decimal").otherwise("bullet")
+    fallback = F.when(F.contains(F.col("style"), F.lit("number")), "decimal").otherwise("bullet")
     lists = rows.where("listed").withColumn("fmt", F.coalesce("fmt", fallback)).withColumn("num_id", F.coalesce("num_id", "style")).withColumn("ilvl", F.coalesce("ilvl", F.lit(0)))
     inline = inline_markdown(F.col("runs"))
     marker = F.when(F.col("fmt").isin("bullet", "none"), "-").otherwise(F.concat(F.col("n").cast("string"), F.lit(".")))
     done_lists = list_counters(lists).select("path", "run", "pos", F.concat(F.repeat(F.lit("   "), F.col("ilvl")), marker, F.lit(" "), inline).alias("md"))
-    others = rows.where("not listed").select("path", "run", "pos", F.when(F.col("kind") == "table", table_markdown(F.col("rows"))).when(F.col("style") == "Title", F.concat(F.lit("# "), "plain")).when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + F.col("shift"), F.lit(MAX_LEVEL))), F.lit(" "), F.col("plain"))).otherwise(X.escape_start(inline)).alias("md"))
+    others = rows.where("not listed").select("path", "run", "pos", F.when(F.col("kind") == "table", table_markdown(F.col("rows"))).when(F.col("style") == "title", F.concat(F.lit("# "), "plain")).when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + F.col("shift"), F.lit(MAX_LEVEL))), F.lit(" "), F.col("plain"))).otherwise(X.escape_start(inline)).alias("md"))
     ordered = lambda at, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "md"))), lambda x: x["md"]), sep)
     parts = done_lists.unionByName(others).groupBy("path", "run").agg(ordered("pos", "\n").alias("md")).where("md <> ''")
     joined = parts.groupBy("path").agg(F.concat(X.strip(ordered("run", "\n\n")), F.lit("\n")).alias("markdown"))

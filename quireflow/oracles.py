@@ -246,7 +246,7 @@ def sql() -> dict[str, str]:
             WITH tries AS (SELECT doc_id // 2 AS doc_id, doc_id % 2 AS k, CASE WHEN doc_id % 2 = 0 THEN '--redo-ocr' ELSE '--force-ocr' END AS mode, [0, 6, 2, 9, 137, 10, -9, 0][n_chars % 8 + 1] AS rc, CASE WHEN n_chars % 3 = 0 THEN 0 ELSE n_chars END AS chars FROM documents),
             judged AS (SELECT *, rc IN (0, 10) AND chars > 0 AS ok, (rc IN (0, 10) AND chars > 0) OR rc < 0 OR rc IN (137, 3, 8, 9) AS stop FROM tries),
             ran AS (SELECT * FROM judged j WHERE NOT EXISTS (SELECT 1 FROM judged b WHERE b.doc_id = j.doc_id AND b.k < j.k AND b.stop))
-            SELECT doc_id, coalesce(max(mode) FILTER (ok), 'failed') AS outcome, CASE WHEN NOT bool_or(ok) THEN 'The searchable PDF could not be created: ' || string_agg(mode || CASE WHEN rc IN (0, 10) THEN ': finished but added no text layer' ELSE ': exit code ' || rc END, '; ' ORDER BY k) END AS warning, count(*)::INT AS tried FROM ran GROUP BY doc_id""",
+            SELECT doc_id, coalesce(max(mode) FILTER (ok), 'failed') AS outcome, CASE WHEN NOT bool_or(ok) THEN 'No searchable PDF was made: ' || string_agg(mode || CASE WHEN rc IN (0, 10) THEN ': ended well but its pages hold no text' ELSE ': exit code ' || rc || CASE rc WHEN 2 THEN ' (bad input file)' WHEN 6 THEN ' (text was there before)' WHEN 9 THEN ' (invalid settings)' WHEN 137 THEN ' (out of memory)' WHEN -9 THEN ' (killed)' ELSE '' END END, '; ' ORDER BY k) END AS warning, count(*)::INT AS tried FROM ran GROUP BY doc_id""",
         "table_markdown": r"""SELECT n_regionkey, '| Nation | Key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_nationkey || '\|x' END || ' |', chr(10) ORDER BY n_nationkey) AS md FROM nation GROUP BY n_regionkey""",
         "inline_runs": r"""SELECT page_id, trim(regexp_replace(string_agg(CASE WHEN trim(x) = '' THEN x || ' ' ELSE m || CASE WHEN i % 4 = 3 THEN '[' || trim(x) || '](http://x)' ELSE trim(x) END || reverse(m) || ' ' END, '' ORDER BY i), '\s+', ' ', 'g')) AS md
             FROM (SELECT *, CASE WHEN i % 4 = 1 THEN '**' ELSE '' END || CASE WHEN i % 3 = 2 THEN '*' ELSE '' END AS m FROM (SELECT page_id, unnest(string_split(url, '/')) AS x, generate_subscripts(string_split(url, '/'), 1) - 1 AS i FROM pages)) GROUP BY page_id""",

@@ -30,7 +30,7 @@ def docx_items(files: DataFrame) -> DataFrame:
                 try:
                     items = list(_items(content.as_py()))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as problem:
-                    items = [{"kind": "error", "error": f"Could not open the Word document: {problem}"}]
+                    items = [{"kind": "error", "error": f"Not a readable Word file: {problem}"}]
                 yield from pa.Table.from_pylist([dict.fromkeys(schema.names) | x | {"path": path, "pos": k} for k, x in enumerate(items)], schema).to_batches()
 
     return files.select("path", "content").mapInArrow(run, ITEMS)
@@ -48,7 +48,23 @@ def _on(props: ElementTree.Element | None, tag: str) -> bool:
 
 
 def _text(run: ElementTree.Element) -> str:
-    return "".join({"t": x.text or "", "tab": " ", "br": " ", "cr": " "}.get(x.tag.removeprefix(W), "") for x in run)
+    return "".join({"t": x.text or "", "tab": " ", "br": " ", "cr": " ", "noBreakHyphen": "-"}.get(x.tag.removeprefix(W), "") for x in run)
+
+
+def _table(el: ElementTree.Element) -> list[list[str]]:
+    """Cell texts by row; a merged cell stands in every column and row that it covers."""
+    rows: list[list[str]] = []
+    for row in el.findall(W + "tr"):
+        cells: list[str] = []
+        for cell in row.findall(W + "tc"):
+            props = cell.find(W + "tcPr")
+            text = "\n".join("".join(_text(r) for r in p.iter(W + "r")) for p in cell.iter(W + "p"))
+            merge = props.find(W + "vMerge") if props is not None else None
+            if merge is not None and merge.get(W + "val") != "restart" and rows and len(cells) < len(rows[-1]):
+                text = rows[-1][len(cells)]
+            cells += [text] * int(_value(props, "gridSpan") or 1)
+        rows.append(cells)
+    return rows
 
 
 def _numbered(el: ElementTree.Element | None) -> tuple[str, int] | None:
@@ -68,7 +84,7 @@ def _items(content: bytes) -> Iterator[dict]:
     formats = {n.get(W + "numId"): levels.get(_value(n, "abstractNumId"), {}) for n in numbering.findall(W + "num") if n.find(W + "abstractNumId") is not None}
     for el in body:
         if el.tag == W + "tbl":
-            yield {"kind": "table", "rows": [["\n".join("".join(_text(r) for r in p.iter(W + "r")) for p in cell.iter(W + "p")) for cell in row.findall(W + "tc")] for row in el.findall(W + "tr")]}
+            yield {"kind": "table", "rows": _table(el)}
         elif el.tag == W + "p":
             style = styles.get(_value(el, "pPr", "pStyle"))
             number = _numbered(el) or _numbered(style)

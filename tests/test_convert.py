@@ -40,7 +40,7 @@ def test_convert(spark, tmp_path):
     files = sources.read_files(spark, folder(tmp_path))
     rows = {os.path.basename(r.doc_id): r for r in convert.convert(files, wordlist.dictionary(None, spark), Plain()).collect()}
     assert len(rows) == 6
-    assert rows["a.docx"].markdown.startswith("# Team Handbook") and rows["a.docx"].warnings == []
+    assert rows["a.docx"].markdown.startswith("# Harbour Atlas") and rows["a.docx"].warnings == []
     b = rows["b.PDF"]
     assert [x for x in b.markdown.split("\n") if x] == ["Calm body text with words.", "Recognised words of a page.", "More calm text at the end."]
     assert (b.stats.pages, b.stats.ocr_pages, b.stats.mean_conf, b.stats.text_layer) == (3, 1, 90.0, "partial (1 pages without)")
@@ -57,5 +57,5 @@ def test_equal_files_once(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     out = tmp_path / "out"
     assert main([folder(tmp_path), "-o", str(out)]) == 1
-    assert os.listdir(out) == ["a.md"] and (out / "a.md").read_text().startswith("# Team Handbook")
+    assert os.listdir(out) == ["a.md"] and (out / "a.md").read_text().startswith("# Harbour Atlas")
     assert "Unsupported file type" in capsys.readouterr().err

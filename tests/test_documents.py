@@ -86,13 +86,13 @@ def run(text: str, marks: str = "") -> str:
 
 
 def handbook() -> bytes:
-    styles = "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/>{extra}</w:style>' for i, n, extra in (("T", "Title", ""), ("H1", "Heading 1", ""), ("H2", "Heading 2", ""), ("LN", "List Number", ""), ("LB", "List Bullet", '<w:pPr><w:numPr><w:numId w:val="2"/></w:numPr></w:pPr>')))
+    styles = "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/>{extra}</w:style>' for i, n, extra in (("T", "Title", ""), ("H1", "heading 1", ""), ("H2", "heading 2", ""), ("LN", "List Number", ""), ("LB", "List Bullet", '<w:pPr><w:numPr><w:numId w:val="2"/></w:numPr></w:pPr>')))
     numbering = '<w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="lowerLetter"/></w:lvl></w:abstractNum><w:abstractNum w:abstractNumId="1"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num>'
     cell = lambda t: f"<w:tc>{para(t)}</w:tc>"
-    table = "<w:tbl>" + "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in (("Tool", "Owner"), ("Chat", "IT"), ("A|B",))) + "</w:tbl>"
+    table = "<w:tbl>" + "".join(f"<w:tr>{''.join(map(cell, r))}</w:tr>" for r in (("Light", "Keeper"), ("North", "Ana"), ("A|B",))) + "</w:tbl>"
     body = (
-        para("Team Handbook", style="T") + para("Getting Started", style="H1") + para("Read this ", run("carefully", "b"), " on your ", run("first", "i"), run(" day", "i"), ".") + para("Collect your laptop", style="LN") + para("Set up your accounts", style="LN")
-        + para("Tools", style="H2") + para("Chat for quick questions", style="LB") + para("") + para("Email for decisions", style="LB") + table + para("First", num="1") + para("Deep", num="1 1") + para("Second", num="1") + para("Deep again", num="1 1")
+        para("Harbour Atlas", style="T") + para("Tides and Winds", style="H1") + para("Check the ", run("barometer", "b"), " before each ", run("short", "i"), run(" crossing", "i"), ".") + para("Count the buoys", style="LN") + para("Note the lights", style="LN")
+        + para("Instruments", style="H2") + para("Sextant for clear nights", style="LB") + para("") + para("Radar for thick fog", style="LB") + table + para("First", num="1") + para("Deep", num="1 1") + para("Second", num="1") + para("Deep again", num="1 1")
         + para('<w:hyperlink r:id="r1">' + run("the site") + "</w:hyperlink>", " and ", run("  both  ", "bi")) + para("# not a heading")
     )
     out = io.BytesIO()
@@ -110,9 +110,9 @@ def test_docx(spark, tmp_path):
     (tmp_path / "other.txt").write_bytes(b"x")
     rows = {r.path.rsplit("/", 1)[1]: r for r in docx.docx_markdown(docx_source.read_docx(spark, str(tmp_path))).collect()}
     text = rows["a.docx"].markdown
-    for part in ("# Team Handbook", "## Getting Started", "### Tools", "**carefully**", "*first day*", "1. Collect your laptop\n2. Set up your accounts", "- Chat for quick questions\n- Email for decisions", "| Chat | IT |", "| A\\|B |  |", "1. First\n   1. Deep\n2. Second\n   1. Deep again", "[the site](http://site) and ***both***", "\\# not a heading"):
+    for part in ("# Harbour Atlas", "## Tides and Winds", "### Instruments", "**barometer**", "*short crossing*", "1. Count the buoys\n2. Note the lights", "- Sextant for clear nights\n- Radar for thick fog", "| North | Ana |", "| A\\|B |  |", "1. First\n   1. Deep\n2. Second\n   1. Deep again", "[the site](http://site) and ***both***", "\\# not a heading"):
         assert part in text, part
-    assert rows["bad.docx"].markdown is None and "Could not open" in rows["bad.docx"].error and len(rows) == 2
+    assert rows["bad.docx"].markdown is None and "Not a readable" in rows["bad.docx"].error and len(rows) == 2
 
 
 def test_list_counters(spark):
