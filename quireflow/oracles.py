@@ -1,6 +1,6 @@
 """DuckDB statements that return the rows of the queries in queries.py, built from shared carriers.
 
-Merged blocks and the whole plan are left folds over a document's blocks; tests hold those against golden vectors instead.
+The whole plan has none; tests hold it against golden vectors, and each of its operators has a statement here.
 """
 
 from __future__ import annotations
@@ -164,6 +164,26 @@ split AS (
 )"""
 
 
+#: Text lines as loose blocks, and their left fold per document: each step's state is the block that the rows so far end in.
+MERGES = r"""loose AS (
+  SELECT doc_id, ln, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS i, CASE WHEN ln % 10 < 2 THEN 'h' WHEN ln % 10 = 3 THEN 'ol' WHEN ln % 10 = 9 THEN 'ul' ELSE 'p' END AS kind,
+    CASE WHEN ln % 10 IN (4, 6, 8) THEN lower(t) ELSE t END AS t, (ln // 2 + 1)::INT AS page, CASE WHEN ln % 10 < 2 THEN (ln // 10) % 2 + 1 ELSE 0 END::INT AS level, (100 + ln % 2 * 20)::DOUBLE AS top, (14 + ln % 5 * 2)::DOUBLE AS size
+  FROM (SELECT doc_id, ln, CASE WHEN ln % 3 < 2 THEN regexp_replace(trim(line), '[.!?:;]+$', '') ELSE trim(line) END AS t FROM raw WHERE ln % 10 <> 7 AND trim(line) <> '')
+), fold AS (
+  SELECT doc_id, i, ln AS home, kind, page, level, t AS whole, t AS shown, top + size AS bottom, size FROM loose WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN joins OR goes_on THEN home ELSE ln END, CASE WHEN joins OR goes_on THEN k0 ELSE kind END, CASE WHEN joins THEN p0 ELSE page END, CASE WHEN joins OR goes_on THEN l0 ELSE level END,
+    CASE WHEN joins OR goes_on THEN concat_ws(' ', nullif(whole, ''), nullif(t, '')) ELSE t END, CASE WHEN joins OR (goes_on AND k0 = 'p') THEN concat_ws(' ', nullif(shown, ''), nullif(t, '')) WHEN goes_on THEN shown || ' / ' || t ELSE t END,
+    CASE WHEN goes_on THEN b0 ELSE top + size END, CASE WHEN joins OR goes_on THEN s0 ELSE size END
+  FROM (
+    SELECT b.doc_id, b.i, b.ln, f.home, b.kind, f.kind AS k0, b.page, f.page AS p0, b.level, f.level AS l0, f.whole, f.shown, b.t, b.top, b.size, f.bottom AS b0, f.size AS s0,
+      b.kind = 'h' AND f.kind = 'h' AND b.page = f.page AND b.level = f.level AND NOT regexp_matches(f.whole, '[.!?:;][''"”’)\]]?$') AND b.top - f.bottom >= 0 AND b.top - f.bottom < 1.2::DOUBLE * greatest(f.size, b.size) AS joins,
+      b.kind = 'p' AND f.kind <> 'h' AND b.page = f.page + 1 AND regexp_matches(b.t, '^\p{Ll}') AND NOT regexp_matches(f.whole, '[.!?:;][''"”’)\]]?$') AS goes_on
+    FROM fold f JOIN loose b ON b.doc_id = f.doc_id AND b.i = f.i + 1
+  )
+)"""
+
+
 def _with(*parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {select}"
 
@@ -230,6 +250,7 @@ def sql() -> dict[str, str]:
             select="SELECT s.doc_id, rel, (CASE WHEN rel < 1.2::DOUBLE THEN least(greatest(len(list_filter(tiers, lambda t: t >= 1.2::DOUBLE)) + 1, 2), 3) ELSE least(coalesce(list_position(list_transform(tiers, lambda t: rel >= t * 0.88::DOUBLE - 1e-9), true), len(tiers)), 3) END)::INT AS level, n FROM sized s JOIN tiered USING (doc_id)",
         ),
         "list_blocks": _with(FEATURES, MARKED, GROUPS.replace("FROM features", "FROM marked"), LISTS, select="SELECT t.doc_id, t.page_no, (h.first_line::BIGINT * 2147483648 + t.lst)::BIGINT AS block_idx, t.kind, (row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.para_idx, t.grp, t.lst ORDER BY t.item, t.piece) - 1)::INT AS pos, CASE WHEN t.kind = 'ol' THEN t.n END AS n, t.part AS parts FROM texts t JOIN headed h ON h.doc_id = t.doc_id AND h.page_no = t.page_no AND h.para_idx = t.para_idx AND h.grp = t.grp", recursive=True),
+        "merge_blocks": _with(RAW, MERGES, select="SELECT doc_id, page AS page_no, home AS block_idx, kind, level, shown AS text FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, home ORDER BY i DESC) = 1", recursive=True),
         "render_blocks": _with(
             RAW, f"kinds AS (SELECT doc_id, ln, CASE WHEN ln % 8 = 0 THEN 'h' WHEN ln % 8 < 3 THEN 'ol' WHEN ln % 8 < 5 THEN 'ul' ELSE 'p' END AS kind, CASE WHEN ln % 8 = 6 THEN '7. ' || line WHEN ln % 8 = 7 THEN '# ' || line ELSE line END AS text, {_STRIP.format('line')} AS item FROM raw)",
             f"mds AS (SELECT *, CASE kind WHEN 'h' THEN repeat('#', (ln % 3 + 1)::INT) || ' ' || text WHEN 'p' THEN {escaped('text')} WHEN 'ol' THEN (ln % 8) || '. ' || item ELSE '- ' || item END AS md, CASE WHEN lag(kind) OVER w = kind AND kind IN ('ol', 'ul') THEN 0 ELSE 1 END AS opens FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY ln))",

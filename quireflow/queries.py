@@ -227,12 +227,25 @@ def list_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.where("kind in ('ol', 'ul')").select("doc_id", "page_no", "block_idx", "kind", F.posexplode("items").alias("pos", "item")).select("doc_id", "page_no", "block_idx", "kind", "pos", F.col("item.n").alias("n"), F.array_join("item.parts", " / ").alias("parts"))
 
 
+def loose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines as blocks, two a page: heading fragments, and paragraphs and items that go on on the next page, over chains of pages too."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where("ln % 10 != 7 and trim(line) <> ''")
+    place = F.col("ln") % 10
+    kind = F.when(place < 2, "h").when(place == 3, "ol").when(place == 9, "ul").otherwise("p")
+    open_end = F.when(F.col("ln") % 3 < 2, F.regexp_replace(F.trim("line"), r"[.!?:;]+$", "")).otherwise(F.trim("line"))
+    text = F.when(place.isin(4, 6, 8), F.lower(open_end)).otherwise(open_end)
+    item = F.array(F.struct(F.when(place == 3, 1).alias("n"), F.array("t").alias("parts")))
+    rows = lines.select("doc_id", "ln", kind.alias("kind"), text.alias("t"), (F.floor(F.col("ln") / 2) + 1).cast("int").alias("page_no"), (100 + F.col("ln") % 2 * 20).cast("double").alias("top"), (14 + F.col("ln") % 5 * 2).cast("double").alias("size"))
+    level = F.when(F.col("kind") == "h", F.floor(F.col("ln") / 10) % 2 + 1).otherwise(0).cast("int")
+    listed = F.col("kind").isin("ol", "ul")
+    return rows.select("doc_id", "page_no", F.col("ln").cast("long").alias("block_idx"), "kind", F.when(listed, "").otherwise(F.col("t")).alias("text"), level.alias("level"), F.when(listed, item).alias("items"), F.lit(1.0).alias("rel"), "top", (F.col("top") + F.col("size")).alias("bottom"), "size")
+
+
 @query
 def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = wordlist.dictionary(None, spark)
-    lines = clean.clean_pages(feature_lines(spark, sf_dir))
-    sizes = lines.select("doc_id", "source").distinct().withColumn("body", F.lit(10.0))
-    return markdown.blocks_of(lines, sizes, none).select("doc_id", "page_no", "block_idx", "kind", "level", "text")
+    merged = structure.merge_blocks(loose_blocks(spark, sf_dir), wordlist.dictionary(None, spark))
+    text = F.when(F.col("kind").isin("ol", "ul"), F.array_join(F.element_at("items", 1)["parts"], " / ")).otherwise(F.col("text"))
+    return merged.select("doc_id", "page_no", "block_idx", "kind", "level", text.alias("text"))
 
 
 @query
