@@ -46,6 +46,12 @@ def pages_to_recognise(pages_raw: DataFrame, profiles: DataFrame, force: bool =
     return known.withColumn("route", F.when(F.lit(force) | F.col("image_only") | (chars < MIN_PAGE_CHARS), "ocr").otherwise("text")).drop("image_only")
 
 
+def pages_without_words(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pages (doc_id, page_no, ...) whose extracted lines hold too little text, failed ones included: they go to recognition."""
+    chars = lines.groupBy("doc_id", "page_no").agg(F.sum(X.alnum_count(F.col("text"))).alias("line_chars"))
+    return pages.join(chars, ["doc_id", "page_no"], "left").where(F.coalesce("line_chars", F.lit(0)) < MIN_PAGE_CHARS).drop("line_chars")
+
+
 def confidence_stats(ocr_lines: DataFrame) -> DataFrame:
     """doc_id, ocr_pages, mean_conf: the mean of the page means, to one decimal."""
     pages = ocr_lines.groupBy("doc_id", "page_no").agg(F.max("page_conf").alias("conf"))

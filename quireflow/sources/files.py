@@ -6,8 +6,10 @@ deals the files out, keeps failures as rows and does everything after the words.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, Protocol
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -17,12 +19,21 @@ from pyspark.sql import functions as F
 from quireflow.functions import text as X
 
 SUPPORTED = ("pdf", "docx", "doc")
-PAGE = "doc_id string, page_no int, width double, height double, has_fonts boolean, text string, error string"
-WORD = "doc_id string, page_no int, word_idx long, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, conf double, block_num int, par_num int, line_num int, error string"
+PAGES_PER_READ = 32  # a long document's pages are dealt to tasks in such blocks
+PAGE = "doc_id string, page_no int, width double, height double, has_fonts boolean, text string, error string, seconds double"
+WORD = "doc_id string, page_no int, word_idx long, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, conf double, block_num int, par_num int, line_num int, error string, fatal boolean, seconds double"
+
+
+class FatalError(Exception):
+    """Raised by an extractor where no page of the file can be had, such as for missing language data: the document fails."""
 
 
 class Extractor(Protocol):
-    """Runs inside tasks, so it must pickle. Dicts carry the fields of PAGE and WORD; a missing field is null."""
+    """Runs inside tasks, so it must pickle. Dicts carry the fields of PAGE and WORD; a missing field is null.
+
+    Optional: `recognises` (False where words() knows the text layer only), `to_pdf(content)` for Word files without text and
+    `to_docx(content)` for old Word files; both give bytes.
+    """
 
     def pages(self, content: bytes) -> Iterable[dict[str, Any]]:
         """The pages of a file, with what text its text layer holds."""
@@ -53,36 +64,74 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
+def read_content(path: str) -> bytes:
+    """The bytes of a file inside a task; path as Spark names it."""
+    uri = quote(path if "://" in path else path.replace("file:", "", 1), safe="/:@")
+    fs, base = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), unquote(uri))
+    with fs.open_input_stream(base) as file:
+        return file.read()
+
+
 def page_rows(files: DataFrame, extractor: Extractor) -> DataFrame:
-    """The pages of each file; a file that cannot be opened is one row with its error."""
+    """The pages of each file; a file that cannot be opened is one row with its error. The first row has the seconds it took."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                began = time.monotonic()
                 try:
-                    found = [{"doc_id": doc} | x for x in extractor.pages(content.as_py())]
+                    found = [{"doc_id": doc} | x for x in extractor.pages(content.as_py())] or [{"doc_id": doc, "error": "The file has no pages."}]
                 except Exception as problem:  # one bad file must not end the job
                     found = [{"doc_id": doc, "error": f"Could not open the file: {problem}"}]
+                found[0]["seconds"] = time.monotonic() - began
                 yield from _rows(found, _arrow(PAGE))
 
     return files.select("doc_id", "content").mapInArrow(run, PAGE)
 
 
-def word_rows(files: DataFrame, routed: DataFrame, extractor: Extractor) -> DataFrame:
-    """Words of the routed pages (doc_id, page_no, route); a page that fails is one row with its error."""
-    asked = routed.groupBy("doc_id", "route").agg(F.sort_array(F.collect_list("page_no")).alias("numbers"))
+def word_rows(routed: DataFrame, extractor: Extractor, read: Callable[[str], bytes] = read_content) -> DataFrame:
+    """Words of the routed pages (doc_id, page_no, route); a page that fails is one row with its error, one without words a row without text.
+
+    Tasks open the files themselves, so only page numbers are shuffled. The first row of a page has the seconds it took.
+    """
+    block = F.floor(F.col("page_no") / PAGES_PER_READ)
+    asked = routed.groupBy("doc_id", "route", block.alias("block")).agg(F.sort_array(F.collect_list("page_no")).alias("numbers"))
+
+    def page_words(doc: str, content: bytes, page: int, route: str) -> list[dict]:
+        try:
+            return [{"doc_id": doc, "page_no": page, "word_idx": k} | x for k, x in enumerate(extractor.words(content, page, route))] or [{"doc_id": doc, "page_no": page}]
+        except FatalError as problem:
+            return [{"doc_id": doc, "page_no": page, "error": str(problem), "fatal": True}]
+        except Exception as problem:  # noqa: BLE001
+            told = f"Page {page} failed: {problem}" if route == "ocr" else f"Page {page}: its text layer cannot be read ({problem}), so it goes to recognition."
+            return [{"doc_id": doc, "page_no": page, "error": told}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, content, route, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, route, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                content = read(doc)
                 for page in numbers:
-                    try:
-                        found = [{"doc_id": doc, "page_no": page, "word_idx": k} | x for k, x in enumerate(extractor.words(content, page, route))]
-                    except Exception as problem:  # noqa: BLE001
-                        found = [{"doc_id": doc, "page_no": page, "error": f"Page {page} failed: {problem}"}]
+                    began = time.monotonic()
+                    found = page_words(doc, content, page, route)
+                    found[0]["seconds"] = time.monotonic() - began
                     yield from _rows(found, _arrow(WORD))
 
-    return files.select("doc_id", "content").join(asked, "doc_id").select("doc_id", "content", "route", "numbers").mapInArrow(run, WORD)
+    return asked.select("doc_id", "route", "numbers").mapInArrow(run, WORD)
+
+
+def converted(files: DataFrame, convert: Callable[[bytes], bytes]) -> DataFrame:
+    """doc_id, content (converted, null where that fails), error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    row = {"doc_id": doc, "content": convert(content.as_py()), "error": None}
+                except Exception as problem:  # noqa: BLE001
+                    row = {"doc_id": doc, "content": None, "error": f"Could not convert the file: {problem}"}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("doc_id", pa.string()), ("content", pa.binary()), ("error", pa.string())]))
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id string, content binary, error string")
 
 
 def write_markdown(results: DataFrame, folder: str) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
 
 from tests.test_documents import handbook
 
@@ -48,6 +50,64 @@ def test_convert(spark, tmp_path):
     assert rows["e.pdf"].markdown.strip() == "Text of one page here, long enough." and "Page 2 failed" in rows["e.pdf"].warnings[0]
 
 
+def test_plans_and_attempts(spark, tmp_path):
+    """Figures of the memory plan, seconds and the outcome of attempts stand in the results; a short memory is told."""
+    files = sources.read_files(spark, folder(tmp_path)).where("ext = 'pdf'")
+    b = files.where("doc_id like '%b.PDF'").first().doc_id
+    tries = spark.createDataFrame([(b, 1, "--redo-ocr", 4, 0, "bad\nworse"), (b, 2, "--force-ocr", 10, 5, "")], convert.ATTEMPTS)
+    rows = {os.path.basename(r.doc_id): r for r in convert.convert_pdfs(files, Plain(), wordlist.dictionary(None, spark), machine=convert.Machine(150.0, 4), tries=tries).collect()}
+    stats = rows["b.PDF"].stats
+    assert stats.outcome == "--force-ocr" and rows["e.pdf"].stats.outcome == "original" and rows["d.pdf"].stats.outcome is None
+    assert stats.schedule == "sequential" and stats.preflight.startswith("file=b.PDF size=0.0MB pages=3 ") and "dpi=200" in stats.preflight and stats.seconds >= 0
+    assert "instead of 300" in rows["b.PDF"].warnings[0]
+
+
+class Layers(Plain):
+    recognises = False
+
+
+class Strict(Plain):
+    def words(self, content, page_no, route):
+        if route == "ocr":
+            raise sources.FatalError("no language data")
+        return super().words(content, page_no, route)
+
+
+def test_without_recognition(spark, tmp_path):
+    """Pages that nothing recognises are left out and told; an extractor's fatal error fails the document."""
+    files = sources.read_files(spark, folder(tmp_path)).where("doc_id like '%b.PDF'")
+    known = wordlist.dictionary(None, spark)
+    left = convert.convert_pdfs(files, Layers(), known).first()
+    assert "Recognised" not in left.markdown and left.warnings == ["1 page(s) without a text layer were left out: nothing here recognises them."]
+    lost = convert.convert_pdfs(files, Strict(), known).first()
+    assert lost.markdown is None and lost.warnings == ["no language data"]
+
+
+class Office(Plain):
+    def to_docx(self, content):
+        if content != b"old":
+            raise ValueError("not an old file")
+        return handbook()
+
+    def to_pdf(self, content):
+        return b"?\f?"
+
+
+def test_word_files_through_the_extractor(spark, tmp_path):
+    """Old Word files are converted first; those with hardly any text are recognised."""
+    (tmp_path / "in").mkdir()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Scan</w:t></w:r></w:p></w:body></w:document>')
+    for name, content in {"f.doc": b"old", "g h.docx": out.getvalue(), "x.doc": b"?"}.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    files = sources.read_files(spark, str(tmp_path / "in"))
+    rows = {os.path.basename(r.doc_id): r for r in convert.convert(files, wordlist.dictionary(None, spark), Office()).collect()}
+    assert len(rows) == 3 and rows["f.doc"].markdown.startswith("# Harbour Atlas") and "not an old file" in rows["x.doc"].warnings[0]
+    scan = rows["g h.docx"]
+    assert "Recognised words of a page." in scan.markdown and scan.warnings == [convert.SCANNED] and (scan.stats.pages, scan.stats.ocr_pages, scan.stats.text_layer) == (2, 2, convert.NATIVE)
+
+
 def test_equal_files_once(spark, tmp_path):
     for name in ("1.pdf", "2.pdf"):
         (tmp_path / name).write_bytes(b"same")
