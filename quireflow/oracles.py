@@ -274,6 +274,14 @@ def sql() -> dict[str, str]:
         "list_counters": """WITH items AS (SELECT l_orderkey AS path, l_linenumber * 1000000 + l_partkey AS pos, max(l_quantity::INT % 3) AS ilvl FROM lineitem GROUP BY path, pos),
             reset AS (SELECT *, CASE ilvl WHEN 0 THEN 0 WHEN 1 THEN sum((ilvl < 1)::INT) OVER w ELSE sum((ilvl < 2)::INT) OVER w END AS stretch FROM items WINDOW w AS (PARTITION BY path ORDER BY pos))
             SELECT path, pos, ilvl, row_number() OVER (PARTITION BY path, ilvl, stretch ORDER BY pos) AS n FROM reset""",
+        "docx_markdown": r"""WITH items AS (SELECT DISTINCT l_orderkey AS o, l_linenumber * 1000000 + l_partkey AS pos, l_partkey AS part, l_partkey % 5 AS kind, CASE WHEN l_partkey % 5 = 1 THEN l_partkey // 5 % 2 ELSE 0 END AS ilvl FROM lineitem),
+            near AS (SELECT *, kind IN (1, 2) AS listed, coalesce(lag(kind IN (1, 2)) OVER (PARTITION BY o ORDER BY pos), false) AS before FROM items),
+            runs AS (SELECT *, sum(CASE WHEN listed AND before THEN 0 ELSE 1 END) OVER (PARTITION BY o ORDER BY pos) AS run FROM near),
+            depth AS (SELECT *, CASE ilvl WHEN 0 THEN 0 ELSE sum((ilvl < 1)::INT) OVER (PARTITION BY o, run, kind ORDER BY pos) END AS stretch FROM runs),
+            told AS (SELECT *, CASE kind WHEN 0 THEN CASE WHEN o % 2 = 0 THEN '###' ELSE '##' END || ' Part ' || part WHEN 1 THEN repeat('   ', ilvl) || row_number() OVER (PARTITION BY o, run, kind, ilvl, stretch ORDER BY pos) || '. Part ' || part
+                WHEN 2 THEN '- Part ' || part WHEN 3 THEN '**Note** ' || part ELSE '| Part | Key |' || chr(10) || '| --- | --- |' || chr(10) || '| P\| | ' || part || ' |' END AS md FROM depth),
+            parts AS (SELECT o, run, string_agg(md, chr(10) ORDER BY pos) AS md FROM told GROUP BY o, run)
+            SELECT o::VARCHAR AS path, trim(CASE WHEN o % 2 = 0 THEN '# Order ' || o || chr(10) || chr(10) ELSE '' END || string_agg(md, chr(10) || chr(10) ORDER BY run)) || chr(10) AS markdown FROM parts GROUP BY o""",
         "safe_names": r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(url || ' (Final)', '[^/]*$'), '[^\p{L}\p{N}_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'document') || '.pdf' AS name FROM pages""",
         "content_keys": "SELECT doc_id, concat_ws('|', sha256(text), '300', 'false', 'eng', '1.5') AS key FROM documents",
         "previews": "SELECT doc_id, CASE WHEN length(t) <= 1000 THEN t WHEN cut > 0 AND cut < 1000 THEN left(t, cut) ELSE left(t, 1000) END AS preview FROM (SELECT doc_id, t, 1000 - nullif(instr(reverse(left(t, 1000)), chr(10) || chr(10)), 0) - 1 AS cut FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents))",

@@ -325,6 +325,24 @@ def list_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.list_counters(items).select("path", "pos", "ilvl", F.col("n").cast("long").alias("n"))
 
 
+@query
+def docx_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a Word document: headings, two kinds of lists, bold notes and tables by its lines' parts; even orders have a title."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    kind, part = F.col("l_partkey") % 5, F.col("l_partkey").cast("string")
+    run = lambda text, bold=False: F.struct(text.alias("text"), F.lit(bold).alias("bold"), F.lit(False).alias("italic"), F.lit("").alias("url"))
+    body = lines.select(
+        F.col("l_orderkey").cast("string").alias("path"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.when(kind == 4, "table").otherwise("para").alias("kind"),
+        F.when(kind == 0, "heading 2").when(kind == 1, "List Number").when(kind == 2, "List Bullet").otherwise("Normal").alias("style"), F.when(kind == 1, "1").when(kind == 2, "2").alias("num_id"),
+        F.when(kind == 1, F.floor(F.col("l_partkey") / 5) % 2).when(kind == 2, 0).cast("int").alias("ilvl"), F.when(kind == 1, "decimal").when(kind == 2, "bullet").alias("fmt"),
+        F.when(kind == 3, F.array(run(F.lit("Note"), True), run(F.concat(F.lit(" "), part)))).otherwise(F.array(run(F.concat(F.lit("Part "), part)))).alias("runs"),
+        F.when(kind == 4, F.array(F.array(F.lit("Part"), F.lit("Key")), F.array(F.lit("P|"), part))).alias("rows"), F.lit(None).cast("string").alias("error"),
+    )
+    title = lines.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("path")).distinct()
+    title = title.withColumns({"pos": F.lit(0).cast("long"), "kind": F.lit("para"), "style": F.lit("Title"), "runs": F.array(run(F.concat(F.lit("Order "), F.col("path"))))})
+    return docx.docx_markdown(body.unionByName(title, allowMissingColumns=True)).select("path", "markdown")
+
+
 @query
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
