@@ -10,7 +10,7 @@ of a seeded hash are taken while at least half of one still fits, so that a sour
 at most. Running sums are built from 4,096 hash buckets per source (sums combine before the shuffle), then inside
 each bucket, so a source with a third of all rows is spread over all tasks.
 
-Null texts have size 0. Rows that agree in doc_id, source and size are taken alike. Empty tables give empty results. Input
+Null texts have size 0. Very long texts are taken whole or not at all. Rows that agree in doc_id, source and size are taken alike. Empty tables give empty results. Input
 columns named like a result column are replaced.
 """
 

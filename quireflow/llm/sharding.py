@@ -6,7 +6,8 @@ of at most a few thousand groups are differenced one by one (one task each), the
 time, level by level, until one is left; small joins carry the parts back to the groups. No task sees more than one
 bucket. Slots are row numbers inside (shard, hash bucket) plus the bucket's offset, so no task numbers a whole shard.
 
-Null texts have size 16 and are a group with empty texts. Repeated rows take their group's shard. Input columns named
+Null texts have size 16 and are a group with empty texts. Repeated rows take their group's shard. Ties between sums go by
+position, of slots by hash. Very long texts are one size like any other. Empty tables give none. Input columns named
 like a result column are replaced.
 """
 

@@ -14,7 +14,8 @@ pairs: at similarity 0.8 about 10 of 64 bits differ, and a radius that wide leav
 candidates come from bands of least shingle hashes, all of which are compared (see similar_texts).
 
 Null and empty texts have fingerprint 0 and link like any other. Null ids take no part in the choice of the smallest id
-unless the whole group has none. Input columns named like a result column are replaced.
+unless the whole group has none; ties go by text hash. Every repeated row gets its row. Very long texts are scanned whole. Empty tables
+give none. Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
