@@ -73,6 +73,17 @@ def test_many_buckets_and_lanes(spark, monkeypatch):
     assert loads.max() - loads.min() < 0.02 * loads.mean()
 
 
+def test_hot_rows_and_texts(spark, monkeypatch):
+    """A third of the rows are one row without id, another third one text under many ids; the plan is the same each time."""
+    for name, value in (("BUCKET_GROUPS", 16), ("SLOT_ROWS", 5), ("COPY_BLOCK", 7)):
+        monkeypatch.setattr(sharding, name, value)
+    rows = [(None, "same", None, None, None)] * 100 + [(k, "", None, None, None) for k in range(100)] + [(k, f"text {k}" * (k % 9), None, None, None) for k in range(100, 200)]
+    got = sharding.shard_plan(frame(spark, rows), 4).collect()
+    check_plan(rows, got, 4)
+    again = sharding.shard_plan(frame(spark, rows).repartition(7), 4).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
 def test_table_and_empty(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
