@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the pipeline, with their DuckDB statements where SQL can say the same."""
+"""Queries op1 to op13 and the pipeline, with their DuckDB statements where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import chat, ctw, decontaminate, embedding, mixing, oracles, sharding, simhash, suffix_dedup, toxicity, warc
+from quireflow.llm import chat, ctw, decontaminate, embedding, mixing, oracles, sharding, simhash, suffix_dedup, toxicity, warc, whitening
 from quireflow.llm.common import table
 
 
@@ -56,8 +56,12 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry_text=False)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def oracle_sql() -> dict[str, str]:
-    """Fingerprints (XXH64), CRC32, trained models and the pipeline are beyond DuckDB's SQL."""
+    """Fingerprints (XXH64), CRC32, eigenvectors, trained models and the pipeline are beyond DuckDB's SQL."""
     return {"op1_embedding_caps": oracles.OP1, "op2_suffix_dedup": oracles.OP2, "op5_warc_round_trip": oracles.OP5, "op7_chat_collapse": oracles.OP7, "op8_water_filling": oracles.OP8, "op10_winnowing": oracles.OP10}
 
 
@@ -68,4 +72,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_caps, op2_suffix_dedup, op3_ctw_score, op4_simhash_pigeonring, op5_warc_round_trip, op6_toxicity_cnn, op7_chat_collapse, op8_water_filling, op9_karmarkar_karp, op10_winnowing, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_caps, op2_suffix_dedup, op3_ctw_score, op4_simhash_pigeonring, op5_warc_round_trip, op6_toxicity_cnn, op7_chat_collapse, op8_water_filling, op9_karmarkar_karp, op10_winnowing, op13_whitening, pipeline)}
