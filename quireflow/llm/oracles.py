@@ -73,3 +73,15 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' O
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words h ON h.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
 """
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0),
+sums AS (SELECT count(*)::BIGINT AS n_all, sum(n)::BIGINT AS l FROM d),
+counts AS (SELECT r, n, doc_id, t, count(*)::BIGINT AS tf FROM (SELECT r, n, doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * held + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS held FROM counts GROUP BY t), sums),
+asked AS (SELECT i, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, item_id, list_distinct({_WORDS}) AS w FROM benchmark)),
+scored AS (
+  SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_all) // l))))::BIGINT AS score FROM asked JOIN weights USING (t) JOIN counts USING (t), sums GROUP BY i, item_id, r, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
