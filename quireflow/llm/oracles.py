@@ -85,3 +85,13 @@ scored AS (
 )
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
 """
+
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, doc_id, k, md5_number(array_to_string(w[k + 1:k + 50], ' ')) AS g FROM (SELECT *, unnest(range(0, len(w) - 49)) AS k FROM d WHERE doc_id IS NOT NULL)),
+firsts AS (SELECT g, min(doc_id) AS first_id FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 50)) AS p FROM windows JOIN firsts USING (g) WHERE first_id < doc_id),
+each AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM each ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

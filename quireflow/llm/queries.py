@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm import chat, ctw, decontaminate, embedding, mixing, oracles, ranking, sharding, simhash, suffix_dedup, toxicity, warc, whitening
+from quireflow.llm import chat, ctw, decontaminate, embedding, mixing, oracles, phrases, ranking, sharding, simhash, suffix_dedup, toxicity, warc, whitening
 from quireflow.llm.common import table
 
 
@@ -60,13 +60,17 @@ def op11_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_passages(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 def oracle_sql() -> dict[str, str]:
     """Fingerprints (XXH64), CRC32, eigenvectors, trained models and the pipeline are beyond DuckDB's SQL."""
-    return {"op1_embedding_caps": oracles.OP1, "op2_suffix_dedup": oracles.OP2, "op5_warc_round_trip": oracles.OP5, "op7_chat_collapse": oracles.OP7, "op8_water_filling": oracles.OP8, "op10_winnowing": oracles.OP10, "op11_wand": oracles.OP11}
+    return {"op1_embedding_caps": oracles.OP1, "op2_suffix_dedup": oracles.OP2, "op5_warc_round_trip": oracles.OP5, "op7_chat_collapse": oracles.OP7, "op8_water_filling": oracles.OP8, "op10_winnowing": oracles.OP10, "op11_wand": oracles.OP11, "op12_phrase_automata": oracles.OP12}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +80,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_caps, op2_suffix_dedup, op3_ctw_score, op4_simhash_pigeonring, op5_warc_round_trip, op6_toxicity_cnn, op7_chat_collapse, op8_water_filling, op9_karmarkar_karp, op10_winnowing, op11_wand, op13_whitening, pipeline)}
+    return {f.__name__: f for f in (op1_embedding_caps, op2_suffix_dedup, op3_ctw_score, op4_simhash_pigeonring, op5_warc_round_trip, op6_toxicity_cnn, op7_chat_collapse, op8_water_filling, op9_karmarkar_karp, op10_winnowing, op11_wand, op12_phrase_automata, op13_whitening, pipeline)}
