@@ -13,6 +13,7 @@ from quireflow.functions import text as X
 from quireflow.operators import attempts, clean, docx, layout, profile, render, resources, structure
 from quireflow.plans import markdown
 from quireflow.scratch import cut
+from quireflow.sources import dealing
 from quireflow.sources import files as sources
 from quireflow.sources.docx import docx_items
 
@@ -61,26 +62,29 @@ def attempt_results(texts: DataFrame, profiles: DataFrame, tries: DataFrame) ->
 
 def convert_pdfs(
     files: DataFrame, extractor: sources.Extractor, dictionary: Broadcast, ratio: float = 1.5, force: bool = False, machine: Machine = Machine(), tries: DataFrame | None = None,
-    read: Callable[[str], bytes] = sources.read_content,
+    read: Callable[[str], bytes] = sources.read_content, page_seconds: float | None = sources.PAGE_SECONDS, file_seconds: float | None = sources.FILE_SECONDS,
 ) -> DataFrame:
     """doc_id, markdown, warnings, stats of PDF files.
 
     Documents that are no mere images have their text layer read; pages whose lines hold too little text, or cannot be read, are
     recognised like all pages of the others; a column `force` of files stands for the parameter. Pages, words, lines and blocks are written to the shared folder (scratch.py), so the work
-    is done here, in short plans; only the last join is lazy. tries: attempts at searchable PDFs (ATTEMPTS); read: opens a file in a task.
+    is done here, in short plans; only the last join is lazy. Pages go to tasks by their cost at the resolution that their document's memory
+    plan allows; the plan's number of workers decides how many CPUs a task holds. tries: attempts at searchable PDFs (ATTEMPTS); read:
+    opens a file in a task; page_seconds, file_seconds: deadlines of the extractor's calls, None for none.
     """
-    raw = cut(sources.page_rows(files, extractor))
+    raw = cut(sources.page_rows(files, extractor, file_seconds))
     known = raw.where("error is null")
     forced = files.select("doc_id", F.col("force") if "force" in files.columns else F.lit(force).alias("force"))
     profiles = cut(profile.profile(known).join(forced, "doc_id"))
-    sheets = cut(known.join(profiles.select("doc_id", F.expr("force or image_only").alias("scan")), "doc_id").select("doc_id", "page_no", "width", "height", "scan"))
+    plans = cut(planned(files, profiles, machine).select("doc_id", "pages", "text_layer", "schedule", "dpi", "preflight", F.expr("force or image_only").alias("scan"), dealing.task_cpus(F.col("cpus"), F.col("ocr_workers")).alias("task_cpus")))
+    sheets = cut(known.select("doc_id", "page_no", "width", "height").join(plans.select("doc_id", "scan", "dpi", "task_cpus"), "doc_id").withColumn("dpi", resources.capped_dpi(F.col("width"), F.col("height"), F.col("dpi"))))
     layered = sheets.where("not scan")
-    found = cut(sources.word_rows(layered.select("doc_id", "page_no", F.lit("text").alias("route")), extractor, read))
+    found = cut(sources.word_rows(layered.withColumns({"route": F.lit("text"), "task_cpus": F.lit(1)}), extractor, read, page_seconds))
     text = cut(markdown.structured_lines(found.where("text is not null"), layered, "text"))
 
     asked = cut(sheets.where("scan").unionByName(profile.pages_without_words(layered, text)))
     recognises = getattr(extractor, "recognises", True)
-    ocr_rows = cut(sources.word_rows(asked.where(F.lit(recognises)).select("doc_id", "page_no", F.lit("ocr").alias("route")), extractor, read))
+    ocr_rows = cut(sources.word_rows(asked.where(F.lit(recognises)).withColumn("route", F.lit("ocr")), extractor, read, page_seconds))
     words = ocr_rows.where("text is not null and conf >= 0").withColumn("size", F.coalesce("size", X.glyph_size(F.col("text"), F.col("bottom") - F.col("top"))))
     ocr = markdown.structured_lines(words, sheets, "ocr")
     gone = asked.select("doc_id", "page_no")
@@ -98,9 +102,8 @@ def convert_pdfs(
 
     texts = cut(render.render(render.block_markdown(blocks, dictionary)).join(notes.where("fatal").select("doc_id"), "doc_id", "left_anti"))
     conf = profile.confidence_stats(layout.ocr_lines(words))
-    plans = planned(files, profiles, machine).select("doc_id", "pages", "text_layer", "schedule", "dpi", "preflight")
     joined = files.select("doc_id")
-    for part in (texts, plans, conf, notes, skipped):
+    for part in (texts, plans.drop("scan", "task_cpus"), conf, notes, skipped):
         joined = joined.join(part, "doc_id", "left")
     if tries is not None:
         joined = joined.join(attempt_results(texts, profiles, tries), "doc_id", "left")

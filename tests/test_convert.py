@@ -22,7 +22,7 @@ class Plain:
             raise ValueError("damaged")
         return [{"page_no": k, "width": 612.0, "height": 792.0, "has_fonts": True, "text": t} for k, t in enumerate(content.decode().split("\f"), 1)]
 
-    def words(self, content, page_no, route):
+    def words(self, content, page_no, route, dpi):
         text = content.decode().split("\f")[page_no - 1]
         if text == "!":
             raise ValueError("no bitmap")
@@ -67,10 +67,10 @@ class Layers(Plain):
 
 
 class Strict(Plain):
-    def words(self, content, page_no, route):
+    def words(self, content, page_no, route, dpi):
         if route == "ocr":
             raise sources.FatalError("no language data")
-        return super().words(content, page_no, route)
+        return super().words(content, page_no, route, dpi)
 
 
 def test_without_recognition(spark, tmp_path):
