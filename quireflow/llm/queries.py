@@ -33,10 +33,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = "crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 = 0"
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    done = toxicity.classify(docs, table(spark, sf_dir, "labels"), held_out, carry_text=False)
     score = F.col("toxicity")
-    return toxicity.score(docs, model).select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return done.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "threshold", F.col("toxic").alias("rejected"))
 
 
 def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

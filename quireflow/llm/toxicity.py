@@ -1,11 +1,12 @@
 """Toxicity: a convolutional text classifier, trained in numpy, scored inside Arrow batches.
 
-Words (runs of ASCII letters and digits and of other non-ASCII bytes, lower-cased) become the sum of two hashed
-embeddings: one of the whole word and one of its first four bytes, which carries stems through inflection. Filters of
+Words (runs of ASCII letters and digits and of other non-ASCII bytes, lower-cased) become the sum of three hashed
+embeddings: of the whole word and of its first four and six bytes, which carry stems through inflection. Filters of
 widths 1, 2 and 3 slide over the words; each filter's greatest response over the WHOLE text feeds one logistic unit.
-Training takes a bounded, documented sample of the labelled rows (of four fifths of the ids by hash, the `sample` ids with
-the least hash, up to `sample_bytes` of text; equal rows of one id once). All other labelled rows are scored by a Spark job and counted by language and bin of score; these counts
-give the calibration (Platt scaling) and every threshold, at any size in the same way. A language's threshold is the cut
+Training takes a bounded, documented sample of the labelled rows (the `sample` ids with the least hash, up to `sample_bytes` of text; equal
+rows of one id once) and leaves out most words at random in each step, so that no single rare word is relied on. Calibration (Platt
+scaling) and thresholds count all labelled rows by language and bin of score, at any size in the same way: sampled rows by models that were
+trained without their fold, all others by the model itself. The models are trained in a task each. A language's threshold is the cut
 of best F1 on its own counts plus PRIOR toxic rows' worth of the counts of all languages, so few rows move it little from
 the shared one. Scores use the text alone: language only picks the threshold of the filtering decision, never the score.
 
@@ -17,31 +18,36 @@ ids go by text hash, empty tables give none. Input columns named like a result c
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireflow.llm.common import NOT_ALNUM, append_columns, blocks, prefix_sums, slice_hash, word_spans, word_table
+from quireflow.llm.common import NOT_ALNUM, append_columns, blocks, cut, prefix_sums, slice_hash, word_spans, word_table
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
+BUCKETS, STEMS, DIM, WIDTHS, FILTERS = 1 << 15, (4, 6), 12, (1, 2, 3), 8
+DROPPED = 0.6  # share of words left out of a training step
 SAMPLE, SAMPLE_BYTES, STEPS, BATCH_WORDS = 6000, 48 << 20, 1000, 20000
-FOLDS, PRIOR, BINS = 5, 20, 256  # one fold of the ids never trains; pseudo rows of the shared counts; bins per unit of asinh(logit)
+LANGUAGES = 1000  # most languages with a threshold of their own; rarer ones have the common one
+FOLDS, PRIOR, BINS = 5, 20, 256  # of the ids, for calibration; pseudo rows of the shared counts; bins per unit of asinh(logit)
+RESULT = ("toxicity", "threshold", "toxic")
 _WORDS = word_table(True, NOT_ALNUM)
 
 
-def word_ids(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embedding rows of each word and of its stem, and the words before each text and in all."""
+def word_ids(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of each word (itself and its beginnings of STEMS bytes), and the words before each text and in all."""
     kept = _WORDS[data]
     begin, end, first = word_spans(kept, starts)
     sums = prefix_sums(kept)
-    whole = slice_hash(sums, begin, end) % np.uint64(BUCKETS)
-    stem = slice_hash(sums, begin, np.minimum(end, begin + 4)) % np.uint64(BUCKETS) + np.uint64(BUCKETS)
-    return whole.astype(np.int32), stem.astype(np.int32), first
+    parts = [end, *(np.minimum(end, begin + k) for k in STEMS)]
+    return np.stack([slice_hash(sums, begin, stop) % np.uint64(BUCKETS) + np.uint64(k * BUCKETS) for k, stop in enumerate(parts)], 1).astype(np.int32), first
 
 
 @dataclass
@@ -53,16 +59,18 @@ class ToxicityModel:
     shift: list[np.ndarray]
     output: np.ndarray
     bias: float
+    slope: float = 1.0
+    offset: float = 0.0
     thresholds: dict[str, float] = field(default_factory=lambda: {"": 0.5})
 
-    def responses(self, whole: np.ndarray, stem: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def responses(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greatest response of each filter in each text (0 where none is positive), and the word where it begins (-1)."""
-        texts, total = len(first) - 1, len(whole)
+        texts, total = len(first) - 1, len(ids)
         best = np.zeros((texts, len(WIDTHS) * FILTERS), np.float32)
         where = np.full(best.shape, -1, np.int64)
         if not total:
             return best, where
-        words = self.embedding[whole] + self.embedding[stem]
+        words = self.embedding[ids].sum(1)
         owner = np.repeat(np.arange(texts), np.diff(first))
         for j, width in enumerate(WIDTHS):
             n = total - width + 1
@@ -86,15 +94,15 @@ class ToxicityModel:
         return best @ self.output + self.bias
 
     def score(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        whole, stem, first = word_ids(data, starts)
+        ids, first = word_ids(data, starts)
         step, lap = 1 << 16, max(WIDTHS) - 1
-        if len(whole) <= step:
-            return self.logits(self.responses(whole, stem, first)[0])
+        if len(ids) <= step:
+            return self.logits(self.responses(ids, first)[0])
         best = np.zeros((len(first) - 1, len(WIDTHS) * FILTERS), np.float32)
-        for at in range(0, len(whole), step):
-            stop = min(len(whole), at + step + lap)
+        for at in range(0, len(ids), step):
+            stop = min(len(ids), at + step + lap)
             piece = np.clip(first, at, stop) - at
-            best = np.maximum(best, self.responses(whole[at:stop], stem[at:stop], piece)[0])
+            best = np.maximum(best, self.responses(ids[at:stop], piece)[0])
         return self.logits(best)
 
 
@@ -102,11 +110,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def gradients(model: ToxicityModel, ids: np.ndarray, first: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of the weighted logistic loss of some texts: by filters, shifts and output, by logit, and by embedding rows (with repeats) and their pushes."""
+    best, where = model.responses(ids, first)
+    slope = ((sigmoid(model.logits(best)) - toxic) * weight).astype(np.float32)
+    down = slope[:, None] * model.output * (where >= 0)
+    grads = [np.zeros_like(p) for p in (*model.filters, *model.shift, model.output)]
+    grads[-1][:] = slope @ best
+    touched, pushes = [np.zeros(0, np.int32)], [np.zeros((0, DIM), np.float32)]
+    for j, width in enumerate(WIDTHS):
+        r, f = np.nonzero(where[:, j * FILTERS : (j + 1) * FILTERS] >= 0)
+        place, g = where[r, j * FILTERS + f], down[r, j * FILTERS + f]
+        np.add.at(grads[len(WIDTHS) + j], f, g)
+        for k in range(width):
+            parts = ids[place + k]
+            np.add.at(grads[j][k].T, f, g[:, None] * model.embedding[parts].sum(1))
+            touched.append(parts.ravel())
+            pushes.append(np.repeat(g[:, None] * model.filters[j][k].T[f], parts.shape[1], axis=0))
+    return grads, slope, np.concatenate(touched), np.concatenate(pushes)
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
     """Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
     model = ToxicityModel(
-        rng.normal(0, 0.1, (2 * BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) / w for w in WIDTHS], [np.full(FILTERS, 0.01, np.float32) for _ in WIDTHS],
+        rng.normal(0, 0.1, ((1 + len(STEMS)) * BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) / w for w in WIDTHS], [np.full(FILTERS, 0.01, np.float32) for _ in WIDTHS],
         rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), float(np.log((toxic.sum() + 1) / (len(toxic) - toxic.sum() + 1))),
     )
     if not 0 < toxic.sum() < len(toxic):
@@ -128,24 +156,11 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
                 stop += 1
             rows = order[at:stop]
             at = stop
-            whole, stem = (np.concatenate([coded[r][k] for r in rows]) for k in (0, 1))
-            first = np.concatenate([[0], np.cumsum([len(coded[r][0]) for r in rows])])
-            best, where = model.responses(whole, stem, first)
-            slope = ((sigmoid(model.logits(best)) - toxic[rows]) * weight[rows] / len(rows)).astype(np.float32)
-            down = slope[:, None] * model.output * (where >= 0)
-            grads = [np.zeros_like(p) for p in dense]
-            grads[-1][:] = slope @ best
-            touched, pushes = [], []
-            for j, width in enumerate(WIDTHS):
-                r, f = np.nonzero(where[:, j * FILTERS : (j + 1) * FILTERS] >= 0)
-                place, g = where[r, j * FILTERS + f], down[r, j * FILTERS + f]
-                np.add.at(grads[len(WIDTHS) + j], f, g)
-                for k in range(width):
-                    a, b = whole[place + k], stem[place + k]
-                    np.add.at(grads[j][k].T, f, g[:, None] * (model.embedding[a] + model.embedding[b]))
-                    push = g[:, None] * model.filters[j][k].T[f]
-                    touched += [a, b]
-                    pushes += [push, push]
+            ids = np.concatenate([coded[r][0] for r in rows])
+            kept = rng.random(len(ids)) >= DROPPED
+            first = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum([len(coded[r][0]) for r in rows])])]
+            ids = ids[kept]
+            grads, slope, touched, pushes = gradients(model, ids, first, toxic[rows], weight[rows] / len(rows))
             steps += 1
             for p, g, (m, v) in zip(dense, grads, moments):
                 m += 0.1 * (g - m)
@@ -153,10 +168,10 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
                 p -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-6)
             bias_moment += 0.1 * (float(slope.sum()) - bias_moment)
             model.bias -= rate * bias_moment
-            if touched:
-                ids, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+            if len(touched):
+                ids, inverse = np.unique(touched, return_inverse=True)
                 total = np.zeros((len(ids), DIM), np.float32)
-                np.add.at(total, inverse, np.concatenate(pushes))
+                np.add.at(total, inverse, pushes)
                 squares[ids] += (total * total).mean(1)
                 model.embedding[ids] -= 0.1 * total / (np.sqrt(squares[ids]) + 1e-6)[:, None]
     model.tracing = False
@@ -178,7 +193,7 @@ def calibrate(model: ToxicityModel, counts: list[tuple[str | None, int, int, int
     # Rows of both classes weighed alike in training; the scaling turns logits into probabilities.
     logit = np.sinh((bins + 0.5) / BINS)
     slope, shift = platt(np.tile(logit, 2), np.repeat([1.0, 0.0], len(bins)), shared.ravel())
-    model.output, model.bias = (model.output * slope).astype(np.float32), model.bias * slope + shift
+    model.slope, model.offset = slope, shift
     logit = logit * slope + shift
     model.thresholds[""] = float(sigmoid(best_cut(logit, *shared)))
     for lang in langs:
@@ -216,55 +231,110 @@ def best_cut(logit: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
     return float((x[k] + after[k]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
-    """Trains on at most `sample` whole labelled documents of `sample_bytes` in all and calibrates on all others; rows where `held_out` holds stay out."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
-    if held_out:
-        rows = rows.where(~F.expr(held_out))
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    if held_out:
-        known = known.where(~F.expr(held_out))
-    training = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) > 0
-    chosen = known.where(training).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def sampled(docs: DataFrame, known: DataFrame, sample: int, sample_bytes: int) -> pd.DataFrame:
+    """doc_id, lang, text, toxic, fold of at most `sample` whole labelled documents of `sample_bytes` in all."""
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", _language(docs))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The order's running bytes bound what reaches the driver; the sizes of `sample` rows are one small task.
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
     marked = rows.join(F.broadcast(chosen), "doc_id").withColumns({"mark": F.xxhash64("text"), "bytes": F.octet_length("text").cast("long")}).where(F.col("bytes") <= sample_bytes)
     first = marked.select("doc_id", "mark", "bytes").orderBy(*order).limit(sample)
     fits = first.withColumn("so_far", F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("so_far") <= sample_bytes).select("doc_id", "mark").distinct()
-    got = marked.join(F.broadcast(fits), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).orderBy(*order).toPandas()
-    model = train(got["text"].tolist(), got["toxic"].to_numpy(np.float64))
-    if model.output.any():
-        ids = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(got["doc_id"].tolist()))], docs.select("doc_id").schema)
-        calibrate(model, score_counts(rows, known.join(F.broadcast(ids), "doc_id", "left_anti"), model))
-    return model
+    got = marked.join(F.broadcast(fits), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).orderBy(*order)
+    return got.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).toPandas()
+
 
+def _language(docs: DataFrame) -> Column:
+    return (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
 
-def score_counts(rows: DataFrame, known: DataFrame, model: ToxicityModel) -> list[tuple[str | None, int, int, int]]:
-    """(language, bin, toxic rows, clean rows) of all rows with a label; texts are scored where they lie, only ids and bins meet the labels."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+def cross_fit(spark: SparkSession, got: pd.DataFrame) -> tuple[ToxicityModel, np.ndarray]:
+    """The model of all sampled rows, and each row's logit under a model that has not seen its fold. Every model is trained in a task of its own."""
+    texts, toxic, fold = got["text"].tolist(), got["toxic"].to_numpy(np.float64), got["fold"].to_numpy()
+    sent = spark.sparkContext.broadcast((texts, toxic, fold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, starts in blocks(batches, "text"):
-            bins = np.floor(np.arcsinh(shared.value.score(data, starts).astype(np.float64)) * BINS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bins)], names=["doc_id", "lang", "bin"])
+        texts, toxic, fold = sent.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                inside = np.flatnonzero(fold != k)
+                model = train([texts[i] for i in inside], toxic[inside])
+                raw = [texts[i].encode() for i in np.flatnonzero(fold == k)]
+                logits = model.score(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)) if raw else np.zeros(0)
+                yield pa.RecordBatch.from_pydict({"fold": pa.array([k]), "made": pa.array([pickle.dumps((model if k == FOLDS else None, logits))], pa.binary())})
 
-    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, bin int")
-    hit = F.sum(F.col("toxic").cast("long"))
-    counts = scored.join(known, "doc_id").groupBy("lang", "bin").agg(hit.alias("hits"), (F.count("*") - hit).alias("others"))
-    return [tuple(r) for r in counts.collect()]
+    folds = spark.range(FOLDS + 1).select(F.col("id").cast("int").alias("id")).repartitionById(FOLDS + 1, "id")  # the last one leaves out nothing
+    made = {r["fold"]: pickle.loads(r["made"]) for r in folds.mapInArrow(run, "fold long, made binary").collect()}
+    logits = np.zeros(len(texts))
+    for k in range(FOLDS):
+        logits[fold == k] = made[k][1]
+    return made[FOLDS][0], logits
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The documents with toxicity (double, 0 to 1) and toxic (boolean: at or over their language's threshold)."""
-    docs = docs.drop("toxicity", "toxic")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, fixed by BUCKETS and DIM
+def bins_of(logits: np.ndarray) -> np.ndarray:
+    return np.floor(np.arcsinh(logits.astype(np.float64)) * BINS).astype(np.int64)
+
+
+def with_logits(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The documents with __logit, the network's answer before calibration."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, fixed by BUCKETS, STEMS and DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for rows, data, starts in blocks(batches, "text"):
-            p = sigmoid(model.score(data, starts).astype(np.float64))
-            lang = rows.schema.get_field_index("lang")
-            limits = [model.thresholds.get(x, model.thresholds[""]) for x in rows.column(lang).to_pylist()] if lang >= 0 else np.full(len(p), model.thresholds[""])
-            yield append_columns(rows, toxicity=pa.array(p), toxic=pa.array(p >= np.array(limits)))
+            yield append_columns(rows, __logit=pa.array(shared.value.score(data, starts).astype(np.float64)))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__logit", T.DoubleType())]))
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
+def _known(labels: DataFrame, held_out: str | None) -> DataFrame:
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.where(~F.expr(held_out)) if held_out else known
+
+
+def _calibrate(scored: DataFrame, known: DataFrame, got: pd.DataFrame, model: ToxicityModel, logits: np.ndarray) -> None:
+    """Counts by language, bin and label: of the sample under models that have not seen the row, of all other labelled rows under the model itself."""
+    if not model.output.any():
+        return
+    spark = scored.sparkSession
+    counts = Counter((lang, int(b), int(hit)) for lang, b, hit in zip(got["lang"].tolist(), bins_of(logits), got["toxic"].tolist()))
+    ids = spark.createDataFrame([(x,) for x in sorted(set(got["doc_id"].tolist()))], scored.select("doc_id").schema)
+    # Only ids, bins and languages meet the labels.
+    others = scored.where("__read").select("doc_id", _language(scored), F.floor(F.asinh("__logit") * BINS).alias("bin")).join(known.join(F.broadcast(ids), "doc_id", "left_anti"), "doc_id")
+    rest = others.groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n"))
+    most = rest.groupBy("lang").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).select("lang", F.lit(True).alias("own"))
+    for lang, b, hit, n in rest.join(F.broadcast(most), "lang", "left").groupBy(F.when(F.col("own"), F.col("lang")).alias("lang"), "bin", "toxic").agg(F.sum("n").alias("n")).collect():
+        counts[lang, b, hit] += n
+    calibrate(model, [(lang, b, n * (hit > 0), n * (hit == 0)) for (lang, b, hit), n in counts.items()])
+
+
+def _decided(scored: DataFrame, model: ToxicityModel) -> DataFrame:
+    """Probability and decision from __logit, the calibration being one slope, one offset and a short list of thresholds."""
+    toxicity = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("__logit") * model.slope + model.offset))))
+    limits = scored.sparkSession.createDataFrame([(k, v) for k, v in model.thresholds.items() if k], "__lang string, threshold double")
+    joined = scored.withColumn("toxicity", toxicity).join(F.broadcast(limits), _language(scored) == F.col("__lang"), "left")
+    limit = F.coalesce("threshold", F.lit(model.thresholds[""]))
+    return joined.select(*(c for c in scored.columns if not c.startswith("__")), "toxicity", limit.alias("threshold"), (F.col("toxicity") >= limit).alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Trains on at most `sample` labelled documents and calibrates on all labelled ones; rows where `held_out` holds lend no label."""
+    known = _known(labels, held_out)
+    got = sampled(docs, known, sample, sample_bytes)
+    model, logits = cross_fit(docs.sparkSession, got)
+    _calibrate(with_logits(docs, model).select("doc_id", _language(docs), "__logit", F.col("text").isNotNull().alias("__read")), known, got, model, logits)
+    return model
+
+
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The documents with toxicity (double, 0 to 1), threshold (their language's) and toxic (boolean: at or over it)."""
+    return _decided(with_logits(docs.drop(*RESULT), model), model)
+
+
+def classify(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, carry_text: bool = True) -> DataFrame:
+    """fit and score in one: the network reads every text once. Its answers are written, with the texts only if carry_text says so; labelled ones calibrate."""
+    docs, known = docs.drop(*RESULT), _known(labels, held_out)
+    got = sampled(docs, known, sample, sample_bytes)
+    model, logits = cross_fit(docs.sparkSession, got)
+    scored = cut(with_logits(docs, model).select(*(c for c in docs.columns if carry_text or c != "text"), "__logit", F.col("text").isNotNull().alias("__read")))
+    _calibrate(scored, known, got, model, logits)
+    return _decided(scored, model)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tests.llm.fixtures import documents, frame
 
@@ -13,7 +14,7 @@ from quireflow.llm import toxicity
 from quireflow.llm.common import table
 from quireflow.llm.queries import op6_toxicity_cnn
 
-BIG = "/root/testdata/sf0.1"  # smaller ones have too few labelled rows to judge by
+BIG, SMALL = "/root/testdata/sf0.1", "/root/testdata/sf0.01"
 
 
 def auc(score: np.ndarray, label: np.ndarray) -> float:
@@ -25,11 +26,15 @@ def auc(score: np.ndarray, label: np.ndarray) -> float:
     return float((rank[label == 1].sum() - n * (n + 1) / 2) / (n * (len(label) - n)))
 
 
-def test_held_out_accuracy(spark):
-    got = op6_toxicity_cnn(spark, BIG).join(table(spark, BIG, "labels").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").toPandas()
+@pytest.mark.parametrize("folder, least, found", [(BIG, 0.97, 0.8), (SMALL, 0.95, 0.6)])
+def test_held_out_accuracy(spark, folder, least, found):
+    """The small table trains on 45 toxic rows, 11 of them in three languages other than English, and holds out 6: four are found."""
+    got = op6_toxicity_cnn(spark, folder).join(table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id").where("held_out and label is not null").toPandas()
     assert all(zlib.crc32(str(d).encode()) % 5 == 0 for d in got.doc_id)
-    assert auc(got.score.to_numpy(), got.toxic.to_numpy()) > 0.95
-    assert (got.predicted == got.toxic).mean() > 0.95
+    assert auc(got.score.to_numpy(), got.label.to_numpy()) > least
+    assert (got.predicted == got.label).mean() > 0.95
+    for decision in (got.predicted == 1, got.rejected):
+        assert decision[got.label == 1].mean() >= found and decision[got.label == 0].mean() < 0.03
 
 
 def toy(n: int = 400) -> list[tuple]:
@@ -80,8 +85,8 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert toxicity.fit(docs, labels, held).bias == toxicity.fit(docs, turned, held).bias
 
 
-def test_thresholds_come_from_all_labels_outside_training(spark):
-    """Beyond the training sample every labelled row counts, and a language with few toxic rows is calibrated as well."""
+def test_thresholds_come_from_all_labels(spark):
+    """Every labelled row counts, in and beyond the training sample, and a language with few toxic rows is calibrated as well."""
     rows = [(k, t, "es" if k % 40 == 0 else l, s, n) for k, t, l, s, n in toy(1200)]
     labels = spark.createDataFrame([(r[0], int(r[0] % 3 == 0)) for r in rows], "doc_id long, toxic int")
     seen = []
@@ -89,10 +94,15 @@ def test_thresholds_come_from_all_labels_outside_training(spark):
     toxicity.calibrate = lambda model, counts: (seen.extend(counts), own(model, counts))
     try:
         model = toxicity.fit(frame(spark, rows), labels, sample=300)
+        done = toxicity.classify(frame(spark, rows), labels, sample=300)
     finally:
         toxicity.calibrate = own
-    assert sum(a + b for _, _, a, b in seen) == 900 and sum(a for _, _, a, _ in seen) <= 400
+    assert sum(a + b for _, _, a, b in seen) == 2 * 1200 and sum(a for _, _, a, _ in seen) == 2 * 400
     assert set(model.thresholds) == {"", "de", "en", "es"} and all(x != 0.5 for x in model.thresholds.values())
+    limits = {(r.lang, r.threshold) for r in done.select("lang", "threshold").distinct().collect()}
+    assert limits == {(x, model.thresholds[x]) for x in ("de", "en", "es")}
+    again = toxicity.score(frame(spark, rows), model)
+    assert sorted(map(str, again.select(done.columns).collect())) == sorted(map(str, done.collect()))
 
 
 def test_few_rows_move_a_threshold_little_and_many_set_it():
@@ -110,8 +120,8 @@ def plain_logit(model: toxicity.ToxicityModel, text: str) -> float:
     rows = []
     for word in words:
         data = np.frombuffer(word, np.uint8)
-        whole, stem, _ = toxicity.word_ids(data, np.array([0, len(data)]))
-        rows.append([float(model.embedding[whole[0]][d]) + float(model.embedding[stem[0]][d]) for d in range(toxicity.DIM)])
+        parts, _ = toxicity.word_ids(data, np.array([0, len(data)]))
+        rows.append([sum(float(model.embedding[p][d]) for p in parts[0]) for d in range(toxicity.DIM)])
     total = model.bias
     for j, width in enumerate(toxicity.WIDTHS):
         for f in range(toxicity.FILTERS):
@@ -137,12 +147,12 @@ def test_forward_pass_against_plain_loops(spark):
 
 def test_registered_query_against_plain_loops(spark, sf_dir):
     """Each score of op6 is the plain classifier's, under the model that the query's own steps give."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 = 0")
     got = {r.doc_id: r for r in op6_toxicity_cnn(spark, sf_dir).collect()}
     assert len(got) == docs.count()
     for r in docs.where(F.length("text") < 1500).limit(15).collect():
-        want = 1 / (1 + np.exp(-plain_logit(model, r.text)))
+        want = 1 / (1 + np.exp(-model.slope * plain_logit(model, r.text) - model.offset))
         assert abs(got[r.doc_id].score - want) < 1e-4 and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
         assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
@@ -151,11 +161,39 @@ def test_the_training_sample_is_bounded_in_bytes(spark):
     """Longer texts than the bound never reach the driver; the rest still trains."""
     rows = [*toy(120), (900, "vile " * 60_000, "en", "s", 1), (901, "lake " * 60_000, "en", "s", 1)]
     labels = spark.createDataFrame([(r[0], int(r[0] % 3 == 0)) for r in rows], "doc_id long, toxic int")
-    seen = []
-    own = toxicity.train
-    toxicity.train = lambda texts, toxic: (seen.extend(texts), own(texts, toxic))[1]
-    try:
-        toxicity.fit(frame(spark, rows), labels, sample_bytes=20_000)
-    finally:
-        toxicity.train = own
-    assert 0 < sum(len(t.encode()) for t in seen) <= 20_000
+    got = toxicity.sampled(frame(spark, rows), labels, 6000, 20_000)
+    assert 0 < sum(len(t.encode()) for t in got["text"]) <= 20_000 and len(got) == 120
+    assert 48 <= len(toxicity.sampled(frame(spark, rows), labels, 50, 20_000)) <= 50  # less the long ones among them
+
+
+def test_gradients_against_differences():
+    """Each slope of the loss is what a small step of the parameter says, in double precision."""
+    rows = toy(12)
+    toxic = np.array([float(r[0] % 3 == 0) for r in rows])
+    model = toxicity.train([r[1] for r in rows], toxic)
+    model.filters, model.shift, model.embedding, model.output = [f.astype(np.float64) for f in model.filters], [s.astype(np.float64) for s in model.shift], model.embedding.astype(np.float64), model.output.astype(np.float64)
+    raw = [r[1].encode() for r in rows]
+    ids, first = toxicity.word_ids(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    weight = np.linspace(0.5, 1.5, len(rows))
+
+    def loss() -> float:
+        z = np.array([plain_logit(model, r[1]) for r in rows])
+        return float(weight @ (np.logaddexp(0, z) - toxic * z))
+
+    model.tracing = True
+    grads, slope, touched, pushes = toxicity.gradients(model, ids, first, toxic, weight)
+    rng = np.random.default_rng(1)
+    by_row = np.zeros_like(model.embedding)
+    np.add.at(by_row, touched, pushes)
+    pairs = [*zip((*model.filters, *model.shift, model.output), grads), (model.embedding, by_row)]
+    for values, slopes in pairs:
+        flat = np.flatnonzero(np.abs(slopes.ravel()) > 1e-4)
+        for at in rng.choice(flat, min(4, len(flat)), replace=False):
+            old = values.flat[at]
+            values.flat[at] = old + 1e-4
+            above = loss()
+            values.flat[at] = old - 1e-4
+            below = loss()
+            values.flat[at] = old
+            assert abs((above - below) / 2e-4 - slopes.flat[at]) < 2e-3 * max(1.0, abs(slopes.flat[at]))
+    assert abs(float(slope.sum()) - float(weight @ (1 / (1 + np.exp(-np.array([plain_logit(model, r[1]) for r in rows]))) - toxic))) < 1e-3
