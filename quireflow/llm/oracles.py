@@ -57,8 +57,8 @@ goals AS (
 ), units AS (SELECT doc_id, source, size, count(*) AS copies, md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM sized GROUP BY ALL),
 running AS (
   SELECT u.*, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole, coalesce(sum(size * copies) OVER (PARTITION BY u.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM units u JOIN goals g ON u.source IS NOT DISTINCT FROM g.source
-), plan AS (SELECT *, whole + CASE WHEN whole < 3 AND size > 0 AND 2 * before + size * copies <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END AS reps FROM running)
-SELECT doc_id, size, source_size, target, (size * reps)::BIGINT AS taken FROM (SELECT *, unnest(range(copies)) AS nth FROM plan)
+), plan AS (SELECT *, CASE WHEN whole < 3 AND size > 0 THEN greatest(0, least(copies, floor((2 * (target - whole * source_size) - 2 * before - size) / (2 * size)) + 1)) ELSE 0 END AS extra FROM running)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN nth < extra THEN 1 ELSE 0 END))::BIGINT AS taken FROM (SELECT *, unnest(range(copies)) AS nth FROM plan)
 """
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
