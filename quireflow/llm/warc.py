@@ -8,7 +8,8 @@ Reader: a folder with manifests, a folder of .warc and .warc.gz files without an
 whole files. Equality, IN and null filters on record_type and on header columns come from Spark. Of each record the headers are
 read first: from a plain file up to the blank line, from a gzip member by inflating no more than that. Where the pushed
 predicates reject the record, or no payload is wanted (option payload=false), the rest is left alone: by Content-Length in a
-plain file, by the extra field in a member that has one, and by inflating without keeping in any other.
+plain file, by the extra field in a member that has one, and by inflating without keeping in any other. A member may hold several records; one that
+ends early, like a plain file that does, is an error. Bodies that a server sent in chunks come back as they stand, chunk marks included.
 
 Null payloads are empty, records without an HTTP header have their block as payload, records whose header cannot be read end the
 file with an error. Null page ids are written without a number and read as null. Repeated page ids are records of their own; of
@@ -155,21 +156,27 @@ class _Plain:
             self.held += piece
 
     def block(self, length: int) -> bytes:
-        if length > len(self.held):
-            self.held += self.src.read(length - len(self.held))
+        while length > len(self.held):
+            piece = self.src.read(length - len(self.held))
+            if not piece:
+                raise ValueError("a WARC file ends inside a record")
+            self.held += piece
         block, self.held = self.held[:length], self.held[length:]
         return block
 
     def skip(self, length: int) -> None:
         if length <= len(self.held):
             self.held = self.held[length:]
-        else:
-            self.src.seek(self.src.tell() + length - len(self.held))
-            self.held = b""
+            return
+        to = self.src.tell() + length - len(self.held)
+        if to > self.src.size():
+            raise ValueError("a WARC file ends inside a record")
+        self.src.seek(to)
+        self.held = b""
 
 
 class _Gzip:
-    """Records of a file of gzip members, one record each."""
+    """Records of a file of gzip members: one record each, or several in a member, as where a whole file was compressed."""
 
     def __init__(self, src: pa.NativeFile):
         self.src, self.held, self.start = src, b"", 0
@@ -180,9 +187,23 @@ class _Gzip:
         self.held += piece
         return bool(piece)
 
+    def _next_member(self) -> bool:
+        while len(self.held) < 10 + _EXTRA:
+            if not self._more():
+                break
+        self.held = self.held.lstrip(b"\0")  # padding after the last member
+        if not self.held:
+            return False
+        self.length = None
+        if self.held[3:4] and self.held[3] & 4 and self.held[12:14] == _FLAG:
+            self.length = struct.unpack("<I", self.held[16:20])[0]
+        self.start = self.src.tell() - len(self.held)
+        self.member = zlib.decompressobj(31)
+        return True
+
     def _inflate(self, most: int) -> bytes:
         """Up to `most` further bytes of the member; empty at its end."""
-        while not self.member.eof:
+        while self.member is not None and not self.member.eof:
             if not self.held and not self._more():
                 raise ValueError("a WARC file ends inside a member")
             out = self.member.decompress(self.held, most)
@@ -192,39 +213,42 @@ class _Gzip:
         return b""
 
     def head(self) -> bytes | None:
-        while len(self.held) < 10 + _EXTRA:
-            if not self._more():
-                break
-        self.held = self.held.lstrip(b"\0")  # padding after the last member
-        if not self.held:
-            return None
-        self.length = None
-        if self.held[3] & 4 and self.held[12:14] == _FLAG:
-            self.length = struct.unpack("<I", self.held[16:20])[0]
-        self.start = self.src.tell() - len(self.held)
-        self.member, self.text = zlib.decompressobj(31), b""
-        while (stop := self.text.find(b"\r\n\r\n")) < 0:
-            more = self._inflate(2048)
-            if not more:
+        while True:
+            self.text = self.text.lstrip(b"\r\n")
+            stop = self.text.find(b"\r\n\r\n")
+            if stop >= 0:
+                head, self.text = self.text[:stop], self.text[stop + 4 :]
+                return head
+            if more := self._inflate(2048):
+                self.text += more
+            elif self.text:
                 raise ValueError("a WARC record has no header")
-            self.text += more
-        head, self.text = self.text[:stop], self.text[stop + 4 :]
-        return head
+            elif not self._next_member():
+                return None
 
     def block(self, length: int) -> bytes:
         parts, held = [self.text], len(self.text)
-        while more := self._inflate(1 << 20):
+        while held < length:
+            more = self._inflate(1 << 20)
+            if not more:
+                raise ValueError("a WARC record is shorter than its header says")
             parts.append(more)
             held += len(more)
-        return b"".join(parts)[:length]
+        text = b"".join(parts)
+        self.text = text[length:]
+        return text[:length]
 
     def skip(self, length: int) -> None:
-        if self.length is None:
-            while self._inflate(1 << 20):
-                pass
+        if self.length is not None:  # of one record alone
+            self.src.seek(self.start + self.length)
+            self.held, self.text, self.member = b"", b"", None
             return
-        self.src.seek(self.start + self.length)
-        self.held = b""
+        while length > len(self.text):
+            length -= len(self.text)
+            self.text = self._inflate(1 << 20)
+            if not self.text:
+                raise ValueError("a WARC record is shorter than its header says")
+        self.text = self.text[length:]
 
 
 def _number(x: str | None) -> int | None:
@@ -312,7 +336,7 @@ class WarcReader(DataSourceReader):
                 row["payload"] = None
                 if self.payload and row["record_type"] != "revisit":
                     block = records.block(length)
-                    begin = block.find(b"\r\n\r\n") + 4 if raw.get("content-type", "").startswith("application/http") else 0
+                    begin = block.find(b"\r\n\r\n") + 4 if raw.get("content-type", "").lower().startswith("application/http") else 0
                     row["payload"] = block[begin:] if begin != 3 else block
                     row["payload_bytes"] = len(row["payload"])
                     held += len(block)

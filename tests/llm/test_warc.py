@@ -126,10 +126,14 @@ def foreign() -> bytes:
     ]
 
 
-@pytest.mark.parametrize("kind", ["plain", "members", "one file"])
+@pytest.mark.parametrize("kind", ["plain", "members", "one file", "one member", "two members"])
 def test_archives_of_other_programs(spark, tmp_path, kind):
     if kind == "plain":
         (tmp_path / "a.warc").write_bytes(b"".join(foreign()))
+    elif kind == "one member":
+        (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(foreign())))
+    elif kind == "two members":
+        (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(foreign()[:3])) + gzip.compress(foreign()[3]))
     else:
         (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, foreign())))
     path = f"file://{tmp_path}" + ("/a.warc.gz" if kind == "one file" else "")
@@ -140,7 +144,14 @@ def test_archives_of_other_programs(spark, tmp_path, kind):
     assert [r.date[9] for r in warc.read_warc(spark, path, payload=False).where("record_type = 'response'").collect()] == ["3"]
 
 
-def test_a_torn_file_is_an_error(spark, tmp_path):
-    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(foreign()[2])[:-200])
-    with pytest.raises(Exception, match="ends inside"):
-        warc.read_warc(spark, f"file://{tmp_path}").collect()
+@pytest.mark.parametrize("payload", [True, False])
+@pytest.mark.parametrize("name, torn", [("a.warc.gz", gzip.compress(foreign()[2])[:-200]), ("a.warc", b"".join(foreign()[:3])[:-200]), ("b.warc.gz", gzip.compress(b"".join(foreign()[:3])[:-200])), ("b.warc", foreign()[1][:-7]), ("c.warc", b"WARC/1.0\r\nContent-Le")])
+def test_a_torn_file_is_an_error(spark, tmp_path, name, torn, payload):
+    (tmp_path / name).write_bytes(torn)
+    with pytest.raises(Exception, match="ends inside|shorter than|no header"):
+        warc.read_warc(spark, f"file://{tmp_path}", payload=payload).collect()
+
+
+def test_http_in_any_case(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(foreign()[2].replace(b"application/http", b"Application/HTTP"))
+    assert bytes(warc.read_warc(spark, f"file://{tmp_path}").first().payload) == b"body" * 90_000
