@@ -19,14 +19,12 @@ ids go by text hash, empty tables give none. Input columns named like a result c
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,48 +229,52 @@ def best_cut(logit: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
     return float((x[k] + after[k]) / 2)
 
 
-def sampled(docs: DataFrame, known: DataFrame, sample: int, sample_bytes: int) -> pd.DataFrame:
-    """doc_id, lang, text, toxic, fold of at most `sample` whole labelled documents of `sample_bytes` in all."""
+def sampled(docs: DataFrame, known: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """doc_id, lang, text, toxic, fold, mark of at most `sample` whole labelled documents of `sample_bytes` in all."""
     rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", _language(docs))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # The order's running bytes bound what reaches the driver; the sizes of `sample` rows are one small task.
+    # The order's running bytes bound what a task holds; the sizes of `sample` rows are one small task.
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
     marked = rows.join(F.broadcast(chosen), "doc_id").withColumns({"mark": F.xxhash64("text"), "bytes": F.octet_length("text").cast("long")}).where(F.col("bytes") <= sample_bytes)
     first = marked.select("doc_id", "mark", "bytes").orderBy(*order).limit(sample)
     fits = first.withColumn("so_far", F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("so_far") <= sample_bytes).select("doc_id", "mark").distinct()
-    got = marked.join(F.broadcast(fits), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).orderBy(*order)
-    return got.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).toPandas()
+    got = marked.join(F.broadcast(fits), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    return got.select("doc_id", "lang", "text", F.col("toxic").cast("double").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "mark")
 
 
 def _language(docs: DataFrame) -> Column:
     return (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
 
 
-def cross_fit(spark: SparkSession, got: pd.DataFrame) -> tuple[ToxicityModel, np.ndarray]:
-    """The model of all sampled rows, and each row's logit under a model that has not seen its fold. Every model is trained in a task of its own."""
-    texts, toxic, fold = got["text"].tolist(), got["toxic"].to_numpy(np.float64), got["fold"].to_numpy()
-    sent = spark.sparkContext.broadcast((texts, toxic, fold))
+def cross_fit(got: DataFrame) -> tuple[ToxicityModel, DataFrame]:
+    """The model of all sampled rows, and lang, toxic, logit of each row under a model that has not seen its fold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic, fold = sent.value
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                inside = np.flatnonzero(fold != k)
-                model = train([texts[i] for i in inside], toxic[inside])
-                raw = [texts[i].encode() for i in np.flatnonzero(fold == k)]
-                logits = model.score(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)) if raw else np.zeros(0)
-                yield pa.RecordBatch.from_pydict({"fold": pa.array([k]), "made": pa.array([pickle.dumps((model if k == FOLDS else None, logits))], pa.binary())})
-
-    folds = spark.range(FOLDS + 1).select(F.col("id").cast("int").alias("id")).repartitionById(FOLDS + 1, "id")  # the last one leaves out nothing
-    made = {r["fold"]: pickle.loads(r["made"]) for r in folds.mapInArrow(run, "fold long, made binary").collect()}
-    logits = np.zeros(len(texts))
-    for k in range(FOLDS):
-        logits[fold == k] = made[k][1]
-    return made[FOLDS][0], logits
+    Every model is trained in a task of its own, which gets the sample, bounded as it is, in the order of ids' hashes; the last one leaves
+    out nothing. Only that one model and counts of the logits reach the driver.
+    """
+    spark = got.sparkSession
 
-
-def bins_of(logits: np.ndarray) -> np.ndarray:
-    return np.floor(np.arcsinh(logits.astype(np.float64)) * BINS).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        if rows is None:
+            return
+        k, fold = rows.column("k")[0].as_py(), rows.column("fold").to_numpy()
+        texts, toxic = rows.column("text").to_pylist(), rows.column("toxic").to_numpy()
+        model = train([t for t, f in zip(texts, fold) if f != k], toxic[fold != k])
+        if k == FOLDS:
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([None], pa.string()), "toxic": pa.array([None], pa.float64()), "logit": pa.array([None], pa.float64()), "model": pa.array([pickle.dumps(model)], pa.binary())})
+            return
+        out = rows.filter(pa.array(fold == k))
+        raw = [t.encode() for t in out.column("text").to_pylist()]
+        logits = model.score(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)).astype(np.float64) if raw else np.zeros(0)
+        lang, label = (out.column(c).combine_chunks() for c in ("lang", "toxic"))
+        yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), label, pa.array(logits, pa.float64()), pa.nulls(len(raw), pa.binary())], names=["lang", "toxic", "logit", "model"])
+
+    each = got.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartitionById(FOLDS + 1, "k").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "mark")
+    made = cut(each.mapInArrow(run, "lang string, toxic double, logit double, model binary"))
+    whole = made.where("model is not null").select("model").first()
+    model = pickle.loads(whole[0]) if whole else train([], np.zeros(0))
+    return model, made.where("model is null").drop("model")
 
 
 def with_logits(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -291,20 +293,18 @@ def _known(labels: DataFrame, held_out: str | None) -> DataFrame:
     return known.where(~F.expr(held_out)) if held_out else known
 
 
-def _calibrate(scored: DataFrame, known: DataFrame, got: pd.DataFrame, model: ToxicityModel, logits: np.ndarray) -> None:
+def _calibrate(scored: DataFrame, known: DataFrame, got: DataFrame, model: ToxicityModel, apart: DataFrame) -> None:
     """Counts by language, bin and label: of the sample under models that have not seen the row, of all other labelled rows under the model itself."""
     if not model.output.any():
         return
-    spark = scored.sparkSession
-    counts = Counter((lang, int(b), int(hit)) for lang, b, hit in zip(got["lang"].tolist(), bins_of(logits), got["toxic"].tolist()))
-    ids = spark.createDataFrame([(x,) for x in sorted(set(got["doc_id"].tolist()))], scored.select("doc_id").schema)
+    binned = lambda logit: F.floor(F.asinh(logit) * BINS).alias("bin")
     # Only ids, bins and languages meet the labels.
-    others = scored.where("__read").select("doc_id", _language(scored), F.floor(F.asinh("__logit") * BINS).alias("bin")).join(known.join(F.broadcast(ids), "doc_id", "left_anti"), "doc_id")
-    rest = others.groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n"))
-    most = rest.groupBy("lang").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).select("lang", F.lit(True).alias("own"))
-    for lang, b, hit, n in rest.join(F.broadcast(most), "lang", "left").groupBy(F.when(F.col("own"), F.col("lang")).alias("lang"), "bin", "toxic").agg(F.sum("n").alias("n")).collect():
-        counts[lang, b, hit] += n
-    calibrate(model, [(lang, b, n * (hit > 0), n * (hit == 0)) for (lang, b, hit), n in counts.items()])
+    others = scored.where("__read").select("doc_id", _language(scored), binned("__logit")).join(known.join(F.broadcast(got.select("doc_id").distinct()), "doc_id", "left_anti"), "doc_id")
+    counts = others.select("lang", "bin", (F.col("toxic") > 0).alias("hit")).unionByName(apart.select("lang", binned("logit"), (F.col("toxic") > 0).alias("hit"))).groupBy("lang", "bin", "hit").agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    most = counts.groupBy("lang").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).select("lang", F.lit(True).alias("own"))
+    rows = counts.join(F.broadcast(most), "lang", "left").groupBy(F.when(F.col("own"), F.col("lang")).alias("lang"), "bin", "hit").agg(F.sum("n").alias("n")).collect()
+    calibrate(model, [(r["lang"], r["bin"], r["n"] * r["hit"], r["n"] * (not r["hit"])) for r in rows])
 
 
 def _decided(scored: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -319,9 +319,9 @@ def _decided(scored: DataFrame, model: ToxicityModel) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
     """Trains on at most `sample` labelled documents and calibrates on all labelled ones; rows where `held_out` holds lend no label."""
     known = _known(labels, held_out)
-    got = sampled(docs, known, sample, sample_bytes)
-    model, logits = cross_fit(docs.sparkSession, got)
-    _calibrate(with_logits(docs, model).select("doc_id", _language(docs), "__logit", F.col("text").isNotNull().alias("__read")), known, got, model, logits)
+    got = cut(sampled(docs, known, sample, sample_bytes))
+    model, apart = cross_fit(got)
+    _calibrate(with_logits(docs, model).select("doc_id", _language(docs), "__logit", F.col("text").isNotNull().alias("__read")), known, got, model, apart)
     return model
 
 
@@ -333,8 +333,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, held_out: str | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, carry_text: bool = True) -> DataFrame:
     """fit and score in one: the network reads every text once. Its answers are written, with the texts only if carry_text says so; labelled ones calibrate."""
     docs, known = docs.drop(*RESULT), _known(labels, held_out)
-    got = sampled(docs, known, sample, sample_bytes)
-    model, logits = cross_fit(docs.sparkSession, got)
+    got = cut(sampled(docs, known, sample, sample_bytes))
+    model, apart = cross_fit(got)
     scored = cut(with_logits(docs, model).select(*(c for c in docs.columns if carry_text or c != "text"), "__logit", F.col("text").isNotNull().alias("__read")))
-    _calibrate(scored, known, got, model, logits)
+    _calibrate(scored, known, got, model, apart)
     return _decided(scored, model)
