@@ -139,6 +139,8 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
         model.output[:] = 0
         return model
     coded = [word_ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in texts]
+    n = len(texts)
+    del texts  # numbers from here on
     dense = [*model.filters, *model.shift, model.output]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
     squares = np.zeros(len(model.embedding), np.float32)
@@ -146,7 +148,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
     weight = np.where(toxic > 0, len(toxic) / (2 * toxic.sum()), len(toxic) / (2 * (len(toxic) - toxic.sum())))
     model.tracing = True
     while steps < STEPS:
-        order, at = rng.permutation(len(texts)), 0
+        order, at = rng.permutation(n), 0
         while at < len(order) and steps < STEPS:
             stop, words = at, 0
             while stop < len(order) and (stop == at or words + len(coded[order[stop]][0]) <= BATCH_WORDS) and stop - at < 32:
@@ -259,8 +261,8 @@ def cross_fit(got: DataFrame) -> tuple[ToxicityModel, DataFrame]:
         if rows is None:
             return
         k, fold = rows.column("k")[0].as_py(), rows.column("fold").to_numpy()
-        texts, toxic = rows.column("text").to_pylist(), rows.column("toxic").to_numpy()
-        model = train([t for t, f in zip(texts, fold) if f != k], toxic[fold != k])
+        inside = rows.filter(pa.array(fold != k))
+        model = train(inside.column("text").to_pylist(), inside.column("toxic").to_numpy())
         if k == FOLDS:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([None], pa.string()), "toxic": pa.array([None], pa.float64()), "logit": pa.array([None], pa.float64()), "model": pa.array([pickle.dumps(model)], pa.binary())})
             return
