@@ -31,6 +31,8 @@ class Machine(NamedTuple):
     cpus: int = 1
     sequential: bool = False
     dpi: int = 300
+    threshold_mb: int = resources.MIN_FREE_MB
+    make_pdf: bool = True
 
 
 def _told(condition: Column, *text: str | Column) -> Column:
@@ -47,7 +49,7 @@ def planned(files: DataFrame, profiles: DataFrame, machine: Machine = Machine())
     names = files.select("doc_id", F.element_at(F.split("doc_id", "/"), -1).alias("name"), "length")
     known = profiles.join(names, "doc_id").withColumn("modes", profile.recognition_modes(F.col("force")))
     known = known.withColumns({"free_mb": F.lit(machine.free_mb).cast("double"), "cpus": F.lit(machine.cpus), "forced": F.lit(machine.sequential)})
-    return resources.plan(known, machine.dpi).withColumn("preflight", resources.preflight())
+    return resources.plan(known, machine.dpi, machine.make_pdf, machine.threshold_mb).withColumn("preflight", resources.preflight())
 
 
 def attempt_results(texts: DataFrame, profiles: DataFrame, tries: DataFrame) -> DataFrame:
@@ -134,6 +136,7 @@ def convert_docx(files: DataFrame) -> DataFrame:
 
 def convert(
     files: DataFrame, dictionary: Broadcast, extractor: sources.Extractor | None = None, ratio: float = 1.5, force: bool = False, machine: Machine = Machine(), tries: DataFrame | None = None,
+    page_seconds: float | None = sources.PAGE_SECONDS, file_seconds: float | None = sources.FILE_SECONDS,
 ) -> DataFrame:
     """doc_id, markdown, warnings, stats: one row per file (sources.read_files), failures included.
 
@@ -144,7 +147,7 @@ def convert(
     told = sources.unsupported(files).unionByName(files.where(F.col("ext").isin(*left)).select("doc_id", F.concat(F.lit("An extractor is needed for ."), "ext").alias("error")))
     word = files.where("ext = 'docx'").select("doc_id", "content")
     if to_docx:
-        made = cut(sources.converted(files.where("ext = 'doc'"), to_docx))
+        made = cut(sources.converted(files.where("ext = 'doc'"), to_docx, file_seconds))
         word = word.unionByName(made.where("error is null").select("doc_id", "content"))
         told = told.unionByName(made.where("error is not null").select("doc_id", "error"))
     texts = convert_docx(word)
@@ -152,7 +155,7 @@ def convert(
 
     if to_pdf:
         texts = cut(texts)
-        scans = cut(sources.converted(word.join(texts.where("short").select("doc_id"), "doc_id", "left_semi"), to_pdf))
+        scans = cut(sources.converted(word.join(texts.where("short").select("doc_id"), "doc_id", "left_semi"), to_pdf, file_seconds))
         good = scans.where("error is null").select("doc_id")
         pdfs = pdfs.unionByName(scans.where("error is null").select("doc_id", "content", F.octet_length("content").cast("long").alias("length"), F.lit(True).alias("force")))
         texts = texts.join(good, "doc_id", "left_anti").join(scans.where("error is not null").select("doc_id", "error"), "doc_id", "left")
@@ -166,7 +169,7 @@ def convert(
 
     parts = [texts.drop("short"), told.select("doc_id", F.lit(None).cast("string").alias("markdown"), F.array("error").alias("warnings"), F.lit(None).cast(STATS).alias("stats"))]
     if extractor:
-        done = convert_pdfs(pdfs, extractor, dictionary, ratio, machine=machine, tries=tries, read=read)
+        done = convert_pdfs(pdfs, extractor, dictionary, ratio, machine=machine, tries=tries, read=read, page_seconds=page_seconds, file_seconds=file_seconds)
         if to_pdf:
             done = done.join(good.withColumn("scan", F.lit(True)), "doc_id", "left")
             stats = F.when(F.col("scan"), _word_stats(F.col("stats.pages"), F.col("stats.ocr_pages"), F.col("stats.seconds"))).otherwise(F.col("stats"))

@@ -118,4 +118,17 @@ def test_command_line(spark, tmp_path, capsys):
     out = tmp_path / "out"
     assert main([folder(tmp_path), "-o", str(out)]) == 1
     assert os.listdir(out) == ["a.md"] and (out / "a.md").read_text().startswith("# Harbour Atlas")
-    assert "Unsupported file type" in capsys.readouterr().err
+    told = capsys.readouterr().err
+    assert "Unsupported file type" in told and "files=6 failed=5 pages=0 recognised=0 seconds=0 written=1" in told
+
+
+def test_command_line_options(spark, tmp_path, capsys):
+    """Resolution, memory and deadlines reach the plan and the extractor; the figures come from the run itself."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(b"Some words on a page.\fMore words on a page.")
+    args = [str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--extractor", "tests.test_dealing:Seen", "--force-ocr", "--cpus", "4"]
+    assert main([*args, "--dpi", "400", "--free-mb", "8000", "--page-seconds", "30"]) == 0
+    told = capsys.readouterr().err
+    assert "Word400" in (tmp_path / "out/a.md").read_text() and "files=1 failed=0 pages=2 recognised=2" in told and "instead of" not in told
+    assert main([*args, "--free-mb", "150", "--memory-threshold", "100", "--no-pdf", "--page-seconds", "0", "--file-seconds", "0"]) == 0
+    assert "Word200" in (tmp_path / "out/a.md").read_text() and "at 200 instead of 300" in capsys.readouterr().err
