@@ -24,6 +24,7 @@ def profile(pages_raw: DataFrame) -> DataFrame:
 
 
 def text_layer_label() -> Column:
+    """Fixed wordings."""
     return (
         F.when(F.col("hidden_text_layer"), "hidden/empty (fonts, no extractable text)")
         .when(F.col("image_only"), "none (image-only)")

@@ -27,6 +27,7 @@ def schedule(free_mb: Column, forced: Column, threshold: int = MIN_FREE_MB) -> C
 
 
 def schedule_reason(free_mb: Column, forced: Column, threshold: int = MIN_FREE_MB) -> Column:
+    """Why; fixed wordings."""
     rest = F.concat(F.format_number(free_mb, 0), F.lit(f" MB free (threshold {threshold:,} MB)"))
     return F.when(forced, "forced by setting").when(free_mb.isNull(), "free memory could not be read").when(free_mb >= threshold, rest).otherwise(F.concat(F.lit("only "), rest))
 
@@ -50,7 +51,7 @@ def plan(profiles: DataFrame, dpi: int = 300, make_pdf: bool = True, threshold:
 
 
 def preflight() -> Column:
-    """One line that states a planned document's figures."""
+    """One line that states a planned document's figures, in a fixed format."""
     free = F.coalesce(F.format_number("free_mb", 0), F.lit("unknown"))
     return F.format_string(
         "file=%s size=%.1fMB pages=%d fonts=%s text_chars=%d pages_without_text=%d hidden_text_layer=%s image_only=%s | dpi=%d schedule=%s ocr_workers=%d ocrmypdf_jobs=%d ocrmypdf_modes=%s est_peak=%dMB free=%sMB",
