@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,31 +67,51 @@ def read_lines(lines: str = "lines") -> Column:
 
 
 def list_states(read: str | Column = "read") -> Column:
-    """Array of (kind, n, text, at) per line of read_lines: what the list state machine makes of each.
+    """Array of (kind, n, text, at) per line of read_lines: what each line is in the lists of its paragraph.
 
     kind: 'p' plain before any list, 'ol'/'ul' a new item, '+' a continuation of the item before; at: number of the list in
-    the paragraph (0 before any). The machine itself compares numbers only.
+    the paragraph (0 before any). A paragraph is plain lines, then a bulleted list, then a numbered list, each of which may be
+    missing: bullets end at the first line numbered 1, and nothing ends a numbered list. So two places and the places of the
+    accepted numbers decide every line alone. Numbers have three digits, so that the only array that grows has 1,000 entries at
+    most, and the work is linear in the lines.
     """
-    state = "struct<kind:string,last:int,plain:boolean,list:int,out:array<struct<label:string,at:int>>>"
-    zero = F.from_json(F.lit('{"kind":"","last":0,"plain":false,"list":0,"out":[]}'), state)
-
-    def step(s: Column, line: Column) -> Column:
-        n, bullet = line["n"], line["bullet"]
-        goes_on = n.isNotNull() & (s["kind"] == "ol") & (n == s["last"] + 1)
-        begins = n.isNotNull() & (((s["kind"] == "") & (~s["plain"] | (n == 1))) | ((s["kind"] == "ul") & (n == 1)))
-        item = bullet.isNotNull() & s["kind"].isin("", "ul")
-        label = F.when(goes_on | begins, "ol").when(item, "ul").when(s["kind"] == "", "p").otherwise("+")
-        where = F.when(begins | (item & (s["kind"] == "")), s["list"] + 1).otherwise(s["list"])
-        made = F.struct(label.alias("label"), where.alias("at"))
-        # One variable holds label and list, so that each is computed once per line.
-        return X.let(made, lambda m: F.struct(
-            F.when(m["label"].isin("ol", "ul"), m["label"]).otherwise(s["kind"]).alias("kind"), F.when(m["label"] == "ol", n).otherwise(s["last"]).alias("last"), (s["plain"] | (m["label"] == "p")).alias("plain"),
-            m["at"].alias("list"), F.concat(s["out"], F.array(m)).alias("out"),
-        ))
+    place = lambda xs, test: F.array_position(F.transform(xs, test), True).cast("int")  # noqa: E731  0: none
+    marked = lambda x, i: x["bullet"].isNotNull() | (x["n"].isNotNull() & ((i == 0) | (x["n"] == 1)))
+
+    def numbered(xs: Column, start: Column, bullets: Column) -> Column:
+        """Place (from 1) of the line that opens the numbered list, 0 without one."""
+        return F.when(start == 0, 0).when(~bullets, start).otherwise(place(xs, lambda x, i: F.coalesce((i >= start) & (x["n"] == 1), F.lit(False))))
+
+    def accepted(xs: Column, opens: Column) -> Column:
+        """Places (from 1) of the numbered items in order: each is one more than the one before."""
+        zero = F.from_json(F.lit('{"i":0,"want":0,"at":[]}'), "struct<i:int,want:int,at:array<int>>")
+
+        def step(s: Column, x: Column) -> Column:
+            here = s["i"] + 1
+            takes = F.coalesce((opens > 0) & ((here == opens) | ((here > opens) & (x["n"] == s["want"]))), F.lit(False))
+            return F.struct(here.alias("i"), F.when(takes, x["n"] + 1).otherwise(s["want"]).alias("want"), F.when(takes, F.concat(s["at"], F.array(here))).otherwise(s["at"]).alias("at"))
+
+        return F.aggregate(xs, zero, step, lambda s: s["at"])
 
-    outs = F.aggregate(read, zero, step, lambda s: s["out"])
-    text = lambda x, m: F.when(m["label"] == "ol", F.regexp_extract(x["t"], X.ORDERED, 2)).when(m["label"] == "ul", x["bullet"]).otherwise(x["t"])
-    return F.zip_with(read, outs, lambda x, m: F.struct(m["label"].alias("kind"), F.when(m["label"] == "ol", x["n"]).alias("n"), text(x, m).alias("text"), m["at"].alias("at")))
+    def labelled(xs: Column, start: Column, opens: Column, items: Column, first: Column) -> Column:
+        def line(x: Column, i: Column) -> Column:
+            here = i + 1
+            bulleted = (opens == 0) | (here < opens)
+            number = F.coalesce(F.get(items, x["n"] - first) == here, F.lit(False))
+            kind = F.when((start == 0) | (here < start), "p").when(bulleted, F.when(x["bullet"].isNotNull(), "ul").otherwise("+")).otherwise(F.when(number, "ol").otherwise("+"))
+            at = F.when((start == 0) | (here < start), 0).when(bulleted | (opens == start), 1).otherwise(2)
+            text = lambda k: F.when(k == "ol", F.regexp_extract(x["t"], X.ORDERED, 2)).when(k == "ul", x["bullet"]).otherwise(x["t"])
+            return X.let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "ol", x["n"]).alias("n"), text(k).alias("text"), at.alias("at")))
+
+        return F.transform(xs, line)
+
+    def states(xs: Column) -> Column:
+        # Each step's results are one variable of the next: an expression named inside a lambda would be computed per line.
+        starts = X.let(place(xs, marked), lambda start: F.struct(start.alias("start"), numbered(xs, start, F.get(xs, start - 1)["bullet"].isNotNull()).alias("opens")))
+        chain = X.let(starts, lambda s: F.struct(s["start"].alias("start"), s["opens"].alias("opens"), accepted(xs, s["opens"]).alias("items"), F.get(xs, s["opens"] - 1)["n"].alias("first")))
+        return X.let(chain, lambda c: labelled(xs, c["start"], c["opens"], c["items"], c["first"]))
+
+    return X.let(F.col(read) if isinstance(read, str) else read, states)
 
 
 def split_merged_items(n: int | None, text: str) -> list[tuple[int | None, str]]:
@@ -164,37 +183,69 @@ def heading_levels(blocks: DataFrame) -> DataFrame:
     return known.withColumn("level", F.when(F.col("kind") == "h", F.when(F.col("rel") < MINOR, small).otherwise(tier)).otherwise(0).cast("int")).drop("r", "sizes", "tiers")
 
 
-_TERMINAL = re.compile(r"[.!?:;]['\"”’)\]]?$")
+def ending(done: Column, text: Column) -> Column:
+    """The last three characters of a text (its own last three: done) after one more line, enough to tell whether a sentence ends there."""
+    return X.let(X.strip(text), lambda t: F.when(t == "", done).otherwise(F.right(F.when(done == "", t).when(F.endswith(done, F.lit("\u00ad")), F.concat(F.left(done, F.length(done) - 1), t)).otherwise(F.concat(done, F.lit(" "), t)), F.lit(3))))
 
 
-def _merged(rows: list[dict], known: frozenset[str]) -> list[dict]:
-    """One document's blocks in order: heading fragments, then paragraphs and items that go on on the next page, join."""
-    kept: list[dict] = []
-    for row in rows:
-        last = kept[-1] if kept else None
-        fragment = last and last["kind"] == row["kind"] == "h" and (last["page_no"], last["level"]) == (row["page_no"], row["level"])
-        if fragment and not _TERMINAL.search(last["text"]) and 0 <= row["top"] - last["bottom"] < MERGE_GAP * max(last["size"], row["size"]):
-            last.update(text=_joined([last["text"], row["text"]], known), bottom=row["bottom"])
-            continue
-        if last and row["kind"] == "p" and row["page_no"] == last["page_no"] + 1 and row["text"][:1].islower() and last["kind"] != "h":
-            parts = [last["text"]] if last["kind"] == "p" else last["items"][-1]["parts"]
-            if not _TERMINAL.search(_joined(parts, known)):
-                if last["kind"] == "p":
-                    last["text"] = _joined([last["text"], row["text"]], known)
-                else:
-                    parts.append(row["text"])
-                last["page_no"] = row["page_no"]
-                continue
-        kept.append(row)
-    return kept
+def _homes(run: Column) -> Column:
+    """Per row of an array of heading fragments of a page (block_idx, top, bottom, size, text): the block_idx of the row that it joins, itself otherwise."""
+    zero = F.from_json(F.lit('{"home":null,"size":0,"bottom":0,"ends":"","out":[]}'), "struct<home:long,size:double,bottom:double,ends:string,out:array<long>>")
 
+    def step(s: Column, x: Column) -> Column:
+        near = F.coalesce(x["top"] - s["bottom"] < MERGE_GAP * F.greatest(s["size"], x["size"]), F.lit(False))
+        joins = s["home"].isNotNull() & near & ~X.is_terminal(s["ends"])
+        return X.let(F.struct(joins.alias("joins"), F.when(joins, s["home"]).otherwise(x["block_idx"]).alias("home")), lambda m: F.struct(
+            m["home"].alias("home"), F.when(m["joins"], s["size"]).otherwise(x["size"]).alias("size"), x["bottom"].alias("bottom"),
+            ending(F.when(m["joins"], s["ends"]).otherwise(F.lit("")), x["text"]).alias("ends"), F.concat(s["out"], F.array(m["home"])).alias("out"),
+        ))
 
-def merge_blocks(blocks: DataFrame, dictionary: Broadcast) -> DataFrame:
-    """A left fold per document whose state is the block before: an Arrow grouped map, since no window expresses it."""
+    return F.aggregate(run, zero, step, lambda s: s["out"])
+
+
+def _page_links(rows: DataFrame) -> DataFrame:
+    """doc_id, page_no, block_idx, to_page, to_idx: each page's first block that goes on with the block before it, and the block where that text begins.
+
+    One small row per page stands for it: how its first block begins and its last one ends. A page of one block that goes on
+    hands the text's beginning to the next page, so a running last value over the pages finds it; no text takes part.
+    """
+    parts = F.when(F.col("kind").isin("ol", "ul"), F.element_at("items", -1)["parts"]).otherwise(F.array("text"))
+    ends = F.aggregate(parts, F.lit(""), lambda s, x: ending(s, F.coalesce(x, F.lit(""))))
+    told = rows.select("doc_id", "page_no", "block_idx", "home", "kind", ((F.col("kind") == "p") & X.starts_lower(F.col("text"))).alias("goes_on"), ((F.col("kind") != "h") & ~X.is_terminal(ends)).alias("open"))
+    sums = told.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.min_by(F.struct("block_idx", "goes_on"), "block_idx").alias("head"), F.max_by(F.struct("home", "open"), "block_idx").alias("tail"))
+    pages = Window.partitionBy("doc_id").orderBy("page_no")
+    follows = F.coalesce((F.lag("page_no").over(pages) == F.col("page_no") - 1) & F.lag("tail.open").over(pages) & F.col("head.goes_on"), F.lit(False))
+    linked = sums.withColumn("follows", follows)
+    begins = F.last(F.when(~F.col("follows") | (F.col("n") > 1), F.struct("page_no", F.col("tail.home").alias("home"))), ignorenulls=True)
+    return linked.withColumn("to", begins.over(pages.rowsBetween(Window.unboundedPreceding, -1))).where("follows").select("doc_id", "page_no", F.col("head.block_idx").alias("block_idx"), F.col("to.page_no").alias("to_page"), F.col("to.home").alias("to_idx"))
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("page_no", "ascending"), ("block_idx", "ascending")])
-        return pa.Table.from_pylist(_merged(rows.to_pylist(), dictionary.value), schema=group.schema)
 
-    columns = blocks.select("doc_id", "page_no", "block_idx", "kind", "text", "level", "items", "rel", "top", "bottom", "size")
-    return columns.groupBy("doc_id").applyInArrow(run, columns.schema)
+def merge_blocks(blocks: DataFrame, dictionary: Broadcast) -> DataFrame:
+    """Heading fragments of a page, and paragraphs and items that go on on the next page, join the block where they begin.
+
+    page_no becomes the page where a block ends; first_page is where it begins and, with block_idx, gives the order. Whether a
+    block joins depends on its neighbours, on heading fragments of the same page, and on how the page before ends: pages are
+    worked on apart, and only a row of a few numbers per page meets the other pages of its document. A document's blocks may so
+    lie in any number of tasks. Null text is empty text, null geometry joins no heading, null doc_ids join nothing. Blocks of one page need different block_idx.
+    """
+    columns = ["kind", "text", "level", "items", "rel", "top", "bottom", "size"]
+    page = Window.partitionBy("doc_id", "page_no").orderBy("block_idx")
+    before = lambda c: F.lag(c).over(page)
+    beside = F.coalesce((F.col("kind") == "h") & (before("kind") == "h") & (before("level") == F.col("level")) & (F.col("top") >= before("bottom")), F.lit(False))
+    numbered = blocks.select("doc_id", "page_no", "block_idx", *columns).withColumn("run", F.sum(F.when(beside, 0).otherwise(1)).over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("doc_id", "page_no", "run").agg(F.sort_array(F.collect_list(F.struct("block_idx", *columns))).alias("rows"))
+    homes = F.when(F.size("rows") > 1, _homes(F.col("rows"))).otherwise(F.transform("rows", lambda x: x["block_idx"]))
+    rows = runs.select("doc_id", "page_no", F.explode(F.arrays_zip(F.col("rows").alias("row"), homes.alias("home"))).alias("x")).select("doc_id", "page_no", "x.row.*", "x.home")
+    links = _page_links(rows)
+    placed = rows.join(links, ["doc_id", "page_no", "block_idx"], "left").select("doc_id", F.coalesce("to_page", "page_no").alias("first_page"), F.coalesce("to_idx", "home").alias("first_idx"), F.struct("page_no", "block_idx", *columns).alias("row"))
+    groups = placed.groupBy("doc_id", "first_page", "first_idx").agg(F.collect_list("row").alias("rows"))
+    ordered = groups.withColumn("rows", F.sort_array("rows"))
+    texts = F.transform("rows", lambda x: x["text"])
+    head, tail, many, listed = F.get("rows", F.lit(0)), F.element_at("rows", -1), F.size("rows") > 1, F.get("rows", F.lit(0))["kind"].isin("ol", "ul")
+    joined = ordered.withColumn("joined", X.join_lines(F.when(many & ~listed, texts), dictionary))
+    items = head["items"]
+    longer = F.concat(F.slice(items, F.lit(1), F.size(items) - 1), F.array(F.struct(F.element_at(items, -1)["n"].alias("n"), F.concat(F.element_at(items, -1)["parts"], F.slice(texts, F.lit(2), F.size("rows"))).alias("parts"))))
+    return joined.select(
+        "doc_id", tail["page_no"].alias("page_no"), F.col("first_idx").alias("block_idx"), head["kind"].alias("kind"), F.coalesce("joined", head["text"]).alias("text"), head["level"].alias("level"),
+        F.when(many & listed, longer).otherwise(items).alias("items"), head["rel"].alias("rel"), head["top"].alias("top"), F.when(head["kind"] == "h", tail["bottom"]).otherwise(head["bottom"]).alias("bottom"), head["size"].alias("size"), F.col("first_page"),
+    )
