@@ -237,7 +237,10 @@ def merge_blocks(blocks: DataFrame, dictionary: Broadcast) -> DataFrame:
     homes = F.when(F.size("rows") > 1, _homes(F.col("rows"))).otherwise(F.transform("rows", lambda x: x["block_idx"]))
     rows = runs.select("doc_id", "page_no", F.explode(F.arrays_zip(F.col("rows").alias("row"), homes.alias("home"))).alias("x")).select("doc_id", "page_no", "x.row.*", "x.home")
     links = _page_links(rows)
-    placed = rows.join(links, ["doc_id", "page_no", "block_idx"], "left").select("doc_id", F.coalesce("to_page", "page_no").alias("first_page"), F.coalesce("to_idx", "home").alias("first_idx"), F.struct("page_no", "block_idx", *columns).alias("row"))
+    # Joined by page, as rows already lie: their texts do not travel for it.
+    met = rows.join(links.withColumnRenamed("block_idx", "linked"), ["doc_id", "page_no"], "left")
+    linked = lambda there, own: F.when(F.col("block_idx") == F.col("linked"), F.col(there)).otherwise(F.col(own))
+    placed = met.select("doc_id", linked("to_page", "page_no").alias("first_page"), linked("to_idx", "home").alias("first_idx"), F.struct("page_no", "block_idx", *columns).alias("row"))
     groups = placed.groupBy("doc_id", "first_page", "first_idx").agg(F.collect_list("row").alias("rows"))
     ordered = groups.withColumn("rows", F.sort_array("rows"))
     texts = F.transform("rows", lambda x: x["text"])
