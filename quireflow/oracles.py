@@ -1,7 +1,4 @@
-"""DuckDB statements that return the rows of the queries in queries.py, built from shared carriers.
-
-The whole plan has none; tests hold it against golden vectors, and each of its operators has a statement here.
-"""
+"""DuckDB statements that return the rows of the queries in queries.py, built from shared carriers; the whole plan chains them."""
 
 from __future__ import annotations
 
@@ -108,9 +105,9 @@ JUNK = rf"""(SELECT CASE WHEN n = 0 THEN true WHEN regexp_matches(s, '{MARKER}')
   FROM (SELECT s, length(s) AS n, length(regexp_replace(s, '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum, length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) AS alpha, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM (SELECT regexp_replace(text, '\s+', '', 'g') AS s)))"""
 
 
-def reattached(source: str) -> str:
+def reattached(source: str, alone: str = "true") -> str:
     """Lone markers in runs: odd ones go to what follows."""
-    return f"""lone AS (SELECT *, regexp_matches({_STRIP.format("text")}, '{MARKER}') AS lone FROM {source}),
+    return f"""lone AS (SELECT *, {alone} AND regexp_matches({_STRIP.format("text")}, '{MARKER}') AS lone FROM {source}),
 lone_runs AS (SELECT *, sum(CASE WHEN lone THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_idx) AS run FROM lone),
 odd AS (SELECT *, lone AND row_number() OVER (PARTITION BY doc_id, page_no, run, lone ORDER BY line_idx) % 2 = 1 AS gives FROM lone_runs),
 attached AS (SELECT * EXCLUDE (text), CASE WHEN lag(gives) OVER w THEN {_STRIP.format("lag(text) OVER w")} || ' ' || text ELSE text END AS text FROM odd WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_idx))"""
@@ -140,7 +137,11 @@ headed AS (SELECT *, alpha >= 2 AND ((rel >= 1.5 AND n <= 25 AND len(ls) <= 4) O
 MARKED = "marked AS (SELECT * EXCLUDE (text, size), 10.0::DOUBLE AS size, ['1. ', '2. ', '', '• ', '- ', '3. ', ''][(line_idx + page_no) % 7 + 1] || text || CASE WHEN (line_idx + page_no) % 7 = 1 THEN ' 3. Third' ELSE '' END AS text FROM features)"
 
 _ORDERED, _BULLET = r"^(\d{1,3})[.)]\s+(\S.*)$", r"^(?:[•●▪◦·∙‣○■□►▶➢✓»¢©°«]\s*|[-–—*+]\s+)(\S.*)$"
-LISTS = rf"""flat AS (SELECT doc_id, page_no, para_idx, grp, first_line, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM headed WHERE NOT heading),
+
+
+def lists(item: str, source: str = "items") -> str:
+    """Items of the lists of groups (headed) that are no headings, items on one line apart; item: text of the parts of one."""
+    return rf"""flat AS (SELECT doc_id, page_no, para_idx, grp, first_line, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM headed WHERE NOT heading),
 parsed AS (SELECT * EXCLUDE (t), {_STRIP.format("t")} AS t, try_cast(regexp_extract({_STRIP.format("t")}, '{_ORDERED}', 1) AS INT) AS num, regexp_extract({_STRIP.format("t")}, '{_ORDERED}', 2) AS num_text, coalesce(nullif(regexp_extract({_STRIP.format("t")}, '{_BULLET}', 1), ''), nullif(regexp_extract({_STRIP.format("t")}, '^[eo]\s+([A-Z].*)$', 1), '')) AS bul FROM flat),
 states AS (
   SELECT doc_id, page_no, para_idx, grp, 0 AS i, '' AS kind, 0 AS last, false AS plain, 0 AS lst, '' AS label, NULL::INT AS n, '' AS text, 0 AS item FROM headed WHERE NOT heading
@@ -156,7 +157,7 @@ states AS (
   )
 ), items AS (SELECT doc_id, page_no, para_idx, grp, lst, item, min(label) FILTER (label <> '+') AS kind, min(n) AS n, list(text ORDER BY i) AS parts FROM states WHERE item > 0 GROUP BY doc_id, page_no, para_idx, grp, lst, item),
 split AS (
-  SELECT doc_id, page_no, para_idx, grp, lst, item, kind, n, 0 AS piece, CASE WHEN kind = 'ol' THEN {joined("parts")} ELSE array_to_string(parts, ' / ') END AS rest, NULL::VARCHAR AS done FROM items
+  SELECT doc_id, page_no, para_idx, grp, lst, item, kind, n, 0 AS piece, {item} AS rest, NULL::VARCHAR AS done FROM {source}
   UNION ALL
   SELECT doc_id, page_no, para_idx, grp, lst, item, kind, n + 1, piece + 1, regexp_extract(rest, '^(?s)(.*?)\s' || (n + 1) || '[.)]\s+([A-Z0-9"''“‘(].*)$', 2), NULL FROM split WHERE kind = 'ol' AND regexp_matches(rest, '\s' || (n + 1) || '[.)]\s+[A-Z0-9"''“‘(]')
 ), texts AS (
@@ -184,6 +185,65 @@ MERGES = r"""loose AS (
 )"""
 
 
+_TERMINAL = r"""[.!?:;][''"”’)\]]?$"""
+
+#: The dictionary for line-end hyphens: words of the benchmark.
+KNOWN = r"known_words AS (SELECT list(DISTINCT w) AS ws FROM (SELECT lower(regexp_replace(unnest(string_split_regex(text, '\s+')), '[^\p{L}\p{N}_]', '', 'g')) AS w FROM benchmark) WHERE w <> '')"
+
+#: Words as the layout takes them: ligatures spelt out, no blank ones.
+SPELT = rf"two AS (SELECT * FROM (SELECT * EXCLUDE (text), {_STRIP.format("""replace(replace(replace(replace(replace(replace(text, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), chr(160), ' ')""")} AS text FROM words) WHERE text <> '')"
+
+#: Chunk lines in the order of the page, sentences that go on in the next chunk kept together; then what cleaning needs.
+PAGE_LINES = rf"""ordered AS (SELECT *, lag(chunk) OVER w AS c0, lag(para_idx) OVER w AS p0, lag(text) OVER w AS t0, row_number() OVER w AS nth FROM (SELECT doc_id, page_no, chunk, line_idx, para_idx, text, size, conf, top, bottom, bold FROM paras) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY chunk, line_idx)),
+features AS (
+  SELECT doc_id, page_no, nth AS line_idx, text, size, conf, top, bottom, bold, 'text' AS kind, (bottom < 792 * 0.1::DOUBLE OR top > 792 * (1 - 0.1::DOUBLE)) AS margin,
+    sum(CASE WHEN c0 <> chunk AND NOT regexp_matches(t0, '{_TERMINAL}') AND regexp_matches(text, '^\p{{Ll}}') THEN 0 WHEN c0 IS NULL OR c0 <> chunk OR p0 <> para_idx THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY nth)::INT AS para_idx FROM ordered
+)"""
+
+#: Cleaned lines to size groups, told apart as headings or not.
+PAGE_GROUPS = rf"""bodies AS (SELECT doc_id, median(size) AS body FROM words WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]') GROUP BY doc_id),
+jumps AS (SELECT a.*, coalesce(body, 1.0)::DOUBLE AS body, lag(size) OVER (PARTITION BY a.doc_id, page_no, para_idx ORDER BY line_idx) AS size0 FROM attached a LEFT JOIN bodies b ON a.doc_id = b.doc_id WHERE NOT gives),
+grp_lines AS (SELECT *, sum(CASE WHEN greatest(size0, size) / body >= 1.2::DOUBLE AND greatest(size0, size) / greatest(least(size0, size), 1e-6) > 1.2::DOUBLE AND size0 IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, para_idx ORDER BY line_idx)::INT AS grp FROM jumps),
+gathered AS (SELECT doc_id, page_no, para_idx, grp, list(text ORDER BY line_idx) AS ls, median(size) AS size, any_value(body) AS body, arg_min(top, line_idx) AS top, arg_max(bottom, line_idx) AS bottom, bool_and(bold) AS bold, min(line_idx) AS first_line FROM grp_lines GROUP BY doc_id, page_no, para_idx, grp),
+groups AS (SELECT gathered.*, {joined("ls", "ws")} AS text, CASE WHEN body <> 0 THEN size / body ELSE 1 END AS rel FROM gathered, known_words),
+flagged AS (SELECT *, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS alpha FROM groups),
+headed AS MATERIALIZED (
+  SELECT *, alpha >= 2 AND ((rel >= 1.5 AND n <= 25 AND len(ls) <= 4) OR (rel >= 1.2 AND len(ls) = 1 AND n <= 10 AND NOT regexp_matches(text, '[.,;]$')) OR (bold AND len(ls) = 1 AND n <= 12 AND rel >= 0.95::DOUBLE AND NOT ends_with(text, '.'))) AS heading FROM flagged
+)"""
+
+#: Blocks of the groups, numbered in order, with the level of each heading. Of a list, t is its last item.
+PAGE_BLOCKS = rf"""made AS (
+  SELECT doc_id, page_no, first_line, 0 AS pos, 'h' AS kind, {_STRIP.format("regexp_replace(text, '#+$', '')")} AS t, NULL::STRUCT(n INT, t VARCHAR)[] AS items, rel, top, bottom, size FROM headed WHERE heading
+  UNION ALL
+  SELECT h.doc_id, h.page_no, first_line, 0, 'p', p.t, NULL, rel, top, bottom, size
+  FROM (SELECT doc_id, page_no, para_idx, grp, {joined("ls", "ws")} AS t FROM (SELECT doc_id, page_no, para_idx, grp, list(text ORDER BY i) AS ls FROM states WHERE label = 'p' GROUP BY doc_id, page_no, para_idx, grp), known_words) p JOIN headed h USING (doc_id, page_no, para_idx, grp)
+  UNION ALL
+  SELECT h.doc_id, h.page_no, first_line, lst, l.kind, items[-1].t, items, rel, top, bottom, size
+  FROM (SELECT doc_id, page_no, para_idx, grp, lst, kind, list(struct_pack(n := CASE WHEN kind = 'ol' THEN n END, t := part) ORDER BY item, piece) AS items FROM texts GROUP BY doc_id, page_no, para_idx, grp, lst, kind) l JOIN headed h USING (doc_id, page_no, para_idx, grp)
+), tiers AS (
+  SELECT doc_id, list_reduce(list_transform(sizes, lambda x: [x]), lambda a, b: CASE WHEN b[1] < a[-1] * 0.88::DOUBLE THEN list_concat(a, b) ELSE a END) AS tiers
+  FROM (SELECT doc_id, list_reverse_sort(list(DISTINCT round_even(rel, 3))) AS sizes FROM made WHERE kind = 'h' GROUP BY doc_id)
+), loose AS MATERIALIZED (
+  SELECT m.doc_id, page_no AS page, row_number() OVER (PARTITION BY m.doc_id ORDER BY page_no, first_line, pos) AS i, kind, t, items, top, bottom, size,
+    (CASE WHEN kind <> 'h' THEN 0 WHEN rel < 1.2::DOUBLE THEN least(greatest(len(list_filter(tiers, lambda t: t >= 1.2::DOUBLE)) + 1, 2), 3) ELSE least(coalesce(list_position(list_transform(tiers, lambda t: rel >= t * 0.88::DOUBLE - 1e-9), true), len(tiers)), 3) END)::INT AS level
+  FROM made m LEFT JOIN tiers USING (doc_id)
+)"""
+
+#: Left fold of the blocks of a document: each step's state is the block that the blocks so far end in; whole: its text or last item.
+PAGE_MERGES = rf"""fold AS (
+  SELECT doc_id, i, i AS home, kind, page, level, t AS whole, bottom, size FROM loose WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN joins OR goes_on THEN home ELSE i END, CASE WHEN joins OR goes_on THEN k0 ELSE kind END, page, CASE WHEN joins OR goes_on THEN l0 ELSE level END,
+    CASE WHEN joins OR goes_on THEN {joined("[whole, t]", "ws")} ELSE t END, bottom, CASE WHEN joins OR goes_on THEN s0 ELSE size END
+  FROM (
+    SELECT b.doc_id, b.i, f.home, b.kind, f.kind AS k0, b.page, b.level, f.level AS l0, f.whole, b.t, b.bottom, b.size, f.size AS s0, ws,
+      b.kind = 'h' AND f.kind = 'h' AND b.page = f.page AND b.level = f.level AND NOT regexp_matches(f.whole, '{_TERMINAL}') AND b.top - f.bottom >= 0 AND b.top - f.bottom < 1.2::DOUBLE * greatest(f.size, b.size) AS joins,
+      b.kind = 'p' AND f.kind <> 'h' AND b.page = f.page + 1 AND regexp_matches(b.t, '^\p{{Ll}}') AND NOT regexp_matches(f.whole, '{_TERMINAL}') AS goes_on
+    FROM fold f JOIN loose b ON b.doc_id = f.doc_id AND b.i = f.i + 1, known_words
+  )
+), ended AS (SELECT doc_id, home, kind, level, whole FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, home ORDER BY i DESC) = 1)"""
+
+
 def _with(*parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {select}"
 
@@ -192,6 +252,10 @@ def escaped(t: str) -> str:
     return rf"CASE WHEN regexp_matches({t}, '^\d{{1,9}}[.)](\s|$)') THEN regexp_replace({t}, '^(\d+)([.)])', '\1\\\2') WHEN regexp_matches({t}, '^(#{{1,6}}|[>+*-])(\s|$)') THEN '\' || {t} ELSE {t} END"
 
 
+#: Markdown of blocks (home: their order, opens: 0 if one is tight with the block before it) per document.
+RENDERED = rf"""parts AS (SELECT doc_id, part, string_agg(md, chr(10) ORDER BY home) AS md FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY home) AS part FROM mds) GROUP BY doc_id, part),
+rendered AS (SELECT doc_id, {_STRIP.format('string_agg(md, chr(10) || chr(10) ORDER BY part)')} || chr(10) AS markdown FROM parts WHERE regexp_matches(md, '\S') GROUP BY doc_id)"""
+
 RAW_PAGES = """raw_pages AS (
   SELECT doc_id // 10 AS doc_id, (doc_id % 10 + 1)::INT AS page_no, (500 + doc_id % 3 * 100)::DOUBLE AS width, 792.0::DOUBLE AS height, doc_id % 30 >= 10 AS has_fonts, length(regexp_replace(CASE WHEN doc_id % 7 = 0 OR doc_id // 10 % 5 = 4 THEN ' ' ELSE text END, '[^\\p{L}\\p{N}]', '', 'g')) AS chars FROM documents
 ), files AS (
@@ -219,8 +283,6 @@ def _title(x: str) -> str:
 def sql() -> dict[str, str]:
     lines, paras = LINES.format(words="words", chunk=""), PARAS.format(chunk="", m_chunk="")
     chunk_lines, chunk_paras = LINES.format(words="chunked", chunk=", chunk"), PARAS.format(chunk=", chunk", m_chunk=", m.chunk")
-    terminal = r"""[.!?:;][''"”’)\]]?$"""
-    known = r"known_words AS (SELECT list(DISTINCT w) AS ws FROM (SELECT lower(regexp_replace(unnest(string_split_regex(text, '\s+')), '[^\p{L}\p{N}_]', '', 'g')) AS w FROM benchmark) WHERE w <> '')"
     cut_word = "CASE WHEN (i - 1) % 7 = 3 AND length(x) >= 4 THEN substr(x, 1, length(x) // 2) || '-' || chr(10) || substr(x, length(x) // 2 + 1) WHEN (i - 1) % 12 = 11 THEN x || chr(10) ELSE x || ' ' END"
     largest = "largest_width * pages / 72 * 300 * (792.0::DOUBLE * 4 / 72 * 300)"
     return {
@@ -233,7 +295,7 @@ def sql() -> dict[str, str]:
         "refine_paragraphs": _with(WORDS, lines, paras, select="SELECT doc_id, page_no, line_idx, para_idx, text FROM paras"),
         "gutters": _with(WORDS, COLUMNS, GUTTERS, select="SELECT doc_id, page_no, pos::INT AS pos, g.a AS gutter_left, g.b AS gutter_right FROM (SELECT doc_id, page_no, unnest(gutters) AS g, generate_subscripts(gutters, 1) - 1 AS pos FROM gutters3)"),
         "column_chunks": _with(WORDS, COLUMNS, GUTTERS, CHUNKS, select="SELECT doc_id, page_no, chunk, count(*) AS n_words, min(word_idx) AS first_word FROM chunked GROUP BY doc_id, page_no, chunk"),
-        "cross_column_lines": _with(WORDS, COLUMNS, GUTTERS, CHUNKS, chunk_lines, chunk_paras, f"ordered AS (SELECT *, lag(chunk) OVER w AS c0, lag(para_idx) OVER w AS p0, lag(text) OVER w AS t0, row_number() OVER w AS nth FROM (SELECT doc_id, page_no, chunk, line_idx, para_idx, text FROM paras) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY chunk, line_idx))", select=rf"SELECT doc_id, page_no, sum(CASE WHEN c0 <> chunk AND NOT regexp_matches(t0, '{terminal}') AND regexp_matches(text, '^\p{{Ll}}') THEN 0 WHEN c0 IS NULL OR c0 <> chunk OR p0 <> para_idx THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY nth)::INT AS para_idx, nth::INT AS line_idx, text FROM ordered"),
+        "cross_column_lines": _with(WORDS, COLUMNS, GUTTERS, CHUNKS, chunk_lines, chunk_paras, f"ordered AS (SELECT *, lag(chunk) OVER w AS c0, lag(para_idx) OVER w AS p0, lag(text) OVER w AS t0, row_number() OVER w AS nth FROM (SELECT doc_id, page_no, chunk, line_idx, para_idx, text FROM paras) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY chunk, line_idx))", select=rf"SELECT doc_id, page_no, sum(CASE WHEN c0 <> chunk AND NOT regexp_matches(t0, '{_TERMINAL}') AND regexp_matches(text, '^\p{{Ll}}') THEN 0 WHEN c0 IS NULL OR c0 <> chunk OR p0 <> para_idx THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY nth)::INT AS para_idx, nth::INT AS line_idx, text FROM ordered"),
         "running_headers": _with(FEATURES, HEADERS, select="SELECT * FROM headers"),
         "drop_running_headers": _with(FEATURES, HEADERS, select="SELECT doc_id, page_no, line_idx, text FROM headless"),
         "page_numbers": _with(FEATURES, select=f"SELECT doc_id, page_no, line_idx, text FROM features WHERE {IS_NUMBER}"),
@@ -241,7 +303,7 @@ def sql() -> dict[str, str]:
         "junk_lines": _with(FEATURES, select=f"SELECT doc_id, page_no, line_idx, {JUNK} AS junk FROM features"),
         "marker_reattach": _with(FEATURES, reattached("features"), select="SELECT doc_id, page_no, line_idx, text FROM attached WHERE NOT gives"),
         "clean_pages": _with(FEATURES, HEADERS, CLEANED, reattached("cleaned"), select="SELECT doc_id, page_no, line_idx, text FROM attached WHERE NOT gives"),
-        "join_lines": _with(known, rf"toks AS (SELECT doc_id, string_split(array_to_string(list_transform(list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> ''), lambda x, i: {cut_word}), ''), chr(10)) AS ls FROM documents)", select=f"SELECT doc_id, {joined('ls', 'ws')} AS joined FROM toks, known_words"),
+        "join_lines": _with(KNOWN, rf"toks AS (SELECT doc_id, string_split(array_to_string(list_transform(list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> ''), lambda x, i: {cut_word}), ''), chr(10)) AS ls FROM documents)", select=f"SELECT doc_id, {joined('ls', 'ws')} AS joined FROM toks, known_words"),
         "size_groups": _with(FEATURES, GROUPS, select="SELECT doc_id, page_no, para_idx, line_idx, grp FROM grp_lines"),
         "headings": _with(FEATURES, GROUPS, select="SELECT doc_id, page_no, first_line, rel, heading FROM headed"),
         "heading_tiers": _with(
@@ -249,12 +311,18 @@ def sql() -> dict[str, str]:
             "tiered AS (SELECT doc_id, list_reduce(list_transform(sizes, lambda x: [x]), lambda a, b: CASE WHEN b[1] < a[-1] * 0.88::DOUBLE THEN list_concat(a, b) ELSE a END) AS tiers FROM listed)",
             select="SELECT s.doc_id, rel, (CASE WHEN rel < 1.2::DOUBLE THEN least(greatest(len(list_filter(tiers, lambda t: t >= 1.2::DOUBLE)) + 1, 2), 3) ELSE least(coalesce(list_position(list_transform(tiers, lambda t: rel >= t * 0.88::DOUBLE - 1e-9), true), len(tiers)), 3) END)::INT AS level, n FROM sized s JOIN tiered USING (doc_id)",
         ),
-        "list_blocks": _with(FEATURES, MARKED, GROUPS.replace("FROM features", "FROM marked"), LISTS, select="SELECT t.doc_id, t.page_no, (h.first_line::BIGINT * 2147483648 + t.lst)::BIGINT AS block_idx, t.kind, (row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.para_idx, t.grp, t.lst ORDER BY t.item, t.piece) - 1)::INT AS pos, CASE WHEN t.kind = 'ol' THEN t.n END AS n, t.part AS parts FROM texts t JOIN headed h ON h.doc_id = t.doc_id AND h.page_no = t.page_no AND h.para_idx = t.para_idx AND h.grp = t.grp", recursive=True),
+        "list_blocks": _with(FEATURES, MARKED, GROUPS.replace("FROM features", "FROM marked"), lists(f"CASE WHEN kind = 'ol' THEN {joined('parts')} ELSE array_to_string(parts, ' / ') END"), select="SELECT t.doc_id, t.page_no, (h.first_line::BIGINT * 2147483648 + t.lst)::BIGINT AS block_idx, t.kind, (row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.para_idx, t.grp, t.lst ORDER BY t.item, t.piece) - 1)::INT AS pos, CASE WHEN t.kind = 'ol' THEN t.n END AS n, t.part AS parts FROM texts t JOIN headed h ON h.doc_id = t.doc_id AND h.page_no = t.page_no AND h.para_idx = t.para_idx AND h.grp = t.grp", recursive=True),
         "merge_blocks": _with(RAW, MERGES, select="SELECT doc_id, page AS page_no, home AS block_idx, kind, level, shown AS text FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, home ORDER BY i DESC) = 1", recursive=True),
+        "render_markdown": _with(
+            KNOWN, WORDS, SPELT, GUTTERS, CHUNKS, chunk_lines, chunk_paras, PAGE_LINES, HEADERS, CLEANED, reattached("cleaned", "count(*) OVER (PARTITION BY doc_id, page_no, para_idx) = 1"), PAGE_GROUPS, lists(joined("parts", "ws"), "items, known_words"), PAGE_BLOCKS, PAGE_MERGES,
+            r"shown AS (SELECT e.*, list_concat(items[:-2], [struct_pack(n := items[-1].n, t := whole)]) AS items FROM ended e JOIN loose b ON b.doc_id = e.doc_id AND b.i = e.home)",
+            f"mds AS (SELECT *, CASE kind WHEN 'h' THEN repeat('#', level) || ' ' || whole WHEN 'p' THEN {escaped('whole')} ELSE array_to_string(list_transform(items, lambda x: coalesce(x.n || '. ', '- ') || x.t), chr(10)) END AS md, CASE WHEN lag(kind) OVER w = kind AND kind IN ('ol', 'ul') THEN 0 ELSE 1 END AS opens FROM shown WINDOW w AS (PARTITION BY doc_id ORDER BY home))",
+            RENDERED, select="SELECT * FROM rendered", recursive=True,
+        ),
         "render_blocks": _with(
             RAW, f"kinds AS (SELECT doc_id, ln, CASE WHEN ln % 8 = 0 THEN 'h' WHEN ln % 8 < 3 THEN 'ol' WHEN ln % 8 < 5 THEN 'ul' ELSE 'p' END AS kind, CASE WHEN ln % 8 = 6 THEN '7. ' || line WHEN ln % 8 = 7 THEN '# ' || line ELSE line END AS text, {_STRIP.format('line')} AS item FROM raw)",
-            f"mds AS (SELECT *, CASE kind WHEN 'h' THEN repeat('#', (ln % 3 + 1)::INT) || ' ' || text WHEN 'p' THEN {escaped('text')} WHEN 'ol' THEN (ln % 8) || '. ' || item ELSE '- ' || item END AS md, CASE WHEN lag(kind) OVER w = kind AND kind IN ('ol', 'ul') THEN 0 ELSE 1 END AS opens FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY ln))",
-            "parts AS (SELECT doc_id, part, string_agg(md, chr(10) ORDER BY ln) AS md FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY ln) AS part FROM mds) GROUP BY doc_id, part)", select=rf"SELECT doc_id, {_STRIP.format('string_agg(md, chr(10) || chr(10) ORDER BY part)')} || chr(10) AS markdown FROM parts WHERE regexp_matches(md, '\S') GROUP BY doc_id",
+            f"mds AS (SELECT *, ln AS home, CASE kind WHEN 'h' THEN repeat('#', (ln % 3 + 1)::INT) || ' ' || text WHEN 'p' THEN {escaped('text')} WHEN 'ol' THEN (ln % 8) || '. ' || item ELSE '- ' || item END AS md, CASE WHEN lag(kind) OVER w = kind AND kind IN ('ol', 'ul') THEN 0 ELSE 1 END AS opens FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY ln))",
+            RENDERED, select="SELECT * FROM rendered",
         ),
         "pdf_profile": _with(RAW_PAGES, select="SELECT doc_id, pages, has_fonts, text_chars, pages_without_text, image_only, hidden_text_layer, text_layer, largest_width, modes FROM profiles"),
         "page_routing": _with(RAW_PAGES, select="SELECT r.doc_id, page_no, CASE WHEN image_only OR chars < 10 THEN 'ocr' ELSE 'text' END AS route FROM raw_pages r JOIN profiles USING (doc_id)"),
