@@ -9,9 +9,10 @@ two, at most 2 over all three. So each fingerprint is stored under its three (se
 under the exact pair and those with one bit of the second segment turned; the full Hamming check follows. Keys have 42
 or 43 bits, so chance partners stay few at any corpus size. Copies share a fingerprint and are joined once.
 
-The pipeline's stage asks for a Jaccard similarity of word runs instead (see similar_texts). Fingerprints cannot find such
-pairs: at similarity 0.8 about 10 of 64 bits differ, and a radius that wide leaves segments too short to select by. Its
-candidates come from bands of least shingle hashes, all of which are compared (see similar_texts).
+The pipeline's stage asks for a Jaccard similarity of word runs (see similar_texts). It searches fingerprints of those runs
+in the same way in a ring of six segments, for pairs within 5 bits, and checks the texts of each pair exactly. At similarity
+0.8 about 10 of 64 bits differ, and a radius that wide leaves segments too short to select by: what lies beyond 5 bits comes
+from bands of least shingle hashes, all of which are compared unless the fingerprints have connected them.
 
 Null and empty texts have fingerprint 0 and link like any other. Null ids take no part in the choice of the smallest id
 unless the whole group has none; ties go by text hash. Every repeated row gets its row. Very long texts are scanned whole. Empty tables
@@ -33,6 +34,7 @@ from quireflow.llm.common import NUL_WORD, SPACES, append_columns, blocks, conne
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
+WIDE = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # the stage's ring
 _WORDS = word_table(True, SPACES)
 _XXH = xxhash.xxh64_intdigest
 #: Bands and least hashes in each (a pair of Jaccard similarity s shares a band with chance 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8); the odd factors permute the hashes.
@@ -94,19 +96,21 @@ def with_simhash(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("simhash", T.LongType())]))
 
 
-def linked_fingerprints(prints: DataFrame) -> DataFrame:
-    """a < b of each pair of the distinct fingerprints (column simhash) at 1 or 2 differing bits, each pair once or more."""
-    bits = lambda c, k: F.shiftrightunsigned(c, SEGMENTS[k % 3][0]).bitwiseAND(F.lit((1 << SEGMENTS[k % 3][1]) - 1))
-    x = F.col("simhash")
-    # chain key: start segment, both segments' bits
-    key = lambda k, second: F.shiftleft(bits(x, k), 22).bitwiseOR(second)
-    stored = F.array(*(F.struct(F.lit(k).alias("start"), key(k, bits(x, k + 1)).alias("chain")) for k in range(3)))
-    asked = F.array(*(F.struct(F.lit(k).alias("start"), key(k, bits(x, k + 1).bitwiseXOR(F.lit(flip))).alias("chain")) for k in range(3) for flip in (0, *(1 << j for j in range(SEGMENTS[(k + 1) % 3][1])))))
-    index = prints.select(x.alias("b"), F.explode(stored).alias("key")).select("b", "key.*")
-    probes = prints.select(x.alias("a"), F.explode(asked).alias("key")).select("a", "key.*")
+def linked_fingerprints(prints: DataFrame, segments: tuple[tuple[int, int], ...] = SEGMENTS) -> DataFrame:
+    """a < b of each pair of the distinct fingerprints (column simhash) that differ in fewer bits than the ring has segments, each pair once or more.
+
+    A radius one below the number of segments allows l - 1 differences (rounded down) over l segments of the chain: none in the first, one over two.
+    """
+    ring = len(segments)
+    ends = lambda k: f"{k} as start, {segments[k][0]} as s, {(1 << segments[k][1]) - 1}L as m, {segments[(k + 1) % ring][0]} as t, {(1 << segments[(k + 1) % ring][1]) - 1}L as n"
+    # chain key: start segment, both segments' bits; the list of starts and flips is one constant
+    chain = "shiftleft(shiftrightunsigned(simhash, s) & m, 22) | ((shiftrightunsigned(simhash, t) & n) ^ flip)"
+    keyed = lambda name, flips: prints.selectExpr("simhash", "inline(array({}))".format(", ".join(f"struct({ends(k)}, {flip}L as flip)" for k in range(ring) for flip in flips(k)))).selectExpr(f"simhash as {name}", "start", f"{chain} as chain")
+    index = keyed("b", lambda k: [0])
+    probes = keyed("a", lambda k: [0, *(1 << j for j in range(segments[(k + 1) % ring][1]))])
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     # Differences are symmetric: the lesser fingerprint's own look-ups find every pair.
-    return probes.join(index, ["start", "chain"]).where((F.col("a") < F.col("b")) & (far <= RADIUS)).select("a", "b")
+    return probes.join(index, ["start", "chain"]).where((F.col("a") < F.col("b")) & (far < ring)).select("a", "b")
 
 
 def simhash_groups(prints: DataFrame) -> DataFrame:
@@ -124,56 +128,103 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return simhash_groups(prints).select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def sketches(data: np.ndarray, starts: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: a hash of its words, and one key for each of BANDS bands of ROWS least shingle hashes (one row per text)."""
+def sketches(data: np.ndarray, starts: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: a hash of its words, its fingerprint, and one key for each of BANDS bands of ROWS least shingle hashes (one row per text)."""
     joined, begin, end, first, at = shingles(data, starts, shingle)
     text = joined.tobytes()
     node = np.fromiter((_XXH(text[a:b], SEED) for a, b in zip(at[:-1].tolist(), at[1:].tolist())), np.uint64, len(starts) - 1)
-    keys = np.zeros((len(node), BANDS), np.uint64)
+    keys, prints = np.zeros((len(node), BANDS), np.uint64), np.zeros(len(node), np.uint64)
     full = np.flatnonzero(first[1:] > first[:-1])
     if len(full):
         hashes = slice_hash(prefix_sums(joined), begin, end)
+        prints = _majority(hashes, first)
         for band in range(BANDS):
             key = np.full(len(full), band, np.uint64)
             for a in _FACTORS[band]:
                 key = mixed(key ^ np.minimum.reduceat(hashes * a, first[full]))
             keys[full, band] = key
-    return node, keys
+    return node, prints, keys
 
 
 def similar_texts(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """a, b of links that connect nodes whose sets of `shingle`-word runs have a Jaccard similarity of at least `similarity`.
 
-    Candidates agree in a band of least hashes; none is left out, however large a band's group is:
+    Candidates are all pairs whose fingerprints lie within the ring's radius (see fingerprint_links), then those that agree in a
+    band of least hashes and that no link connects yet; none is left out, however large a band's group is:
 
     1. Each group compares its nodes with one of them, the one with the most neighbours in all bands (mostly the text that the
        others were made from). That makes most groups one component already.
     2. In groups that still hold several components, all pairs of nodes of different components are compared, inside tasks, in
        tiles of two blocks. Pairs inside a component cannot change the groups and are passed over.
 
-    Rows grow with the group, never with its square; every link is checked exactly.
+    Every link is checked exactly.
     """
     bands = nodes.select(F.col("__node").alias("x"), F.explode("__keys").alias("key"))
     shared = cut(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = cut(spread_join(bands, shared, "key", "n"))
-    items = cut(text_sets(docs, nodes.join(members.select(F.col("x").alias("__node")).distinct(), "__node", "left_semi"), shingle))
+    prints = nodes.select(F.col("__node").alias("x"), F.col("__simhash").alias("simhash"))
+    close = cut(spread_join(prints, cut(least_partners(prints)), "simhash", "n"))
+    items = cut(text_sets(docs, nodes.join(members.select("x").unionByName(close.select("x")).distinct(), F.col("__node") == F.col("x"), "left_semi"), shingle))
 
+    linked, found = fingerprint_links(close, items, similarity)
     weights = members.groupBy("x").agg(F.sum("n").alias("weight"))
     heads = members.join(weights, "x").groupBy("key").agg(F.max(F.struct("weight", "x")).alias("top")).select("key", F.col("top.x").alias("head"))
-    stars = cut(members.join(heads, "key").where("x != head").select("head", "x").distinct())
-    dealt = stars.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
-    asked = stars.join(dealt, "head").select("head", F.expr("pmod(xxhash64(x), parts)").alias("part"), "x", F.lit(0).alias("side"))
-    own = dealt.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("head").alias("x"), F.lit(1).alias("side"))
-    first = cut(near_links(asked.unionByName(own).select(F.col("head").alias("g"), F.col("part").alias("tile"), "x", F.col("x").alias("c"), "side", F.lit(True).alias("cross")), items, similarity))
+    stars = members.join(heads, "key").where("x != head").select("head", "x").distinct()
+    part = linked.select(F.col("node").alias("x"), F.col("component").alias("c"))
+    stars = stars.join(part, "x", "left").join(part.toDF("head", "d"), "head", "left").where("coalesce(c, x) != coalesce(d, head)")
+    first = star_links(cut(stars.select("head", "x")), items, similarity)
 
-    parts = cut(connected_components(first))
+    ends = ["node as a", "component as b"]
+    parts = cut(connected_components(linked.where("node != component").selectExpr(*ends).unionByName(found).unionByName(first)))
     placed = members.join(parts, F.col("x") == F.col("node"), "left").select("key", "x", "n", F.coalesce("component", "x").alias("c"))
     several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     rest = placed.join(several, "key").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(x), blocks) as int)"))
     tiles = F.expr("transform(sequence(0, blocks - 1), k -> struct(cast(least(mine, k) as long) * blocks + greatest(mine, k) as tile, if(mine <= k, 0, 1) as side, mine != k as cross))")
     spread = rest.select(F.col("key").alias("g"), "x", "c", F.explode(tiles).alias("t")).select("g", "t.tile", "x", "c", "t.side", F.col("t.cross").alias("cross"))
     second = near_links(spread, items, similarity)
-    return parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second)
+    return parts.where("node != component").selectExpr(*ends).unionByName(second)
+
+
+def least_partners(prints: DataFrame) -> DataFrame:
+    """simhash, n, partner, head of the fingerprints that several nodes x share or that have others within the ring's radius.
+
+    n: nodes; head: the least node; partner: the least other fingerprint within the radius, null for none.
+    """
+    same = cut(prints.groupBy("simhash").agg(F.min("x").alias("head"), F.count("*").alias("n")))
+    pairs = linked_fingerprints(same.select("simhash"), WIDE)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("simhash"), F.col("b").alias("other")), F.struct(F.col("b").alias("simhash"), F.col("a").alias("other")))).alias("p")).select("p.*")
+    found = both.groupBy("simhash").agg(F.min("other").alias("partner"))
+    return same.join(found, "simhash", "left").where("n > 1 or partner is not null").select("simhash", "n", "partner", "head")
+
+
+def fingerprint_links(close: DataFrame, items: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """What connects all similar nodes whose fingerprints lie within the ring's radius; close(x, simhash, partner, head): see least_partners.
+
+    1. Nodes are compared with the head of their own fingerprint, heads with the head of their fingerprint's least partner: node, component.
+    2. All other pairs within the radius are compared, but for those that the first links connect: a, b of further links.
+    """
+    own = close.where("x != head").select("head", "x")
+    heads = close.where("x = head").select("simhash", "head", "partner")
+    across = heads.where("partner is not null").select(F.col("partner").alias("simhash"), F.col("head").alias("x")).join(heads.select("simhash", "head"), "simhash")
+    tried = cut(own.unionByName(across.select(F.least("head", "x").alias("head"), F.greatest("head", "x").alias("x"))).distinct())
+    first = star_links(tried, items, similarity)
+    parts = cut(connected_components(first))
+    placed = cut(close.join(parts, F.col("x") == F.col("node"), "left").select("x", "simhash", F.coalesce("component", "x").alias("c")))
+    several = placed.groupBy("simhash").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    pairs = linked_fingerprints(several.select("simhash"), WIDE).distinct().unionByName(several.where("low < high").select(F.col("simhash").alias("a"), F.col("simhash").alias("b")))
+    span = lambda k: several.select(F.col("simhash").alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"))
+    pairs = pairs.join(span("a"), "a").join(span("b"), "b").where("least(low_a, low_b) < greatest(high_a, high_b)").select("a", "b")
+    left, right = placed.select(F.col("simhash").alias("a"), F.col("x").alias("head"), F.col("c").alias("d")), placed.select(F.col("simhash").alias("b"), "x", "c")
+    rest = pairs.join(left, "a").join(right, "b").where("c != d and (a < b or head < x)").select(F.least("head", "x").alias("head"), F.greatest("head", "x").alias("x"))
+    return parts, star_links(cut(rest.distinct().join(tried, ["head", "x"], "left_anti")), items, similarity)
+
+
+def star_links(stars: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """a, b of links between each head and the nodes x beside it in `stars` that are similar to it; STAR nodes a task, their sets met once each."""
+    dealt = stars.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    asked = stars.join(dealt, "head").select("head", F.expr("pmod(xxhash64(x), parts)").alias("part"), "x", F.lit(0).alias("side"))
+    own = dealt.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("head").alias("x"), F.lit(1).alias("side"))
+    return cut(near_links(asked.unionByName(own).select(F.col("head").alias("g"), F.col("part").alias("tile"), "x", F.col("x").alias("c"), "side", F.lit(True).alias("cross")), items, similarity))
 
 
 def text_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -188,7 +239,7 @@ def text_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], names=["x", "items"])
 
     wanted = nodes.select(F.col("__node").alias("x"), F.col("__row.__tag").alias("__want"))
-    texts = docs.select("text", F.xxhash64("text").alias("__want")).join(wanted, "__want").select("x", "text").dropDuplicates(["x"])
+    texts = docs.select("text", F.xxhash64("text").alias("__want")).join(wanted, "__want").dropDuplicates(["__want"]).select("x", "text")  # on the join's key: no shuffle of its own
     return texts.mapInArrow(sets, "x long, items array<long>")
 
 
@@ -267,7 +318,8 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
     """The documents without all but one row of each near-duplicate group: the smallest id, then the least text hash.
 
     Groups link fingerprints of at most RADIUS differing bits or, where `similarity` is given, texts whose sets of
-    `shingle`-word runs have at least that Jaccard similarity (texts alike up to spaces and A-Z case always link).
+    `shingle`-word runs have at least that Jaccard similarity (texts alike up to spaces and A-Z case always link), looked for
+    by fingerprints first.
     The row is chosen per group and not per id, so groups without ids and different texts under one id keep a row each.
     """
     if similarity is None:
@@ -278,12 +330,12 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, starts in blocks(batches, "text"):
-            node, keys = sketches(data, starts, shingle)
+            node, simhashes, keys = sketches(data, starts, shingle)
             at = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "__tag", "__node", "__keys"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(node.view(np.int64)), pa.array(simhashes.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "__tag", "__node", "__simhash", "__keys"])
 
-    prints = docs.select("doc_id", "text", F.xxhash64("text").alias("__tag")).mapInArrow(sketch, f"doc_id {kind}, __tag long, __node long, __keys array<long>")
-    nodes = cut(first_rows(cut(prints), "__node", "__keys"))
+    prints = docs.select("doc_id", "text", F.xxhash64("text").alias("__tag")).mapInArrow(sketch, f"doc_id {kind}, __tag long, __node long, __simhash long, __keys array<long>")
+    nodes = cut(first_rows(cut(prints), "__node", "__simhash", "__keys"))
     return one_of_each(docs, nodes, connected_components(similar_texts(docs, nodes, shingle, similarity)))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm.fixtures import documents, frame, smallest_reachable
 
 from quireflow.llm import simhash
-from quireflow.llm.common import table
+from quireflow.llm.common import prefix_sums, slice_hash, table
 
 
 def fingerprint(text: str | None) -> int:
@@ -159,3 +159,62 @@ def test_tiles_find_every_link(spark):
     links = [(i, j) for i in range(300) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.4 * len(set(sets[i]) | set(sets[j]))]
     want = smallest_reachable(300, links)
     assert smallest_reachable(300, [(r.a, r.b) for r in got]) == want and 1 < len(set(want)) < 300
+
+
+def test_the_wide_ring_finds_every_pair_within_five_bits(spark):
+    """Flips of one to seven bits, in neighbouring segments and over the ring's end too."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    values = set(base)
+    for x in base:
+        for k in range(240):
+            y = x
+            for b in rng.sample(range(64), 1 + k % 7) if k % 2 else rng.sample([*range(52, 64), *range(12)], 1 + k % 7):
+                y ^= 1 << b
+            values.add(y)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = simhash.linked_fingerprints(spark.createDataFrame([(v,) for v in signed], "simhash long"), simhash.WIDE).distinct().collect()
+    bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    want = {(a, b) for a in signed for b in signed if a < b and bits(a, b) <= 5}
+    assert {(r.a, r.b) for r in links} == want and any(bits(a, b) == 5 for a, b in want)
+
+
+def test_the_stage_links_by_fingerprints(spark):
+    """Fingerprints alone, without bands, connect exactly the pairs that lie within five bits and are similar; fingerprints alone prove nothing."""
+    rng = random.Random(14)
+    sets, prints = [], []
+    for k in range(60):
+        own, p = [rng.getrandbits(62) for _ in range(40)], rng.getrandbits(64)
+        for n in range(6):
+            swap = rng.randrange(0, 9)  # Jaccard similarity on both sides of 0.8
+            sets.append(sorted([*own[swap:], *(rng.getrandbits(62) for _ in range(swap))]))
+            q = p
+            for b in rng.sample(range(64), rng.randrange(0, 7) if n % 3 else 0):
+                q ^= 1 << b
+            prints.append(q)
+    signed = [v - (1 << 64) if v >> 63 else v for v in prints]
+    frame_ = spark.createDataFrame(list(enumerate(signed)), "x long, simhash long")
+    items = spark.createDataFrame(list(enumerate(sets)), "x long, items array<long>")
+    close = frame_.join(simhash.least_partners(frame_), "simhash")
+    parts, more = simhash.fingerprint_links(close, items, 0.8)
+    got = [*parts.toDF("a", "b").collect(), *more.collect()]
+    assert len(more.collect()) > 0
+    alike = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 5 and alike(i, j)]
+    want = smallest_reachable(len(sets), links)
+    assert smallest_reachable(len(sets), [(r.a, r.b) for r in got]) == want and 60 < len(set(want)) < len(sets) - 60
+
+
+def test_sketches_hold_the_fingerprint_of_word_runs():
+    """Majority bits of the runs' hashes, copies up to case and spaces alike, few words in few bits."""
+    words = [f"w{k}" for k in range(1000)]
+    near = [*words[:500], "other", *words[501:]]
+    texts = [" ".join(words), "  ".join(words).upper(), " ".join(near), "one two", ""]
+    data, starts = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    node, prints, keys = simhash.sketches(data, starts, 5)
+    joined, begin, end, first, _ = simhash.shingles(data, starts, 5)
+    hashes = slice_hash(prefix_sums(joined), begin, end)
+    for k in range(len(texts)):
+        own = hashes[first[k] : first[k + 1]].tolist()
+        assert int(prints[k]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+    assert node[0] == node[1] and prints[0] == prints[1] and int(prints[0] ^ prints[2]).bit_count() <= 5 and prints[4] == 0 and keys.shape == (5, simhash.BANDS)
