@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireflow.llm.common import NUL_WORD, SPACES, append_columns, blocks, connected_components, cut, mixed, prefix_sums, slice_hash, spread_join, word_spans, word_table
+from quireflow.llm.common import NUL_WORD, SPACES, append_columns, blocks, connected_components, cut, key_filter, mixed, possible, prefix_sums, scope, slice_hash, spread_join, word_spans, word_table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit and width
@@ -154,8 +154,8 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
 
     1. Each group compares its nodes with one of them, the one with the most neighbours in all bands (mostly the text that the
        others were made from). That makes most groups one component already.
-    2. In groups that still hold several components, all pairs of nodes of different components are compared, inside tasks, in
-       tiles of two blocks. Pairs inside a component cannot change the groups and are passed over.
+    2. In groups of more than two nodes that still hold several components, all pairs of nodes of different components are compared,
+       inside tasks, in tiles of two blocks. Pairs inside a component cannot change the groups and are passed over.
 
     Every link is checked exactly.
     """
@@ -177,7 +177,7 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: f
     ends = ["node as a", "component as b"]
     parts = cut(connected_components(linked.where("node != component").selectExpr(*ends).unionByName(found).unionByName(first)))
     placed = members.join(parts, F.col("x") == F.col("node"), "left").select("key", "x", "n", F.coalesce("component", "x").alias("c"))
-    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    several = placed.where("n > 2").groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     rest = placed.join(several, "key").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(x), blocks) as int)"))
     tiles = F.expr("transform(sequence(0, blocks - 1), k -> struct(cast(least(mine, k) as long) * blocks + greatest(mine, k) as tile, if(mine <= k, 0, 1) as side, mine != k as cross))")
     spread = rest.select(F.col("key").alias("g"), "x", "c", F.explode(tiles).alias("t")).select("g", "t.tile", "x", "c", "t.side", F.col("t.cross").alias("cross"))
@@ -238,8 +238,10 @@ def text_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], names=["x", "items"])
 
-    wanted = nodes.select(F.col("__node").alias("x"), F.col("__row.__tag").alias("__want"))
-    texts = docs.select("text", F.xxhash64("text").alias("__want")).join(wanted, "__want").dropDuplicates(["__want"]).select("x", "text")  # on the join's key: no shuffle of its own
+    wanted = cut(nodes.select(F.col("__node").alias("x"), F.col("__row.doc_id").alias("doc_id"), F.col("__row.__tag").alias("__want")))
+    row = F.xxhash64("doc_id", "__want")  # of copies only the node's own row is shuffled
+    rows = possible(docs.select("doc_id", "text", F.xxhash64("text").alias("__want")), key_filter(wanted, row), row)
+    texts = rows.where("__may").select("text", "__want").join(wanted.select("x", "__want"), "__want").dropDuplicates(["__want"]).select("x", "text")  # on the join's key: no shuffle of its own
     return texts.mapInArrow(sets, "x long, items array<long>")
 
 
@@ -322,21 +324,22 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
     by fingerprints first.
     The row is chosen per group and not per id, so groups without ids and different texts under one id keep a row each.
     """
-    if similarity is None:
-        prints = cut(with_simhash(docs.select("doc_id", "text"), shingle).select("doc_id", F.xxhash64("text").alias("__tag"), F.col("simhash").alias("__node")))
-        nodes = cut(first_rows(prints, "__node"))
-        return one_of_each(docs, nodes, connected_components(linked_fingerprints(nodes.select(F.col("__node").alias("simhash"))).distinct()))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    with scope() as keep:
+        if similarity is None:
+            prints = cut(with_simhash(docs.select("doc_id", "text"), shingle).select("doc_id", F.xxhash64("text").alias("__tag"), F.col("simhash").alias("__node")))
+            nodes = cut(first_rows(prints, "__node"))
+            return keep(one_of_each(docs, prints, nodes, connected_components(linked_fingerprints(nodes.select(F.col("__node").alias("simhash"))).distinct())))
+        kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, starts in blocks(batches, "text"):
-            node, simhashes, keys = sketches(data, starts, shingle)
-            at = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(node.view(np.int64)), pa.array(simhashes.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "__tag", "__node", "__simhash", "__keys"])
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, data, starts in blocks(batches, "text"):
+                node, simhashes, keys = sketches(data, starts, shingle)
+                at = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(node.view(np.int64)), pa.array(simhashes.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "__tag", "__node", "__simhash", "__keys"])
 
-    prints = docs.select("doc_id", "text", F.xxhash64("text").alias("__tag")).mapInArrow(sketch, f"doc_id {kind}, __tag long, __node long, __simhash long, __keys array<long>")
-    nodes = cut(first_rows(cut(prints), "__node", "__simhash", "__keys"))
-    return one_of_each(docs, nodes, connected_components(similar_texts(docs, nodes, shingle, similarity)))
+        prints = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("__tag")).mapInArrow(sketch, f"doc_id {kind}, __tag long, __node long, __simhash long, __keys array<long>"))
+        nodes = cut(first_rows(prints, "__node", "__simhash", "__keys"))
+        return keep(one_of_each(docs, prints, nodes, connected_components(similar_texts(docs, nodes, shingle, similarity))))
 
 
 def first_rows(prints: DataFrame, by: str, *more: str) -> DataFrame:
@@ -344,12 +347,19 @@ def first_rows(prints: DataFrame, by: str, *more: str) -> DataFrame:
     return prints.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tag")).alias("__row"), *(F.first(c).alias(c) for c in more))
 
 
-def one_of_each(docs: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row of `docs` for each component: __node, __row -> the least __row; nodes that `parts` lacks are alone."""
+def one_of_each(docs: DataFrame, prints: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row of `docs` for each component: __node, __row -> the least __row; nodes that `parts` lacks are alone; prints: doc_id and __tag of each row.
+
+    Rows to drop and repeated ones are known by id and text hash. Texts are shuffled only for these and for rows that their filter cannot tell from them.
+    """
     grouped = nodes.join(parts, F.col("__node") == F.col("node"), "left").select("__row", F.coalesce("component", "__node").alias("component"))
-    kept = grouped.groupBy("component").agg(F.min("__row").alias("row")).select(F.col("row.doc_id").alias("__kept"), F.col("row.__tag").alias("__kept_tag"))
-    rows = docs.withColumn("__tag", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__tag") == F.col("__kept_tag")), "left_semi")
+    kept = cut(grouped.groupBy("component").agg(F.min("__row").alias("row")).select(F.col("row.doc_id").alias("__kept"), F.col("row.__tag").alias("__kept_tag")))
+    same = F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__tag") == F.col("__kept_tag"))
+    unsure = prints.groupBy("doc_id", "__tag").agg(F.count("*").alias("__n")).join(kept, same, "left").where("__n > 1 or __kept_tag is null")
+    row = F.xxhash64("doc_id", "__tag")
+    rows = possible(docs.withColumn("__tag", F.xxhash64("text")), key_filter(unsure, row), row)
+    met = rows.where("__may").join(kept, same, "left_semi")
     # Rows alike in id and text are one group: all but one go before the shuffle already (WindowGroupLimit).
     once = Window.partitionBy("doc_id", "__tag").orderBy(F.xxhash64(*(f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType))))
-    return rows.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").drop("__nth", "__tag")
+    first = met.withColumn("__nth", F.row_number().over(once)).where("__nth = 1")
+    return rows.where("not __may").select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tests.llm.fixtures import documents, frame, smallest_reachable
 
-from quireflow.llm import simhash
+from quireflow import scratch
+from quireflow.llm import common, simhash
 from quireflow.llm.common import prefix_sums, slice_hash, table
 
 
@@ -218,3 +219,40 @@ def test_sketches_hold_the_fingerprint_of_word_runs():
         own = hashes[first[k] : first[k + 1]].tolist()
         assert int(prints[k]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
     assert node[0] == node[1] and prints[0] == prints[1] and int(prints[0] ^ prints[2]).bit_count() <= 5 and prints[4] == 0 and keys.shape == (5, simhash.BANDS)
+
+
+def test_the_stage_shuffles_few_texts(spark):
+    """Texts without near copies are not shuffled, and only what the result reads stays in the shared folder."""
+    rng = random.Random(15)
+    rows = [(k, " ".join(f"{rng.getrandbits(40):x}" for _ in range(400)), None, "s", 0) for k in range(1000)]
+    rows += [(k + 1000, *rows[k][1:]) for k in range(20)] + [(k + 2000, rows[k][1] + " end", *rows[k][2:]) for k in range(20, 40)] + [rows[50], rows[50]]
+    docs = common.cut(frame(spark, rows))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before, folders = written(), sum(map(len, scratch._scopes))
+    out = simhash.deduplicate(docs, shingle=5, similarity=0.8)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(1000))
+    assert written() - before < 0.7 * sum(len(r[1]) for r in rows)
+    assert sum(map(len, scratch._scopes)) - folders <= 3
+
+
+def test_filter_loses_no_key(spark):
+    keys, rows = spark.range(0, 3000).select(F.xxhash64("id").alias("h")), spark.range(0, 100_000).withColumn("h", F.xxhash64("id"))
+    got = common.possible(rows, common.key_filter(keys, F.col("h")), F.col("h")).where("__may").select("id").collect()
+    assert {r.id for r in got} >= set(range(3000)) and len(got) < 3200
+    none = common.possible(rows, common.key_filter(keys.where("false"), F.col("h")), F.col("h"))
+    assert none.columns == ["id", "h", "__may"] and none.where("__may").count() == 0
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Edges that are stars are not stepped over again; chains, cycles and nodes of two hubs are."""
+    cuts, plain = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: cuts.append(1) or plain(df))
+    got = common.connected_components(spark.createDataFrame([(1, 5), (7, 1), (2, 9), (9, 2), (3, 3)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)] and len(cuts) == 1
+    rng = random.Random(16)
+    edges = [(k, k + 1) for k in range(40)] + [(60, 50), (60, 51), (61, 51), (61, 52)] + [(70 + k, 70 + (k + 1) % 9) for k in range(9)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)]
+    want = smallest_reachable(200, edges)
+    least = {p: min(k for k in range(200) if want[k] == p) for p in set(want)}
+    got = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    assert sorted(map(tuple, got)) == sorted((k, least[want[k]]) for k in nodes)
