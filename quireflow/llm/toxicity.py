@@ -48,6 +48,17 @@ def word_ids(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.stack([slice_hash(sums, begin, stop) % np.uint64(BUCKETS) + np.uint64(k * BUCKETS) for k, stop in enumerate(parts)], 1).astype(np.int32), first
 
 
+def packed(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """word_ids of each text in 16 bits a part, 6 bytes a word: a part's first row is left out."""
+    ids, first = word_ids(data, starts)
+    short = (ids % BUCKETS).astype(np.uint16)
+    return [short[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def unpacked(short: np.ndarray) -> np.ndarray:
+    return short + np.arange(0, (1 + len(STEMS)) * BUCKETS, BUCKETS, dtype=np.int32)
+
+
 @dataclass
 class ToxicityModel:
     """Plain arrays; thresholds: by language, "" for any other."""
@@ -92,7 +103,9 @@ class ToxicityModel:
         return best @ self.output + self.bias
 
     def score(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        ids, first = word_ids(data, starts)
+        return self.answers(*word_ids(data, starts))
+
+    def answers(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         step, lap = 1 << 16, max(WIDTHS) - 1
         if len(ids) <= step:
             return self.logits(self.responses(ids, first)[0])
@@ -129,7 +142,11 @@ def gradients(model: ToxicityModel, ids: np.ndarray, first: np.ndarray, toxic: n
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
-    """Adam on the logistic loss."""
+    return train_packed([packed(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts], toxic, seed)
+
+
+def train_packed(coded: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
+    """Adam on the logistic loss of texts whose words are packed numbers."""
     rng = np.random.default_rng(seed)
     model = ToxicityModel(
         rng.normal(0, 0.1, ((1 + len(STEMS)) * BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) / w for w in WIDTHS], [np.full(FILTERS, 0.01, np.float32) for _ in WIDTHS],
@@ -138,9 +155,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
     if not 0 < toxic.sum() < len(toxic):
         model.output[:] = 0
         return model
-    coded = [word_ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in texts]
-    n = len(texts)
-    del texts  # numbers from here on
+    n = len(coded)
     dense = [*model.filters, *model.shift, model.output]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
     squares = np.zeros(len(model.embedding), np.float32)
@@ -151,15 +166,15 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
         order, at = rng.permutation(n), 0
         while at < len(order) and steps < STEPS:
             stop, words = at, 0
-            while stop < len(order) and (stop == at or words + len(coded[order[stop]][0]) <= BATCH_WORDS) and stop - at < 32:
-                words += len(coded[order[stop]][0])
+            while stop < len(order) and (stop == at or words + len(coded[order[stop]]) <= BATCH_WORDS) and stop - at < 32:
+                words += len(coded[order[stop]])
                 stop += 1
             rows = order[at:stop]
             at = stop
-            ids = np.concatenate([coded[r][0] for r in rows])
+            ids = np.concatenate([coded[r] for r in rows])
             kept = rng.random(len(ids)) >= DROPPED
-            first = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum([len(coded[r][0]) for r in rows])])]
-            ids = ids[kept]
+            first = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum([len(coded[r]) for r in rows])])]
+            ids = unpacked(ids[kept])
             grads, slope, touched, pushes = gradients(model, ids, first, toxic[rows], weight[rows] / len(rows))
             steps += 1
             for p, g, (m, v) in zip(dense, grads, moments):
@@ -257,20 +272,25 @@ def cross_fit(got: DataFrame) -> tuple[ToxicityModel, DataFrame]:
     spark = got.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
-        if rows is None:
+        coded, toxic, fold, lang, k = [], [], [], [], None
+        for rows, data, starts in blocks(batches, "text"):
+            coded += packed(data, starts)  # no text and no batch outlives its turn
+            k = rows.column("k")[0].as_py()
+            toxic += rows.column("toxic").to_pylist()
+            fold += rows.column("fold").to_pylist()
+            lang += rows.column("lang").to_pylist()
+        if k is None:
             return
-        k, fold = rows.column("k")[0].as_py(), rows.column("fold").to_numpy()
-        inside = rows.filter(pa.array(fold != k))
-        model = train(inside.column("text").to_pylist(), inside.column("toxic").to_numpy())
+        rows = data = None
+        pa.default_memory_pool().release_unused()
+        out = [i for i, x in enumerate(fold) if x == k]
+        inside = [i for i, x in enumerate(fold) if x != k]
+        model = train_packed([coded[i] for i in inside], np.array([toxic[i] for i in inside]))
         if k == FOLDS:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([None], pa.string()), "toxic": pa.array([None], pa.float64()), "logit": pa.array([None], pa.float64()), "model": pa.array([pickle.dumps(model)], pa.binary())})
             return
-        out = rows.filter(pa.array(fold == k))
-        raw = [t.encode() for t in out.column("text").to_pylist()]
-        logits = model.score(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)).astype(np.float64) if raw else np.zeros(0)
-        lang, label = (out.column(c).combine_chunks() for c in ("lang", "toxic"))
-        yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), label, pa.array(logits, pa.float64()), pa.nulls(len(raw), pa.binary())], names=["lang", "toxic", "logit", "model"])
+        logits = [float(model.answers(unpacked(coded[i]), np.array([0, len(coded[i])]))[0]) for i in out]
+        yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in out], pa.string()), pa.array([toxic[i] for i in out], pa.float64()), pa.array(logits, pa.float64()), pa.nulls(len(out), pa.binary())], names=["lang", "toxic", "logit", "model"])
 
     each = got.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartitionById(FOLDS + 1, "k").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "mark")
     made = cut(each.mapInArrow(run, "lang string, toxic double, logit double, model binary"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.fixtures import documents, frame
@@ -166,6 +168,43 @@ def test_the_training_sample_is_bounded_in_bytes(spark):
     assert 48 <= toxicity.sampled(frame(spark, rows), labels, 50, 20_000).count() <= 50  # less the long ones among them
 
 
+def test_a_training_task_holds_numbers_only(spark, monkeypatch):
+    """Once training begins, neither Arrow batches nor texts are held, only the words' numbers: 6 bytes a word."""
+
+    class Stop(Exception):
+        pass
+
+    taken = {}
+
+    def capture(self, run, schema):
+        taken["run"] = run
+        raise Stop
+
+    def first_step(*_):
+        taken["held"] = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - taken["before"]
+        raise Stop
+
+    def batches():
+        for at in range(0, 800, 100):
+            texts = [f"meadow{k} " * 2000 for k in range(at, at + 100)]
+            columns = {"doc_id": list(range(at, at + 100)), "lang": ["en"] * 100, "text": texts, "toxic": [k % 2.0 for k in range(100)], "fold": pa.array([k % 5 for k in range(100)], pa.int32()), "mark": [0] * 100, "k": pa.array([5] * 100, pa.int32())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    rows = spark.createDataFrame([(1, "en", "a", 1.0, 0, 1)], "doc_id long, lang string, text string, toxic double, fold int, mark long")
+    with monkeypatch.context() as patch, pytest.raises(Stop):
+        patch.setattr(type(rows), "mapInArrow", capture)
+        toxicity.cross_fit(rows)
+    monkeypatch.setattr(toxicity, "gradients", first_step)
+    tracemalloc.start()
+    try:
+        taken["before"] = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        with pytest.raises(Stop):
+            list(taken["run"](batches()))
+    finally:
+        tracemalloc.stop()
+    assert taken["held"] < 20e6, "15 MB of texts in 1.6 million words, of 10 MB; 5 MB of parameters"
+
+
 def test_gradients_against_differences():
     """Each slope of the loss is what a small step of the parameter says, in double precision."""
     rows = toy(12)
