@@ -12,22 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quireflow.llm import decontaminate, mixing, sharding, simhash, toxicity
-from quireflow.llm.common import cut, release, scope, table
+from quireflow.llm.common import cut, release, scope, small_batches, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents at or over their language's threshold; trained on the labelled documents of the stage's input. Nothing is rejected without labels of both classes."""
-    return toxicity.classify(docs, table(spark, sf_dir, "labels")).where("not toxic").select(*docs.columns)
+    with small_batches(spark):
+        return toxicity.classify(docs, table(spark, sf_dir, "labels")).where("not toxic").select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (Jaccard similarity of five-word runs 0.8 or more) stays."""
-    return simhash.deduplicate(docs, shingle=5, similarity=0.8)
+    with small_batches(spark):
+        return simhash.deduplicate(docs, shingle=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold ten consecutive words of a benchmark item."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    with small_batches(spark):
+        return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -332,7 +332,9 @@ def _calibrate(scored: DataFrame, known: DataFrame, got: DataFrame, model: Toxic
 def _decided(scored: DataFrame, model: ToxicityModel) -> DataFrame:
     """Probability and decision from __logit, the calibration being one slope, one offset and a short list of thresholds."""
     toxicity = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("__logit") * model.slope + model.offset))))
-    limits = scored.sparkSession.createDataFrame([(k, v) for k, v in model.thresholds.items() if k], "__lang string, threshold double")
+    own = {k: v for k, v in model.thresholds.items() if k}
+    # From Arrow: a list of rows would start further Python workers on the executors.
+    limits = scored.sparkSession.createDataFrame(pa.table({"__lang": pa.array(own.keys(), pa.string()), "threshold": pa.array(own.values(), pa.float64())}))
     joined = scored.withColumn("toxicity", toxicity).join(F.broadcast(limits), _language(scored) == F.col("__lang"), "left")
     limit = F.coalesce("threshold", F.lit(model.thresholds[""]))
     return joined.select(*(c for c in scored.columns if not c.startswith("__")), "toxicity", limit.alias("threshold"), (F.col("toxicity") >= limit).alias("toxic"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tests.llm import test_decontaminate, test_mixing, test_simhash
 from tests.llm.fixtures import documents, frame, smallest_reachable
 
+from quireflow.llm import common
 from quireflow.llm.common import cut, table
 
 
@@ -65,3 +68,29 @@ def test_awkward_rows_pass_every_stage(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and {r.shard for r in rows} <= set(range(40))
+
+
+def test_stages_send_small_batches(spark, monkeypatch):
+    """The texts of a task go to Python in several batches of bounded bytes, and the session's own limit stays as it is."""
+    docs = frame(spark, [(k, f"meadow{k} river stone " * 4000, "en", "s", 1) for k in range(120)]).coalesce(1)
+    seen = []
+
+    def measured(rows, *_, **__):
+        got = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches), "bytes long").collect()
+        seen.append([r["bytes"] for r in got])
+        return rows.withColumns({"toxic": F.lit(False), "contaminated": F.lit(False)})
+
+    for operator, name in ((corpus_pipeline.toxicity, "classify"), (corpus_pipeline.simhash, "deduplicate"), (corpus_pipeline.decontaminate, "decontaminate")):
+        monkeypatch.setattr(operator, name, measured)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and all(sum(sizes) > 10e6 and max(sizes) < 1.1 * common.BATCH_BYTES for sizes in seen), seen
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert spark.conf.get(limit, None) is None
+    spark.conf.set(limit, "1m")
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(limit) == "1m"
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit)
