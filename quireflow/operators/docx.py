@@ -46,22 +46,22 @@ def table_markdown(rows: Column) -> Column:
     return F.when(F.size(rows) == 0, "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
 
 
-def list_counters(items: DataFrame) -> DataFrame:
+def list_counters(items: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """items(path, pos, run, num_id, ilvl) with n: a counter per list level that starts anew with each run of list items and
-    whenever a shallower item of the same list came in between."""
+    whenever a shallower item of the same list came in between. ties: columns that order items of one position."""
     same = Window.partitionBy("path", "run", "num_id").orderBy("pos")
     # Levels below ilvl restart: the number of shallower items so far names the stretch in which a level counts.
     levels = range(0, 9)
-    stretch = F.coalesce(*(F.when(F.col("ilvl") == k, F.sum((F.col("ilvl") < k).cast("int")).over(same.rowsBetween(Window.unboundedPreceding, 0))) for k in levels), F.lit(0))
+    stretch = F.coalesce(*(F.when(F.col("ilvl") == k, F.sum((F.col("ilvl") < k).cast("int")).over(same.rangeBetween(Window.unboundedPreceding, 0))) for k in levels), F.lit(0))
     counted = items.withColumn("stretch", stretch)
-    return counted.withColumn("n", F.row_number().over(Window.partitionBy("path", "run", "num_id", "ilvl", "stretch").orderBy("pos"))).drop("stretch")
+    return counted.withColumn("n", F.row_number().over(Window.partitionBy("path", "run", "num_id", "ilvl", "stretch").orderBy("pos", *ties))).drop("stretch")
 
 
 def docx_markdown(items: DataFrame) -> DataFrame:
-    """path, markdown, error of each document."""
+    """path, markdown, error of each document. Items of one position are one part, in the order of their texts."""
     doc = Window.partitionBy("path")
-    order = doc.orderBy("pos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    order = doc.orderBy("pos", "plain", "rows")
+    so_far = doc.orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
     errors = items.where("kind = 'error'").select("path", "error")
     # Files store built-in style names in lower case ("heading 1"), programs show them capitalised: case does not count.
     items = items.withColumn("style", F.lower("style"))
@@ -71,14 +71,15 @@ def docx_markdown(items: DataFrame) -> DataFrame:
     level = F.nullif(F.regexp_extract("style", r"^heading (\d)", 1), F.lit("")).cast("int")
     listed = (F.col("kind") == "para") & (F.col("style") != "title") & level.isNull() & (F.col("num_id").isNotNull() | F.col("style").startswith("list"))
     rows = rows.withColumn("level", level).withColumn("listed", F.coalesce(listed, F.lit(False)))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("listed") & F.coalesce(F.lag("listed").over(order), F.lit(False)), 0).otherwise(1)).over(so_far))
+    rows = rows.withColumns({"before": F.coalesce(F.lag("listed").over(order), F.lit(False)), "nth": F.row_number().over(order)})
+    rows = rows.withColumn("run", F.sum(F.when(F.col("listed") & F.col("before"), 0).otherwise(1)).over(so_far))
     fallback = F.when(F.contains(F.col("style"), F.lit("number")), "decimal").otherwise("bullet")
     lists = rows.where("listed").withColumn("fmt", F.coalesce("fmt", fallback)).withColumn("num_id", F.coalesce("num_id", "style")).withColumn("ilvl", F.coalesce("ilvl", F.lit(0)))
     inline = inline_markdown(F.col("runs"))
     marker = F.when(F.col("fmt").isin("bullet", "none"), "-").otherwise(F.concat(F.col("n").cast("string"), F.lit(".")))
-    done_lists = list_counters(lists).select("path", "run", "pos", F.concat(F.repeat(F.lit("   "), F.col("ilvl")), marker, F.lit(" "), inline).alias("md"))
-    others = rows.where("not listed").select("path", "run", "pos", F.when(F.col("kind") == "table", table_markdown(F.col("rows"))).when(F.col("style") == "title", F.concat(F.lit("# "), "plain")).when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + F.col("shift"), F.lit(MAX_LEVEL))), F.lit(" "), F.col("plain"))).otherwise(X.escape_start(inline)).alias("md"))
+    done_lists = list_counters(lists, ("nth",)).select("path", "run", "nth", F.concat(F.repeat(F.lit("   "), F.col("ilvl")), marker, F.lit(" "), inline).alias("md"))
+    others = rows.where("not listed").select("path", "run", "nth", F.when(F.col("kind") == "table", table_markdown(F.col("rows"))).when(F.col("style") == "title", F.concat(F.lit("# "), "plain")).when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + F.col("shift"), F.lit(MAX_LEVEL))), F.lit(" "), F.col("plain"))).otherwise(X.escape_start(inline)).alias("md"))
     ordered = lambda at, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "md"))), lambda x: x["md"]), sep)
-    parts = done_lists.unionByName(others).groupBy("path", "run").agg(ordered("pos", "\n").alias("md")).where("md <> ''")
+    parts = done_lists.unionByName(others).groupBy("path", "run").agg(ordered("nth", "\n").alias("md")).where("md <> ''")
     joined = parts.groupBy("path").agg(F.concat(X.strip(ordered("run", "\n\n")), F.lit("\n")).alias("markdown"))
     return joined.withColumn("error", F.lit(None).cast("string")).unionByName(errors.select("path", F.lit(None).cast("string").alias("markdown"), "error"))

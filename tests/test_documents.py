@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quireflow import oracles
 from quireflow.operators import attempts, docx, profile, resources
+from quireflow.queries import QUERIES
 from quireflow.sources import docx as docx_source
 from quireflow.streaming import incremental
 
@@ -115,6 +118,20 @@ def test_docx(spark, tmp_path):
     assert rows["bad.docx"].markdown is None and "Not a readable" in rows["bad.docx"].error and len(rows) == 2
 
 
+def test_docx_items_of_one_position(spark, tmp_path):
+    """Parts from 1,000,000 on share positions with the next line's: such items are peers in the statement's windows, in an order that it leaves open."""
+    rows = [(order, line, part) for order, kind in enumerate([0, 1, 2, 3, 4, 6]) for line, part in ((1, 500007), (2, 1000000 + kind), (3, kind), (4, 900008), (5, 11))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = {r.path: r.markdown for r in QUERIES["docx_markdown"](spark, str(tmp_path)).collect()}
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        told = dict(base.execute(oracles.sql()["docx_markdown"]).fetchall())
+    open_ends = lambda md: [sorted(re.sub(r"^( *)\d+\.", r"\1", x) for x in part.split("\n")) for part in md.split("\n\n")]
+    assert {k: open_ends(v) for k, v in made.items()} == {k: open_ends(v) for k, v in told.items()}
+    assert "**Note** 1000003\n**Note** 3\n" in made["3"] and "1. Part 1\n2. Part 1000001\n" in made["1"]
+
+
 def test_list_counters(spark):
     items = [("d", k, 1, "1", lvl) for k, lvl in enumerate([0, 0, 1, 1, 2, 1, 0, 1])] + [("d", 20 + k, 2, "1", 0) for k in range(2)]
     got = [r.n for r in docx.list_counters(spark.createDataFrame(items, "path string, pos int, run int, num_id string, ilvl int")).orderBy("pos").collect()]
