@@ -28,6 +28,8 @@ BOLD = r"(?iu)bold|black|heavy|semibold|demi"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", " ": " "}
 MARGIN, LABEL_TOLERANCE = 0.1, 2
 PREVIEW_CHARS = 20_000
+#: White space of SPACE, one by one, and the ligatures: without any of them a word is as it should be.
+TO_FOLD = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufb00-\ufb04]"
 
 
 def rx(pattern: str) -> Column:
@@ -83,9 +85,10 @@ def glyph_size(text: Column, height: Column) -> Column:
 
 
 def fold_ligatures(c: Column) -> Column:
+    folded = c
     for glyph, letters in LIGATURES.items():
-        c = F.replace(c, F.lit(glyph), F.lit(letters))
-    return strip(c)
+        folded = F.replace(folded, F.lit(glyph), F.lit(letters))
+    return F.when(c.rlike(TO_FOLD), strip(folded)).otherwise(c)
 
 
 def in_margin(top: Column, bottom: Column, height: Column) -> Column:

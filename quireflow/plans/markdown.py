@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark import Broadcast, StorageLevel
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +18,9 @@ def structured_lines(words: DataFrame, pages: DataFrame, source: str, columns: b
         lines = layout.text_layer_lines(words, pages)
     else:
         lines = layout.refine_paragraphs(layout.words_to_lines(layout.clean_text_words(words)), True)
-    return lines.join(pages.select("doc_id", "page_no", "width", "height"), ["doc_id", "page_no"]).withColumn("source", F.lit(source))
+    if not set(layout.SHEET) <= set(lines.columns):
+        lines = lines.drop(*layout.SHEET).join(pages.select("doc_id", "page_no", "width", "height"), ["doc_id", "page_no"])
+    return lines.withColumn("source", F.lit(source))
 
 
 def blocks_of(lines: DataFrame, sizes: DataFrame, dictionary: Broadcast, ratio: float = 1.5) -> DataFrame:
@@ -29,10 +31,11 @@ def blocks_of(lines: DataFrame, sizes: DataFrame, dictionary: Broadcast, ratio:
 
 
 def build_markdown(words: DataFrame, pages: DataFrame, dictionary: Broadcast, ratio: float = 1.5, source: str = "text", columns: bool = True) -> DataFrame:
-    """doc_id, markdown. Lines and body sizes are written to the shared folder once, then merged blocks: each part is a short plan."""
-    words = words.persist(StorageLevel.DISK_ONLY)  # lines read them four times; extraction or typesetting is dearer than a local copy
+    """doc_id, markdown. Lines and body sizes are written to the shared folder once, then merged blocks: each part is a short plan.
+
+    Words are read twice, for lines and for sizes, where they carry the width and height of their page; else a third time for pages made from them.
+    """
     lines = cut(structured_lines(words, pages, source, columns))
     sizes = cut(structure.body_sizes(words.withColumn("source", F.lit(source))))
-    words.unpersist()
     blocks = cut(blocks_of(clean.clean_pages(lines), sizes, dictionary, ratio))
     return render.render(render.block_markdown(blocks, dictionary))
